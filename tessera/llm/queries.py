@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, rules
+from . import bpe, minhash, rules, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(_table(spark, sf_dir, "documents"))
     base_failed = ~rules.passes(rules.BASE)
@@ -26,5 +40,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op6_tokens": op6_tokens,
+    "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,
 }

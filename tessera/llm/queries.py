@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, rules, tokens
+from . import bpe, minhash, mixing, rules, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, totals = mixing.mix(_table(spark, sf_dir, "documents"))
+    # A row for each source: their number is checked by the operator.
+    joined = rows.withColumn("source", F.col("sources")[0]).join(F.broadcast(totals.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -40,6 +47,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_mixing": op2_mixing,
     "op6_tokens": op6_tokens,
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, rules, tokens
+from . import bpe, credentials, minhash, mixing, rules, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "learned")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), number("learned"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -48,6 +56,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
+    "op3_secrets": op3_secrets,
     "op6_tokens": op6_tokens,
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,

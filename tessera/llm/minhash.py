@@ -10,12 +10,15 @@ sets agree in a register about as often as their Jaccard similarity says.
 2. Band the registers of class representatives; equal bands share a bucket.
 3. Pair the members of a bucket with a hub; keep pairs whose sizes allow the
    threshold and whose joint likelihood doesn't rule it out; verify the rest
-   on full sets. Components shrink with each round of hubs.
-4. Pair what is left in different components of one bucket exactly, so that no
-   link that banding finds between components is lost.
+   on full sets. Components grow with each round of hubs.
+4. Compare what is left in different components of one bucket, sketch with
+   sketch, block by block inside tasks; only likely pairs leave the task, each
+   from the first bucket that it shares, and are verified like the others. So
+   no link between components is lost, and no group emits all its pairs.
 
-With 160 registers in bands of 5, a pair at similarity 0.8 shares no bucket
-with probability 3e-6, and the likelihood test is over six standard errors off.
+With 315 registers in bands of 7, a pair at similarity 0.8 shares no bucket
+with probability 2.5e-5 (0.85: 3e-8), and the likelihood test is over eight
+standard errors off.
 
 Null or empty texts, or texts without a word, have an empty set and link with
 nothing. Fewer words than a shingle make one shingle. A repeated id is one
@@ -36,8 +39,8 @@ from .components import connected_components
 from .storage import discard, materialize
 from .textops import WORD, Chunk, chunks, mix, pieces, windows
 
-REGISTERS = 160
-BAND = 5
+REGISTERS = 315
+BAND = 7
 BASE = 1.001
 LIMIT = 65534
 RATE = 20.0
@@ -45,6 +48,10 @@ RATE = 20.0
 MARGIN = 0.2
 #: Rows of one hub that share a copy of its set.
 HUB_ROWS = 500
+#: Members of a bucket that are compared with as many others in one task.
+BLOCK = 512
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle; its size doesn't grow.
+FILTER_BITS = 1 << 25
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,20 +108,22 @@ def sketch(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id bigint, n_shingles bigint, digest binary, registers binary")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+
+
 def _bands(reps: DataFrame) -> DataFrame:
-    """(bucket, id) for every band of every representative."""
+    """(band, bucket, id) for every band of every representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), REGISTERS).astype(np.uint64)
-            n = REGISTERS // BAND
+            ids, regs, n = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), REGISTERS // BAND
             h = np.tile(np.arange(1, n + 1, dtype=np.uint64), (len(ids), 1))
             for k in range(BAND):
                 h = mix(h * np.uint64(0xD6E8FEB86659FD93) + regs[:, k::BAND])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(ids, n))], ["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(ids))), pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(ids, n))], ["band", "bucket", "id"])
 
-    return reps.select("id", "registers").mapInArrow(run, "bucket bigint, id bigint")
+    return reps.select("id", "registers").mapInArrow(run, "band int, bucket bigint, id bigint")
 
 
 def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, at: float) -> np.ndarray:
@@ -139,7 +148,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (2, 3))
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(na), REGISTERS) for c in (4, 5))
+            ra, rb = _matrix(batch.column(4)), _matrix(batch.column(5))
             more, less = (ra > rb).sum(axis=1), (ra < rb).sum(axis=1)
             good = likely(REGISTERS - more - less, more, less, na, nb, percent / 100 - MARGIN)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
@@ -147,31 +156,48 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id, in at most ``FILTER_BITS`` / 64 rows."""
+    at = F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = ids.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return np.unpackbits(words.view(np.uint8), bitorder="little")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, shingles) of the documents named by ``ids``."""
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(ids)).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            at = batch.column(1).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for c in chunks(batch.column(2)):
                 h, sizes = shingle_sets(c, size)
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), values], ["id", "shingles"])
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id bigint, shingles array<bigint>")
+    key = F.col(id_col).cast("long")
+    rows = docs.where(key.isNotNull()).select(key.alias("id"), F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id bigint, shingles array<bigint>").join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets reach the threshold. A hub of many pairs has its set copied, so no task gets all of them."""
     uses = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("uses"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(docs, ids, size, id_col, text_col)
+    sets = materialize(_sets(docs, ids, size, id_col, text_col), "sets")
     copies = F.ceil(F.col("uses") / HUB_ROWS).cast("int")
     hubs = sets.join(uses, "id").select(F.col("id").alias("a"), F.col("shingles").alias("s_a"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     salted = pairs.join(uses.withColumnRenamed("id", "a"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("uses")
     members = salted.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return members.join(hubs, ["a", "salt"]).where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct()
+    found = members.join(hubs, ["a", "salt"]).where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct()
+    links = materialize(found, "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,32 +217,68 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return full.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _apart(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of different components within buckets, from (band, bucket, id, component, n).
+
+    A bucket of n members is cut into blocks; each block meets each other one
+    in a task of its own.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
+    full = placed.join(reps.select("id", "n_shingles", "registers"), "id").select("bucket", "i", "j", "band", "side", "id", "component", "n_shingles", "registers")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j, band = (group.column(c)[0].as_py() for c in (1, 2, 3))
+        side, ids, component = (group.column(c).to_numpy() for c in (4, 5, 6))
+        sizes, regs = group.column(7).to_numpy().astype(float), _matrix(group.column(8).combine_chunks())
+        found_a, found_b = [], []
+        for x in range(len(ids)):
+            if i != j and side[x] != 0:
+                continue
+            other = np.flatnonzero((side == 1) if i != j else (ids > ids[x]))
+            other = other[(component[other] != component[x]) & (100 * np.minimum(sizes[other], sizes[x]) >= percent * np.maximum(sizes[other], sizes[x]))]
+            if not len(other):
+                continue
+            mine = regs[x]
+            more, less = (mine > regs[other]).sum(axis=1), (mine < regs[other]).sum(axis=1)
+            good = likely(REGISTERS - more - less, more, less, np.full(len(other), sizes[x]), sizes[other], percent / 100 - MARGIN)
+            other = other[good]
+            agree = (regs[other] == mine).reshape(len(other), REGISTERS // BAND, BAND).all(axis=2)
+            other = other[agree.argmax(axis=1) == band] if len(other) else other
+            found_a += [min(ids[x], y) for y in ids[other]]
+            found_b += [max(ids[x], y) for y in ids[other]]
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of the representatives that have a link."""
+    verify = lambda pairs: _verified(materialize(pairs, "candidates"), docs, size, percent, id_col, text_col)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    buckets = materialize(bands.join(shared, "bucket").select("bucket", "id", "hub"), "buckets")
-    test = lambda pairs: _verified(materialize(_estimated(pairs, reps, percent), "candidates"), docs, size, percent, id_col, text_col)
-    edges = materialize(test(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
-    labels = materialize(connected_components(edges), "labels")
-    bound, turn = max(10_000, 2 * reps.count()), 0
+    buckets = materialize(bands.join(shared, "bucket"), "buckets")
+    first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    labels = materialize(connected_components(verify(_estimated(first, reps, percent))), "labels")
+    enough, turn, n_new = 4 * reps.count(), 0, 1
     while True:
         turn += 1
-        placed = materialize(buckets.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        # Within each bucket, the members outside its largest component have to be paired with all others.
+        placed = materialize(buckets.select("band", "bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        # Within each bucket, the members outside its largest component have to meet all others.
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        top = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-        open_buckets = materialize(top.select("bucket", F.col("top.component").alias("largest"), "n", (F.col("n") - F.col("top.n")).alias("rest")), "open")
-        work = open_buckets.agg(F.sum(F.col("n") * F.col("rest"))).first()[0] or 0
-        exact = work <= bound
-        members = placed.join(open_buckets, "bucket")
-        if exact:
-            rest = members.where("component <> largest").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-            pairs = members.select("bucket", "id", "component", "largest").join(rest, "bucket").where("component <> cx and (component = largest or id < x)")
-            pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        top = parts.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        work = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()[0] or 0
+        if not work:
+            return labels
+        last = work <= enough or not n_new
+        members = placed.join(top.select("bucket", "n"), "bucket")
+        if last:
+            pairs = _apart(members, reps, percent)
         else:
             hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "component")).alias("hub")).select("bucket", F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"))
-            pairs = members.join(hubs, "bucket").where("component <> ca").select("a", F.col("id").alias("b")).distinct()
-        new = materialize(test(pairs) if work else edges.limit(0), "links")
+            pairs = _estimated(members.join(hubs, "bucket").where("component <> ca").select("a", F.col("id").alias("b")).distinct(), reps, percent)
+        new = verify(pairs)
         n_new = new.count()
         if n_new:
             lifted = new.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -224,12 +286,10 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
             known = labels.unionByName(merged.select("id", F.col("id").alias("component"))).distinct()
             moved = known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
             labels = materialize(moved.groupBy("id").agg(F.min(F.coalesce("to", "component")).alias("component")), "labels")
-        for used in (placed, open_buckets, new):
-            discard(used)
-        if exact or not work:
+        discard(placed)
+        discard(new)
+        if last:
             return labels
-        if not n_new:
-            bound = work
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, minhash, mixing, rules, tokens
+from . import bpe, credentials, embeddings, licenses, minhash, mixing, pii, rules, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,29 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), number("learned"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    start = F.transform("base", lambda b: b["at"])
+    end = F.transform("base", lambda b: b["at"])
+    base = F.transform("base", lambda b: b["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(start).cast("long").alias("first_word"),
+        F.array_max(end).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, "labels")), ",").alias("labels"),
+        F.greatest("score", F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("score"),
+    )
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), *(number(k) for k in pii.FORMATS), "found", "text")
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -43,6 +66,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
+    "op5_pii": op5_pii,
     "op6_tokens": op6_tokens,
+    "op7_embeddings": op7_embeddings,
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,
 }

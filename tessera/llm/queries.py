@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, embeddings, licenses, minhash, mixing, pii, rules, tokens
+from . import bpe, credentials, crf, embeddings, licenses, minhash, mixing, pii, rules, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,14 +56,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_found"), *(number(k) for k in pii.FORMATS), "found", "text")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return bpe.encoded(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,13 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & rules.passes(rules.DEFAULT)).alias("kept"), "failed")
 
 
+def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = crf.train(docs, labels.where(~crf.held_out(F.col("doc_id"))))
+    scored = crf.score(docs, model)
+    return scored.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
@@ -90,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embeddings": op7_embeddings,
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,
+    "op10_crf": op10_crf,
 }

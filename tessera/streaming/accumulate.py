@@ -1,0 +1,15 @@
+"""Canvases that grow while parts arrive: the accumulation of placed pixels as a streaming aggregation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def running_canvas(placed: DataFrame) -> DataFrame:
+    """Mean and number of the values of each canvas pixel so far, from a stream of (collage_id, image_id, y, x, v).
+
+    Sums are associative, so the order of arrival doesn't matter. State grows
+    with covered pixels; write it in update mode.
+    """
+    return placed.groupBy("collage_id", "y", "x").agg(F.count("*").alias("n"), F.avg("v").alias("v"))

@@ -11,13 +11,13 @@ sets agree in a register about as often as their Jaccard similarity says.
 3. Pair the members of a bucket with a hub; keep pairs whose sizes allow the
    threshold and whose joint likelihood doesn't rule it out; verify the rest
    on full sets. Components grow with each round of hubs.
-4. Compare what is left in different components of one bucket, sketch with
-   sketch, block by block inside tasks; only likely pairs leave the task, each
-   from the first bucket that it shares, and are verified like the others. So
-   no link between components is lost, and no group emits all its pairs.
+4. Compare what is left in different components of one bucket block by block
+   inside tasks, sketches first and then full sets, each pair in the first
+   bucket that it shares. Only links leave the task. So no link between
+   components is lost, and no group emits all its pairs.
 
 With 315 registers in bands of 7, a pair at similarity 0.8 shares no bucket
-with probability 2.5e-5 (0.85: 3e-8), and the likelihood test is over eight
+with probability 2.5e-5 (0.85: 3e-8), and the likelihood test is almost five
 standard errors off.
 
 Null or empty texts, or texts without a word, have an empty set and link with
@@ -45,11 +45,11 @@ BASE = 1.001
 LIMIT = 65534
 RATE = 20.0
 #: Candidates are dropped if their likeliest similarity is this much below the threshold.
-MARGIN = 0.2
+MARGIN = 0.11
 #: Rows of one hub that share a copy of its set.
 HUB_ROWS = 500
 #: Members of a bucket that are compared with as many others in one task.
-BLOCK = 512
+BLOCK = 256
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; its size doesn't grow.
 FILTER_BITS = 1 << 25
 
@@ -217,23 +217,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return full.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _apart(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components within buckets, from (band, bucket, id, component, n).
+def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different components within buckets, from (band, bucket, id, component, n).
 
     A bucket of n members is cut into blocks; each block meets each other one
-    in a task of its own.
+    in a task of its own. Sets travel once for each block pair, not for each pair of documents.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
     placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
-    full = placed.join(reps.select("id", "n_shingles", "registers"), "id").select("bucket", "i", "j", "band", "side", "id", "component", "n_shingles", "registers")
+    sets = _sets(docs, members.select("id").distinct(), size, id_col, text_col)
+    full = placed.join(sets, "id").select("bucket", "i", "j", "band", "side", "id", "component", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
         i, j, band = (group.column(c)[0].as_py() for c in (1, 2, 3))
         side, ids, component = (group.column(c).to_numpy() for c in (4, 5, 6))
-        sizes, regs = group.column(7).to_numpy().astype(float), _matrix(group.column(8).combine_chunks())
-        found_a, found_b = [], []
+        lists = group.column(7).combine_chunks()
+        hashes, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+        sets = np.split(hashes, ends[:-1])
+        sizes, regs = np.diff(ends, prepend=0), registers(hashes, np.diff(ends, prepend=0))
+        found = []
         for x in range(len(ids)):
             if i != j and side[x] != 0:
                 continue
@@ -243,13 +247,13 @@ def _apart(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 continue
             mine = regs[x]
             more, less = (mine > regs[other]).sum(axis=1), (mine < regs[other]).sum(axis=1)
-            good = likely(REGISTERS - more - less, more, less, np.full(len(other), sizes[x]), sizes[other], percent / 100 - MARGIN)
-            other = other[good]
+            other = other[likely(REGISTERS - more - less, more, less, np.full(len(other), float(sizes[x])), sizes[other].astype(float), percent / 100 - MARGIN)]
             agree = (regs[other] == mine).reshape(len(other), REGISTERS // BAND, BAND).all(axis=2)
-            other = other[agree.argmax(axis=1) == band] if len(other) else other
-            found_a += [min(ids[x], y) for y in ids[other]]
-            found_b += [max(ids[x], y) for y in ids[other]]
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            for y in (other[agree.argmax(axis=1) == band] if len(other) else other).tolist():
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return full.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
@@ -261,7 +265,8 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     buckets = materialize(bands.join(shared, "bucket"), "buckets")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = materialize(connected_components(verify(_estimated(first, reps, percent))), "labels")
-    enough, turn, n_new = 4 * reps.count(), 0, 1
+    # Comparing sketches inside tasks is cheap, so hubs go on only while far more than so many comparisons are left.
+    enough, turn, n_new = 100 * reps.count(), 0, 1
     while True:
         turn += 1
         placed = materialize(buckets.select("band", "bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
@@ -274,11 +279,10 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
         last = work <= enough or not n_new
         members = placed.join(top.select("bucket", "n"), "bucket")
         if last:
-            pairs = _apart(members, reps, percent)
+            new = materialize(_apart(members, docs, size, percent, id_col, text_col), "links")
         else:
             hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "component")).alias("hub")).select("bucket", F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"))
-            pairs = _estimated(members.join(hubs, "bucket").where("component <> ca").select("a", F.col("id").alias("b")).distinct(), reps, percent)
-        new = verify(pairs)
+            new = verify(_estimated(members.join(hubs, "bucket").where("component <> ca").select("a", F.col("id").alias("b")).distinct(), reps, percent))
         n_new = new.count()
         if n_new:
             lifted = new.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")

@@ -113,17 +113,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(band, bucket, id) for every band of every representative."""
+    """(bucket, id) for every band of every representative; the last six bits of a bucket are its band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, regs, n = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), REGISTERS // BAND
-            h = np.tile(np.arange(1, n + 1, dtype=np.uint64), (len(ids), 1))
+            bands = np.arange(n, dtype=np.uint64)
+            h = np.tile(bands + np.uint64(1), (len(ids), 1))
             for k in range(BAND):
                 h = mix(h * np.uint64(0xD6E8FEB86659FD93) + regs[:, k::BAND])
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(ids))), pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(ids, n))], ["band", "bucket", "id"])
+            h = (h & ~np.uint64(63)) | bands
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(ids, n))], ["bucket", "id"])
 
-    return reps.select("id", "registers").mapInArrow(run, "band int, bucket bigint, id bigint")
+    return reps.select("id", "registers").mapInArrow(run, "bucket bigint, id bigint")
 
 
 def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, at: float) -> np.ndarray:
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between different components within buckets, from (band, bucket, id, component, n).
+    """Links (a, b) between different components within buckets, from (bucket, id, component, n).
 
     A bucket of n members is cut into blocks; each block meets each other one
     in a task of its own. Sets travel once for each block pair, not for each pair of documents.
@@ -226,14 +228,15 @@ def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
     placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
+    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
     sets = _sets(docs, members.select("id").distinct(), size, id_col, text_col)
-    full = placed.join(sets, "id").select("bucket", "i", "j", "band", "side", "id", "component", "shingles")
+    full = placed.join(sets, "id").select("bucket", "i", "j", "side", "id", "component", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j, band = (group.column(c)[0].as_py() for c in (1, 2, 3))
-        side, ids, component = (group.column(c).to_numpy() for c in (4, 5, 6))
-        lists = group.column(7).combine_chunks()
+        bucket, i, j = (group.column(c)[0].as_py() for c in (0, 1, 2))
+        band = bucket & 63
+        side, ids, component = (group.column(c).to_numpy() for c in (3, 4, 5))
+        lists = group.column(6).combine_chunks()
         hashes, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
         sets = np.split(hashes, ends[:-1])
         sizes, regs = np.diff(ends, prepend=0), registers(hashes, np.diff(ends, prepend=0))
@@ -265,15 +268,15 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     buckets = materialize(bands.join(shared, "bucket"), "buckets")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = materialize(connected_components(verify(_estimated(first, reps, percent))), "labels")
-    # Comparing sketches inside tasks is cheap, so hubs go on only while far more than so many comparisons are left.
-    enough, turn, n_new = 100 * reps.count(), 0, 1
+    # Hubs go on while they find links and sending sets to block pairs would cost more rows than there are representatives.
+    enough, turn, n_new = reps.count(), 0, 1
     while True:
         turn += 1
-        placed = materialize(buckets.select("band", "bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        # Within each bucket, the members outside its largest component have to meet all others.
+        placed = materialize(buckets.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        # Buckets whose members are not all in one component yet.
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        top = parts.groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-        work = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()[0] or 0
+        top = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        work = top.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
         if not work:
             return labels
         last = work <= enough or not n_new

@@ -10,7 +10,8 @@
    while a fresh one would serve.
 4. A pattern's flow is so many whole copies and a rest. The rest goes to
    documents in the order of a seeded hash, up to the first that doesn't fit;
-   what is then left goes on to later ones that are small enough. Cuts are found
+   what is then left goes on to later ones that are small enough, and then to
+   one more copy of small ones. Cuts are found
    by sums of hash buckets, level by level, so no source is ever gathered or
    sorted as a whole.
 
@@ -164,14 +165,19 @@ def plan(sized: DataFrame, weights: Sequence[float], repeats: int) -> tuple[Data
     taken = min_cost_flow(patterns, {s: round(t) for s, t in zip(sources, target, strict=True)}, repeats)
     copies = {p.key: taken[p.key] // p.size if p.size else 0 for p in patterns}
     cuts: dict[str, list[tuple[int, int, int]]] = {p.key: [] for p in patterns}
-    open_ = [(p.key, taken[p.key] % p.size, -1, TOP) for p in patterns if p.size and taken[p.key] % p.size]
-    for _ in range(PASSES):
-        if not open_:
-            break
-        reached = _cuts(sized, open_)
-        for key, _, after, limit in open_:
-            cuts[key].append((after, reached[key][0], limit))
-        open_ = [(key, reached[key][1], reached[key][0], reached[key][1]) for key, *_ in open_ if reached[key][1] > NEAR * taken[key] and reached[key][0] < TOP]
+    room = {p.key: taken[p.key] % p.size for p in patterns if p.size and taken[p.key] % p.size}
+    for level in range(repeats):
+        # What no further document fits goes on to one more copy of smaller ones, while that is allowed.
+        far = {k: r for k, r in room.items() if r > NEAR * taken[k] and copies[k] + level < repeats}
+        open_ = [(k, r, -1, TOP if level == 0 else r) for k, r in far.items()]
+        for _ in range(PASSES):
+            if not open_:
+                break
+            reached = _cuts(sized, open_)
+            for key, _, after, limit in open_:
+                cuts[key].append((after, reached[key][0], limit))
+                room[key] = reached[key][1]
+            open_ = [(key, room[key], reached[key][0], room[key]) for key, *_ in open_ if room[key] > NEAR * taken[key] and reached[key][0] < TOP]
     rows = [(p.key, copies[p.key], cuts[p.key]) for p in patterns]
     chosen = spark.createDataFrame(rows, "_mix_of string, _mix_copies int, _mix_cuts array<struct<after: bigint, upto: bigint, most: bigint>>")
     totals = spark.createDataFrame(list(zip(sources, sizes, target, strict=True)), "source string, source_size bigint, target double")
@@ -181,8 +187,8 @@ def plan(sized: DataFrame, weights: Sequence[float], repeats: int) -> tuple[Data
 def _copies() -> Column:
     """Copies of a row that is joined to its pattern's cuts."""
     h, size = F.col("_mix_h"), F.col("_mix_size")
-    chosen = F.exists("_mix_cuts", lambda c: (h > c["after"]) & (h <= c["upto"]) & (size <= c["most"]))
-    return F.coalesce(F.col("_mix_copies") + chosen.cast("int"), F.lit(0))
+    chosen = F.size(F.filter("_mix_cuts", lambda c: (h > c["after"]) & (h <= c["upto"]) & (size <= c["most"])))
+    return F.coalesce(F.col("_mix_copies") + F.greatest(chosen, F.lit(0)), F.lit(0))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import CODE_POINT, LINE, LOWER, UPPER, WORD, Chunk, chunks, class_of, mix, per_doc, pieces, windows
+from .textops import CODE_POINT, LINE, LOWER, UPPER, WORD, Chunk, chunks, class_of, map_rows, mix, per_doc, pieces, windows
 
 SYMBOLS = class_of("#*$%&|<>")
 EXCLAMATION = class_of("!")
@@ -151,4 +151,4 @@ def keep_documents(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "t
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -8,12 +8,13 @@ modulo 2**64, followed by a mixing step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -139,3 +140,9 @@ def windows(words: Pieces, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words.hash[first + k]
     return mix(h + np.uint64(size)), first
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` over whole rows whatever their columns are called; ``run`` finds them by position."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -4,7 +4,8 @@ Every line is good or bad. A line's features describe it and the lines before
 and after it; neighbouring labels have transition weights. Forward-backward
 gives each line's probability of being good, and their geometric mean,
 weighted by length, is the document's score: it falls fast with the share of
-bad lines.
+bad lines. A power fitted on the training documents puts the border between
+good and bad at ``BORDER``.
 
 The model is fitted to the lines of at most ``SAMPLE`` labelled documents,
 which take their document's label; the same ones in every run. Labels, ids and
@@ -34,6 +35,8 @@ RATE = 0.1
 PENALTY = 1e-3
 #: Probabilities of lines count as this much at least.
 LEAST = 1e-6
+#: Scores from here on are called good.
+BORDER = 0.3
 
 _SYMBOL = class_of("#*$%&|<>{}[]\\^~_=")
 _STOP = class_of(".?")
@@ -142,6 +145,12 @@ def messages(score: np.ndarray, grid: Grid, moves: np.ndarray) -> tuple[np.ndarr
 class Model(NamedTuple):
     weights: np.ndarray
     moves: np.ndarray
+    power: float = 1.0
+
+    def scores(self, found: Lines) -> np.ndarray:
+        """The geometric mean over its bytes of each document's probability of good, to the model's power."""
+        good = np.log(np.maximum(self.good(found.doc, found.features), LEAST))
+        return np.exp(self.power * np.bincount(found.doc, weights=found.size * good) / np.bincount(found.doc, weights=found.size))
 
     def good(self, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Each line's marginal probability of being good."""
@@ -175,6 +184,22 @@ def fit(doc: np.ndarray, x: np.ndarray, label: np.ndarray) -> Model:
     return Model(theta[:-4], theta[-4:].reshape(2, 2))
 
 
+def calibrated(model: Model, found: Lines, label: np.ndarray) -> Model:
+    """The model with the power that puts the best border between the training documents at ``BORDER``."""
+    if len(np.unique(label)) < 2:
+        return model
+    score = np.clip(model.scores(found), 1e-9, 1 - 1e-9)
+    order = np.argsort(score)
+    score, good = score[order], label[order]
+    # Right answers if the first k documents are called bad.
+    right = np.concatenate([[0], np.cumsum(good == 0)]) + good.sum() - np.concatenate([[0], np.cumsum(good)])
+    best = [k for k in np.flatnonzero(right == right.max()) if 0 < k < len(score)]
+    if not best:
+        return model
+    border = max(((score[k] - score[k - 1], (score[k] + score[k - 1]) / 2) for k in best))[1]
+    return model._replace(power=float(np.log(BORDER) / np.log(border)))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """The model of at most ``SAMPLE`` of the rows of ``labels`` (id, label 0 or 1) by a hash of their ids."""
     chosen = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("_label")).where(F.col("_of").isNotNull() & F.col("_label").isin(0, 1))
@@ -186,27 +211,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for c in chunks(batch.column(0)):
                 found = lines(c)
                 order = np.searchsorted(found.doc, np.arange(len(c.offsets)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.first, c.last - c.first), pa.array([found.features[a:b].astype(np.float32).tobytes() for a, b in zip(order[:-1], order[1:], strict=True)], pa.binary())], ["label", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.first, c.last - c.first), pa.array([found.features[a:b].astype(np.float32).tobytes() for a, b in zip(order[:-1], order[1:], strict=True)], pa.binary()), pa.array([found.size[a:b].astype(np.float64).tobytes() for a, b in zip(order[:-1], order[1:], strict=True)], pa.binary())], ["label", "features", "sizes"])
 
-    table = rows.mapInArrow(run, "label int, features binary").toArrow()
-    parts = sorted(zip(table["label"].to_pylist(), table["features"].to_pylist(), strict=True))
-    x = [np.frombuffer(f, np.float32).reshape(-1, N_FEATURES) for _, f in parts]
+    table = rows.mapInArrow(run, "label int, features binary, sizes binary").toArrow()
+    parts = sorted(zip(table["label"].to_pylist(), table["features"].to_pylist(), table["sizes"].to_pylist(), strict=True))
+    x = [np.frombuffer(f, np.float32).reshape(-1, N_FEATURES) for _, f, _ in parts]
     doc = np.repeat(np.arange(len(x)), [len(f) for f in x])
-    label = np.repeat(np.array([v for v, _ in parts], np.int64), [len(f) for f in x])
-    return fit(doc, np.concatenate([np.zeros((0, N_FEATURES)), *x]).astype(np.float64), label)
+    label = np.repeat(np.array([v for v, _, _ in parts], np.int64), [len(f) for f in x])
+    size = np.concatenate([np.zeros(0), *(np.frombuffer(s, np.float64) for _, _, s in parts)])
+    found = Lines(doc, size, np.concatenate([np.zeros((0, N_FEATURES)), *x]).astype(np.float64))
+    return calibrated(fit(found.doc, found.features, label), found, np.array([v for v, _, _ in parts], np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id and score, the geometric mean over its bytes of the probability of good."""
+    """One row per row of ``docs``: id and score, as the model gives it (see ``Model.scores``)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 found = lines(c)
-                good = np.log(np.maximum(model.good(found.doc, found.features), LEAST))
-                total = np.bincount(found.doc, weights=found.size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), pa.array(np.exp(np.bincount(found.doc, weights=found.size * good) / total))], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), pa.array(model.scores(found))], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 

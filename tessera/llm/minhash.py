@@ -220,15 +220,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between different components within buckets, from (bucket, id, component, n).
+    """Links (a, b) between different components within buckets, from (bucket, id, component, largest, core, n).
 
-    A bucket of n members is cut into blocks; each block meets each other one
-    in a task of its own. Sets travel once for each block pair, not for each pair of documents.
+    The largest component of a bucket, its core, needs no comparing with itself.
+    Core and rest are cut into blocks; a block of the rest meets each block of
+    the core and of the rest in a task of its own. Sets travel once for each
+    block pair, not for each pair of documents.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component")
+    inner = F.col("component") == F.col("largest")
+    cores, rests = F.ceil(F.col("core") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("core")) / BLOCK).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    own, each = F.col("own"), lambda n: F.sequence(F.lit(0), n - 1)
+    of_core = F.transform(each(rests), lambda r: cell(-1 - own, r, F.lit(0)))
+    of_rest = F.concat(F.transform(each(cores), lambda k: cell(-1 - k, own, F.lit(1))), F.transform(each(rests), lambda o: cell(F.least(own, o), F.greatest(own, o), F.when(own <= o, 0).otherwise(1))))
+    placed = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.when(inner, cores).otherwise(rests)).cast("int"))
+    placed = placed.withColumn("cell", F.explode(F.when(inner, of_core).otherwise(of_rest))).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component")
     sets = _sets(docs, members.select("id").distinct(), size, id_col, text_col)
     full = placed.join(sets, "id").select("bucket", "i", "j", "side", "id", "component", "shingles")
 
@@ -275,12 +281,14 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
         placed = materialize(buckets.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
         # Buckets whose members are not all in one component yet.
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        top = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-        work = top.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+        top = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        top = top.select("bucket", "n", F.col("top.component").alias("largest"), F.col("top.n").alias("core"))
+        rest = F.col("n") - F.col("core")
+        work = top.agg(F.sum(F.col("core") * F.ceil(rest / BLOCK) + rest * (F.ceil(F.col("core") / BLOCK) + F.ceil(rest / BLOCK)))).first()[0] or 0
         if not work:
             return labels
         last = work <= enough or not n_new
-        members = placed.join(top.select("bucket", "n"), "bucket")
+        members = placed.join(top, "bucket")
         if last:
             new = materialize(_apart(members, docs, size, percent, id_col, text_col), "links")
         else:

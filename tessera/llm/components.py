@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from .storage import discard, materialize
 
+#: Edges that a task of a star step takes.
+EDGES = 50_000
+
 
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (a, b) with a > b: links neighbours to the smallest one.
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
+    """One star step on edges (a, b) with a > b, in ``parts`` tasks: links neighbours to the smallest one.
 
     The minimum per node is combined before the shuffle and joined back, so no
     list of neighbours is ever gathered; a hot hub is split by the skew join.
@@ -28,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").coalesce(parts).distinct().coalesce(parts)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,7 +43,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _signature(now)
     while before[0]:
-        new = materialize(_star(_star(now, True), False), "edges")
+        parts = before[0] // EDGES + 1
+        new = materialize(_star(_star(now, True, parts), False, parts), "edges")
         discard(now)
         now, after = new, _signature(new)
         if after == before:

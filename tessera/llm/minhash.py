@@ -275,20 +275,22 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = materialize(connected_components(verify(_estimated(first, reps, percent))), "labels")
     # Hubs go on while they find links and sending sets to block pairs would cost more rows than there are representatives.
-    enough, turn, n_new = reps.count(), 0, 1
+    enough, turn, n_new, unsettled = reps.count(), 0, 1, buckets
     while True:
         turn += 1
-        placed = materialize(buckets.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-        # Buckets whose members are not all in one component yet.
+        placed = materialize(unsettled.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+        # Buckets whose members are not all in one component yet; the others are done, as components only grow.
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         top = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-        top = top.select("bucket", "n", F.col("top.component").alias("largest"), F.col("top.n").alias("core"))
+        top = materialize(top.select("bucket", "n", F.col("top.component").alias("largest"), F.col("top.n").alias("core")), "top")
         rest = F.col("n") - F.col("core")
         work = top.agg(F.sum(F.col("core") * F.ceil(rest / BLOCK) + rest * (F.ceil(F.col("core") / BLOCK) + F.ceil(rest / BLOCK)))).first()[0] or 0
         if not work:
             return labels
         last = work <= enough or not n_new
-        members = placed.join(top, "bucket")
+        members = materialize(placed.join(top, "bucket"), "members")
+        discard(placed)
+        discard(top)
         if last:
             new = materialize(_apart(members, docs, size, percent, id_col, text_col), "links")
         else:
@@ -301,10 +303,12 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
             known = labels.unionByName(merged.select("id", F.col("id").alias("component"))).distinct()
             moved = known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
             labels = materialize(moved.groupBy("id").agg(F.min(F.coalesce("to", "component")).alias("component")), "labels")
-        discard(placed)
         discard(new)
+        discard(unsettled)
         if last:
+            discard(members)
             return labels
+        unsettled = members
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

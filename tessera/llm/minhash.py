@@ -295,7 +295,10 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
             new = materialize(_apart(members, docs, size, percent, id_col, text_col), "links")
         else:
             hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "component")).alias("hub")).select("bucket", F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"))
+            # Written first, so that the join may split a large bucket.
+            hubs = materialize(hubs, "hubs")
             new = verify(_estimated(members.join(hubs, "bucket").where("component <> ca").select("a", F.col("id").alias("b")).distinct(), reps, percent))
+            discard(hubs)
         n_new = new.count()
         if n_new:
             lifted = new.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")

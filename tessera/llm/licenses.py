@@ -3,9 +3,10 @@
 1. Every text becomes words (digits, letters and characters beyond ASCII,
    A-Z in lower case). Document frequencies of the license vocabulary over all
    documents give each word's IDF.
-2. A file with an anchor word looks up its ``RARE`` license words of highest
-   IDF in the postings of the templates. Postings of one template that agree on the
-   relative position support one placement.
+2. A file with an anchor word looks up, for each template all of whose key words
+   it holds, the ``RARE`` words of highest IDF that both have, in the template's
+   postings. Postings of one template that agree on the relative position support
+   one placement. So no template's words crowd out those of another.
 3. A placement counts if the template's key phrase stands where it has to.
    Its score is the share of the template's IDF, over the words looked up,
    that is found in place.
@@ -17,12 +18,14 @@ with repeated or null ids. Further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: License words that a file looks up at most; every occurrence of them is used.
+#: Words that a file looks up at most for each template; every occurrence of them is used.
 RARE = 12
 LEAST_SCORE = 0.6
 
@@ -86,6 +89,12 @@ def _postings(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "word string, template int, label string, place int, key_at int, key array<string>"))
 
 
+def _held(spark) -> DataFrame:
+    """(template, key, vocabulary) of every template; the vocabulary says how often each word occurs."""
+    rows = [(t, key.split(), sorted(Counter(text.split()).items())) for t, (_, text, key) in enumerate(TEMPLATES)]
+    return F.broadcast(spark.createDataFrame(rows, "template int, key array<string>, vocabulary array<struct<word: string, n: int>>"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, base (places), labels (of the method), placements (label, at, score) and score."""
     spark = docs.sparkSession
@@ -97,14 +106,19 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = read.count()
     idf = F.broadcast(frequency.select("word", F.log1p(F.lit(float(total)) / F.col("df")).alias("idf")))  # a row for each word of the vocabulary
     files = read.where(F.col("words").isNotNull())
-    ranked = files.select("row", F.explode("known").alias("word")).join(idf, "word").groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), False), 1, RARE).alias("rare"))
-    # Occurrences of the words looked up, with all postings of each.
-    occurrences = files.join(ranked, "row").select("row", "rare", F.posexplode("words").alias("at", "word")).where(F.exists("rare", lambda r: r["word"] == F.col("word")))
-    postings = _postings(spark)
-    supported = occurrences.join(idf, "word").join(postings, "word").groupBy("row", "template", "label", "key_at", "key", (F.col("at") - F.col("place")).alias("start")).agg(F.sum("idf").alias("found"), F.first("rare").alias("rare"))
-    wanted = F.broadcast(postings.join(idf, "word").groupBy("template").agg(F.collect_list(F.struct("word", "idf")).alias("full")))
-    asked = F.aggregate(F.filter("full", lambda p: F.exists("rare", lambda r: r["word"] == p["word"])), F.lit(0.0), lambda s, p: s + p["idf"])
-    placed = supported.join(wanted, "template").withColumn("score", F.col("found") / asked).where(F.col("score") >= LEAST_SCORE)
+    # A placement needs its key phrase, so a template lacking one of the key's words can't have any.
+    held = files.select("row", "known").join(_held(spark), F.size(F.array_except("key", "known")) == 0)
+    shared = held.select("row", "template", F.explode(F.filter("vocabulary", lambda v: F.array_contains("known", v["word"]))).alias("v")).select("row", "template", "v.word", "v.n")
+    ranked = shared.join(idf, "word").groupBy("row", "template").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word", "n")), False), 1, RARE).alias("rare"))
+    asked = F.aggregate("rare", F.lit(0.0), lambda s, r: s + r["idf"] * r["n"])
+    lookups = materialize(ranked.select("row", "template", asked.alias("asked"), F.explode("rare").alias("r")).select("row", "template", "asked", "r.word", "r.idf"), "lookups")
+    # Occurrences of the words looked up, with all postings of the templates that ask for them.
+    wanted = lookups.groupBy("row").agg(F.collect_set("word").alias("wanted"))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda o: F.array_contains("wanted", o["word"]))
+    occurrences = files.join(wanted, "row").select("row", F.explode(places).alias("o")).select("row", "o.at", "o.word")
+    supported = occurrences.join(lookups, ["row", "word"]).join(_postings(spark), ["template", "word"])
+    supported = supported.groupBy("row", "template", "label", "key_at", "key", "asked", (F.col("at") - F.col("place")).alias("start")).agg(F.sum("idf").alias("found"))
+    placed = supported.withColumn("score", F.col("found") / F.col("asked")).where(F.col("score") >= LEAST_SCORE)
     checked = placed.join(files.select("row", "words"), "row").where((F.col("start") + F.col("key_at") >= 0) & (F.slice("words", F.greatest(F.col("start") + F.col("key_at") + 1, F.lit(1)), F.size("key")) == F.col("key")))
     best = checked.groupBy("row").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.sort_array(F.collect_list(F.struct("label", F.col("start").alias("at"), F.round("score", 6).alias("score")))).alias("placements"), F.max("score").alias("score"))
     placements = "array<struct<label: string, at: int, score: double>>"

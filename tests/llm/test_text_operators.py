@@ -190,6 +190,31 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0 and licenses.scan_licenses(documents(spark)).count() == documents(spark).count()
 
 
+def _with_licenses(spark, rows):
+    return {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_several_licenses_of_one_file_are_all_found(spark):
+    by_label = {label: text for label, text, _ in licenses.TEMPLATES}
+    notice = ["mpl", "isc", "bsd", "mit"]
+    text = " . ".join(f"{prose(k, 30)} {by_label[label]}" for k, label in enumerate(notice))
+    got = _with_licenses(spark, [(0, text), *((1 + k, f"{prose(50 + k, 40)} {by_label['isc' if k % 2 else 'bsd']}") for k in range(20))])
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    at = lambda label: next(i for i in range(len(w)) if w[i : i + len(by_label[label].split())] == by_label[label].split())
+    assert got[0]["labels"] == sorted(notice)
+    best = {p["label"]: p for p in got[0]["placements"] if p["score"] == 1}
+    assert all(best[label]["at"] == at(label) for label in notice)
+
+
+def test_a_frequent_license_is_not_crowded_out_by_rarer_words(spark):
+    rare = "charge code terms domain mozilla public foundation purpose fee file work free published gnu lesser"
+    bsd = next(text for label, text, _ in licenses.TEMPLATES if label == "bsd")
+    rows = [(i, f"{prose(i, 20)} {bsd}" if i % 3 == 0 else prose(i, 20)) for i in range(60)]
+    got = _with_licenses(spark, [*rows, (60, f"{rare} {prose(60, 30)} {bsd}")])
+    assert all(got[i]["labels"] == (["bsd"] if i % 3 == 0 else []) for i in range(60))
+    assert "bsd" in got[60]["labels"]
+
+
 PRIVATE = "call +1 (499) 555-6503, card 4111 1111 1111 1111 on 2024-02-29, ssn 123-45-6789, ip 10.0.0.255 or 999.1.1.1, a.b7@x.com, 2023-02-30, 1234567890123456"
 
 

@@ -22,8 +22,10 @@ standard errors off.
 
 Null or empty texts, or texts without a word, have an empty set and link with
 nothing. Fewer words than a shingle make one shingle. A repeated id is one
-document with the links of all its rows. A row without id joins the class of
-its text but never represents it. Further columns are ignored.
+document with the links of all its rows, so its rows are in one component. A
+row without id is a document of its own. One row represents each component:
+that of the smallest id, rows without id last, the first one on ties. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,21 +204,53 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return links
 
 
+def _keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that is unique and never null, and its name: the ids if they are so, else a key of each row in a written table."""
+    odd = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1")
+    if odd.isEmpty():
+        return docs, id_col
+    key = "_key"
+    while key in docs.columns:
+        key = "_" + key
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def _components(docs: DataFrame, key: str, size: int, percent: int, text_col: str) -> DataFrame:
+    """(key, n_shingles, component) of every row of ``docs``; the component is the smallest linked key."""
+    sketches = materialize(sketch(docs, size, key, text_col), "sketches")
+    classes = materialize(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    reps = materialize(sketches.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "reps")
+    found = _links(_bands(reps), reps, docs, size, percent, key, text_col)
+    labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    full = sketches.where("n_shingles > 0").select("id", "n_shingles", "digest").join(labels, "digest").select(F.col("id").alias("key"), "n_shingles", "component")
+    return full.unionByName(sketches.where("n_shingles = 0").select(F.col("id").alias("key"), "n_shingles", F.col("id").alias("component")))
+
+
+def _marked(docs: DataFrame, key: str, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, n_shingles, component_id, kept) of every row of ``docs``."""
+    rows = _components(docs, key, size, percent, text_col)
+    if key == id_col:
+        return rows.select("key", F.col("key").alias("id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    ids = docs.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"))
+    rows = materialize(rows.join(ids, "key"), "marked")
+    # Components that share an id are one.
+    named = materialize(rows.where("id is not null").select("id", "component").distinct(), "named")
+    least = named.groupBy("id").agg(F.min("component").alias("b"))
+    merged = connected_components(named.join(least, "id").select(F.col("component").alias("a"), "b"))
+    rows = rows.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").withColumn("component", F.coalesce("to", "component"))
+    rows = materialize(rows.select("key", "id", "n_shingles", "component"), "marked")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    return rows.join(first, "component").select("key", "id", "n_shingles", F.col("first.id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest linked id) and kept (id is component_id).
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest linked id, null if no linked row has one) and kept (one row of each component).
 
     Links join documents whose shingle sets of ``size`` words have a Jaccard
     similarity of ``percent`` / 100 or more. See the module for the method.
     """
-    sketches = materialize(sketch(docs, size, id_col, text_col), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = materialize(classes.where("rep is not null"), "classes")
-    reps = materialize(sketches.where("n_shingles > 0").join(classes, (F.col("rep") == F.col("id")) & (sketches["digest"] == classes["digest"]), "left_semi").dropDuplicates(["id", "digest"]), "reps")
-    found = _links(_bands(reps), reps, docs, size, percent, id_col, text_col)
-    labels = classes.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    full = sketches.where("n_shingles > 0").select("id", "n_shingles", "digest").join(labels, "digest", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    empty = sketches.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return full.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    rows, key = _keyed(docs, id_col)
+    return _marked(rows, key, size, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -315,6 +349,8 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document represents its component, with all their columns. Rows without id go."""
-    kept = near_duplicates(docs, size, percent, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The row of ``docs`` that represents each component, with all its columns."""
+    rows, key = _keyed(docs, id_col)
+    kept = _marked(rows, key, size, percent, id_col, text_col).where("kept").select(F.col("key").alias(key))
+    found = rows.join(kept, key, "left_semi")
+    return found if key == id_col else found.drop(key)

@@ -71,6 +71,23 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_without_id_and_repeated_rows_lose_copies_only(spark):
+    a, b, c, d, e = (prose(200 + k, 60) for k in range(5))
+    alone = [prose(300 + k, 40) for k in range(12)]
+    rows = [(None, t) for t in alone] + [(None, a), (None, a), (7, b), (7, b), (3, b), (None, b), (9, c), (9, d), (None, d), (8, changed(c, 1, 0.001)), (5, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _key int")
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(None, t) for t in [*alone, a, None, ""]] + [(3, b), (5, e)]
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # Id 9 has the texts c and d, so both are one component with 8.
+    assert sorted(map(str, got)) == sorted(map(str, [*want, (8, rows[21][1])]))
+    marked = minhash.near_duplicates(docs).collect()
+    assert len(marked) == len(rows) and sum(r["kept"] for r in marked) == len(got)
+    assert {r["component_id"] for r in marked if r["doc_id"] in (8, 9)} == {8}
+    assert {r["component_id"] for r in marked if r["doc_id"] in (3, 7)} == {3}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)

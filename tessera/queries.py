@@ -184,6 +184,11 @@ def a3_angle(spark, sf_dir):
     return orient.find_angles(_planes(spark, sf_dir), 1.0, 2)
 
 
+@query
+def a3_full(spark, sf_dir):
+    return orient.find_angles(_planes(spark, sf_dir))
+
+
 @query
 def h6_spectral(spark, sf_dir):
     return orient.spectral_angles(_planes(spark, sf_dir), 5.0)
@@ -429,12 +434,12 @@ def w7_border(spark, sf_dir):
 
 @query
 def h5_peel(spark, sf_dir):
-    return canvas.peel(_placed(spark, sf_dir), 20)
+    return canvas.peel(_placed(spark, sf_dir))
 
 
 @query
 def blend_shaped(spark, sf_dir):
-    return collage.blend_shaped(_geometry(spark, sf_dir), _planes(spark, sf_dir), 20)
+    return collage.blend_shaped(_geometry(spark, sf_dir), _planes(spark, sf_dir))
 
 
 @query

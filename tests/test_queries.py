@@ -1,8 +1,12 @@
 """Every query that has SQL returns the SQL's rows."""
 
+import numpy as np
 import pytest
 
 from tessera import oracle, queries
+from tessera.functions import kernels
+from tessera.operators import matching
+from tessera.sources import tables as sources
 
 from .compare import same, tables
 
@@ -33,6 +37,17 @@ def test_spectral_angle_stays_within_the_maximum(spark, sf_dir):
     assert queries.QUERIES["h6_spectral"](spark, sf_dir).toPandas()["angle_deg"].abs().max() <= 6
 
 
+def test_angles_of_all_steps_against_brute_force(spark, sf_dir):
+    got = {(r["collage_id"], r["image_id"]): r["angle_deg"] for r in queries.QUERIES["a3_full"](spark, sf_dir).collect()}
+    planes = matching.planes(sources.mosaic(spark, sf_dir)).collect()
+    assert len(got) == len(planes)
+    for r in planes:
+        plane = np.asarray(r["data"], float).reshape(r["height"], r["width"])
+        scores = [(np.diff(kernels.turn(plane, -1 + k / 20)[0].sum(1)) ** 2).sum() for k in range(41)]
+        k = round((got[r["collage_id"], r["image_id"]] + 1) * 20)
+        assert abs(-1 + k / 20 - got[r["collage_id"], r["image_id"]]) < 1e-6 and scores[k] >= max(scores) * (1 - 1e-9)
+
+
 def test_entry_points_agree():
     import __spark_entry__ as e
 

@@ -41,6 +41,43 @@ def turn(plane: np.ndarray, degrees: float) -> tuple[np.ndarray, float, float]:
     return np.where(valid, v, 0.0), left, top
 
 
+def grid(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canvas pixels (y, x) that a placed image (c, s, mx, my, w, h) covers, and their places (sx, sy) in it."""
+    left, top, right, bottom = bounds(g["c"], g["s"], g["w"], g["h"])
+    y, x = np.mgrid[max(0, int(np.floor(g["my"] + top))) : int(np.ceil(g["my"] + bottom)) + 1, max(0, int(np.floor(g["mx"] + left))) : int(np.ceil(g["mx"] + right)) + 1]
+    sx, sy = unplace(g, x, y)
+    nx, ny = np.floor(sx + 0.5), np.floor(sy + 0.5)
+    valid = (nx >= 0) & (nx < g["w"]) & (ny >= 0) & (ny < g["h"])
+    return y[valid], x[valid], sx[valid], sy[valid]
+
+
+def unplace(g: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """M1: places in an image of points of the canvas."""
+    px, py, size = x - g["mx"], y - g["my"], g["c"] ** 2 + g["s"] ** 2
+    return (g["c"] * px + g["s"] * py) / size, (g["c"] * py - g["s"] * px) / size
+
+
+def distances(g: dict, others: list[dict], points: list[tuple[float, float]], y: np.ndarray, x: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    """How far pixels of an image are from where it may end.
+
+    The smaller of two distances: to the nearest side whose foot point lies in
+    another image (0 if there is none), and to the nearest special point.
+    """
+    w, h = g["w"], g["h"]
+    side = np.full(sx.shape, np.inf)
+    for d, fx, fy in ((sx, 0.0, sy), (w - sx, float(w), sy), (sy, sx, 0.0), (h - sy, sx, float(h))):
+        ax, ay = g["c"] * fx - g["s"] * fy + g["mx"], g["s"] * fx + g["c"] * fy + g["my"]
+        inside = np.zeros(sx.shape, bool)
+        for o in others:
+            ox, oy = unplace(o, ax, ay)
+            inside |= (ox >= 0) & (ox < o["w"]) & (oy >= 0) & (oy < o["h"])
+        side = np.where(inside, np.minimum(side, np.maximum(d, 0)), side)
+    out = np.where(np.isinf(side), 0.0, side)
+    for px, py in points:
+        out = np.minimum(out, np.hypot(x - px, y - py))
+    return out
+
+
 def smooth(plane: np.ndarray, n: int) -> np.ndarray:
     """H4: n passes of (1, 2, 1) / 4 along both axes with clamped borders, as one convolution with the binomial kernel."""
     if n <= 0:
@@ -98,29 +135,38 @@ def rms(a: np.ndarray, b: np.ndarray, dx: int, dy: int) -> float:
     return float(np.sqrt(np.mean((a[top : top + h, left : left + w] - b[top - dy : top - dy + h, left - dx : left - dx + w]) ** 2)))
 
 
-def coarse_to_fine(a: np.ndarray, b: np.ndarray, pad: int, portion: float) -> tuple[int, int, float] | None:
-    """Displacement and RMS difference by a match of shrunk planes, then of clips at full size."""
+def coarse(a: np.ndarray, b: np.ndarray, pad: int, portion: float) -> tuple[int, int, float] | None:
+    """Displacement by a match of planes shrunk to the pad size (M15), and the RMS difference of these."""
     least = int(np.floor(portion * min(*a.shape, *b.shape)))
     ky, kx = (max(1, -(-(a.shape[k] + b.shape[k] - least) // pad)) for k in (0, 1))
     small_a, small_b = shrink(a, ky, kx), shrink(b, ky, kx)
-    coarse = correlate(small_a, small_b, round(portion * min(*small_a.shape, *small_b.shape)))
-    if coarse is None:
+    found = correlate(small_a, small_b, round(portion * min(*small_a.shape, *small_b.shape)))
+    return None if found is None else (found[1] * kx, found[2] * ky, rms(small_a, small_b, *found[1:]))
+
+
+def _clips(a: np.ndarray, b: np.ndarray, x: int, y: int, w: int, h: int, dx: int, dy: int, portion: float) -> tuple[float, int, int] | None:
+    """The match of a rectangle of ``a`` with the one that ``b`` has there after a displacement."""
+    clip_a, clip_b = a[y : y + h, x : x + w], b[y - dy : y - dy + h, x - dx : x - dx + w]
+    return correlate(clip_a, clip_b, round(portion * min(w, h)))
+
+
+def coarse_to_fine(a: np.ndarray, b: np.ndarray, pad: int, portion: float) -> tuple[int, int, float] | None:
+    """Displacement and RMS difference by a match of shrunk planes, then of clips at full size, whose displacement is added."""
+    found = coarse(a, b, pad, portion)
+    if found is None:
         return None
-    dx, dy = coarse[1] * kx, coarse[2] * ky
+    dx, dy, _ = found
     left, top, w, h = overlap(a.shape, b.shape, dx, dy)
     cw, ch = min(w, pad // 2), min(h, pad // 2)
-    if cw > 0 and ch > 0:
-        x, y = left + (w - cw) // 2, top + (h - ch) // 2
-        clip_a, clip_b = a[y : y + ch, x : x + cw], b[y - dy : y - dy + ch, x - dx : x - dx + cw]
-        fine = correlate(clip_a, clip_b, max(1, min(cw, ch) // 2))
-        if fine is not None and rms(a, b, dx + fine[1], dy + fine[2]) <= rms(a, b, dx, dy):
-            dx, dy = dx + fine[1], dy + fine[2]
+    fine = _clips(a, b, left + (w - cw) // 2, top + (h - ch) // 2, cw, ch, dx, dy, portion) if cw > 0 and ch > 0 else None
+    if fine is not None:
+        dx, dy = dx + fine[1], dy + fine[2]
     return dx, dy, rms(a, b, dx, dy)
 
 
 def stamps(a: np.ndarray, b: np.ndarray, pad: int, portion: float, maximum: float, n: int, side: int, certain: bool) -> list[tuple[float, float, float, float]]:
-    """Corresponding points (xa, ya, xb, yb) from matches of stamps on the diagonal of the overlap; none if the planes differ too much."""
-    found = coarse_to_fine(a, b, pad, portion)
+    """Corresponding points (xa, ya, xb, yb) from matches of stamps on the diagonal of the overlap after the coarse displacement; none if the shrunk planes differ too much."""
+    found = coarse(a, b, pad, portion)
     if found is None or not (certain or found[2] < maximum):
         return []
     dx, dy, _ = found
@@ -130,7 +176,7 @@ def stamps(a: np.ndarray, b: np.ndarray, pad: int, portion: float, maximum: floa
         return []
     for i in range(1, n + 1):
         x, y = round(left + (w - sw) * i / (n + 1)), round(top + (h - sh) * i / (n + 1))
-        fine = correlate(a[y : y + sh, x : x + sw], b[y - dy : y - dy + sh, x - dx : x - dx + sw], max(1, min(sw, sh) // 2))
+        fine = _clips(a, b, x, y, sw, sh, dx, dy, portion)
         if fine is not None:
             fx, fy = fine[1], fine[2]
             cx, cy = (sw + fx) // 2, (sh + fy) // 2
@@ -138,40 +184,72 @@ def stamps(a: np.ndarray, b: np.ndarray, pad: int, portion: float, maximum: floa
     return out
 
 
-def least_squares(rows: np.ndarray, right: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """H3: unknowns (nan in ``known``) that fit ``rows`` @ p = ``right`` best, least in norm if they aren't determined; and the fitted right side."""
+def least_squares(row: np.ndarray, column: np.ndarray, value: np.ndarray, right: np.ndarray, known: np.ndarray, scaled: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """H3: unknowns (nan in ``known``) that fit the sparse rows (row, column, value) to ``right`` best; and the fitted right side.
+
+    Conjugate gradients from 0 on the normal equations, which are never formed:
+    memory follows the number of entries. The least solution in norm if the
+    unknowns aren't determined; ``scaled`` measures them by their columns.
+    """
+    n, m = len(right), len(known)
     free = np.isnan(known)
     p = np.where(free, 0.0, known)
-    if free.any() and len(rows):
-        p[free] = np.linalg.lstsq(rows[:, free], right - rows[:, ~free] @ p[~free], rcond=None)[0]
-    return p, rows @ p
-
-
-def peel(masks: np.ndarray, differences: np.ndarray) -> np.ndarray:
-    """H5: masks (image, y, x) made smaller from their borders inwards, largest difference first, while every pixel keeps an owner."""
-    masks = masks.copy()
-    n, h, w = masks.shape
-    count = masks.sum(0)
-    queued = np.zeros_like(masks)
+    times = lambda q, v: np.bincount(row, v * q[column], n)
+    r = right - times(p, value)
+    of_free = np.where(free[column], value, 0.0)
+    scale = np.ones(m)
+    if scaled:
+        size = np.sqrt(np.bincount(column, of_free**2, m))
+        scale = np.where(size > 0, 1 / np.where(size > 0, size, 1), 1.0)
+        of_free = of_free * scale[column]
+    back = lambda q: np.bincount(column, of_free * q[row], m)
+    q, s = np.zeros(m), back(r)
+    step, size = s.copy(), float(s @ s)
+    goal, least, idle = size * 1e-28, size, 0
+    while size > goal and idle < 200:  # no better for so long: as good as rounding allows
+        moved = times(step, of_free)
+        by = size / float(moved @ moved)
+        q, r = q + by * step, r - by * moved
+        s = back(r)
+        size, before = float(s @ s), size
+        idle = 0 if size < least else idle + 1
+        least = min(least, size)
+        step = s + (size / before) * step
+    p = np.where(free, q * scale, p)
+    return p, times(p, value)
+
+
+def peel(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """H5: masks made smaller from their borders inwards, largest difference first, while every pixel keeps an owner.
+
+    A part is (y, x, mask, differences) in a box of its own at (y, x); only the
+    number of owners is held for the whole canvas.
+    """
+    masks = [m.copy() for _, _, m, _ in parts]
+    count = np.zeros((max(y + m.shape[0] for y, _, m, _ in parts), max(x + m.shape[1] for _, x, m, _ in parts)), np.int32)
+    for y, x, m, _ in parts:
+        count[y : y + m.shape[0], x : x + m.shape[1]] += m
+    queued = [np.zeros_like(m) for m in masks]
     queue: list[tuple[float, int, int, int]] = []
 
     def push(k: int, y: int, x: int) -> None:
-        if masks[k, y, x] and not queued[k, y, x]:
-            queued[k, y, x] = True
-            heapq.heappush(queue, (-differences[k, y, x], k, y, x))
+        if masks[k][y, x] and not queued[k][y, x]:
+            queued[k][y, x] = True
+            heapq.heappush(queue, (-parts[k][3][y, x], k, y, x))
 
-    for k in range(n):
-        inner = np.pad(masks[k], 1)
-        border = masks[k] & ~(inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:])
+    for k, mask in enumerate(masks):
+        inner = np.pad(mask, 1)
+        border = mask & ~(inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:])
         for y, x in zip(*np.nonzero(border), strict=True):
             push(k, int(y), int(x))
     while queue:
         _, k, y, x = heapq.heappop(queue)
-        if count[y, x] > 1:
-            masks[k, y, x] = False
-            count[y, x] -= 1
+        at = y + parts[k][0], x + parts[k][1]
+        if count[at] > 1:
+            masks[k][y, x] = False
+            count[at] -= 1
             for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                if 0 <= v < h and 0 <= u < w:
+                if 0 <= v < masks[k].shape[0] and 0 <= u < masks[k].shape[1]:
                     push(k, v, u)
     return masks
 

@@ -1,12 +1,12 @@
 """Canvases.
 
 ``geometry``: (collage_id, image_id, c, s, mx, my, w, h). Canvas pixels that no
-part covers have no row.
+part covers have no row. Values are ``v``, or the channels of a colour image.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from ..functions import kernels
 
 GEOMETRY = ["collage_id", "image_id", "c", "s", "mx", "my", "w", "h"]
 PIXEL = ["collage_id", "y", "x"]
+#: Channels of colour planes, each an array of the image's values.
+COLOUR = ("luma", "cb", "cr")
 
 
 def bounding_boxes(geometry: DataFrame) -> DataFrame:
@@ -37,23 +39,39 @@ def _struct() -> F.Column:
     return F.struct(*GEOMETRY[1:])
 
 
+def near_pairs(geometry: DataFrame, margin: float = 0.0) -> DataFrame:
+    """(collage_id, ga, gb) of different images whose boxes, each larger by ``margin`` on all sides, meet.
+
+    Boxes meet in the cells of a grid as wide as the widest image of the
+    collage, so an image is only compared with those around it.
+    """
+    boxes = bounding_boxes(geometry).select("collage_id", "image_id", *((F.col(c) + by).alias(c) for c, by in (("left", -margin), ("top", -margin), ("right", margin), ("bottom", margin))))
+    full = geometry.join(boxes, ["collage_id", "image_id"])
+    cell = full.groupBy("collage_id").agg(F.max(F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"), F.lit(1.0))).alias("cell"))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("cell")), F.floor(F.col(high) / F.col("cell"))))
+    celled = full.join(cell, "collage_id").withColumn("i", span("left", "right")).withColumn("j", span("top", "bottom"))
+    side = lambda s: celled.select("collage_id", "i", "j", "cell", _struct().alias(f"g{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("left", "top", "right", "bottom")))
+    near = (F.col("ga.image_id") != F.col("gb.image_id")) & (F.col("left_a") <= F.col("right_b")) & (F.col("left_b") <= F.col("right_a")) & (F.col("top_a") <= F.col("bottom_b")) & (F.col("top_b") <= F.col("bottom_a"))
+    # Two boxes that meet share the cell of the corner where their intersection begins.
+    first = (F.col("i") == F.floor(F.greatest("left_a", "left_b") / F.col("cell"))) & (F.col("j") == F.floor(F.greatest("top_a", "top_b") / F.col("cell")))
+    return side("a").join(side("b").drop("cell"), ["collage_id", "i", "j"]).where(near & first).select("collage_id", "ga", "gb")
+
+
 def edge_intersections(geometry: DataFrame) -> DataFrame:
     """(collage_id, image_id, x, y) where an edge of an image meets an edge of another; images whose boxes are apart never meet."""
-    full = geometry.join(bounding_boxes(geometry), ["collage_id", "image_id"])
-    side = lambda s: full.select("collage_id", _struct().alias(f"g{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("left", "top", "right", "bottom")))
-    near = (F.col("ga.image_id") != F.col("gb.image_id")) & (F.col("left_a") <= F.col("right_b")) & (F.col("left_b") <= F.col("right_a")) & (F.col("top_a") <= F.col("bottom_b")) & (F.col("top_b") <= F.col("bottom_a"))
-    pairs = side("a").join(side("b"), "collage_id").where(near)
-    crossed = pairs.select("collage_id", "ga.image_id", F.explode(G.edges(F.col("ga"))).alias("e"), "gb").select("collage_id", "image_id", "e", F.explode(G.edges(F.col("gb"))).alias("f"))
+    crossed = near_pairs(geometry).select("collage_id", "ga.image_id", F.explode(G.edges(F.col("ga"))).alias("e"), "gb").select("collage_id", "image_id", "e", F.explode(G.edges(F.col("gb"))).alias("f"))
     return crossed.withColumn("p", G.intersect(F.col("e"), F.col("f"))).where("p is not null").select("collage_id", "image_id", "p.x", "p.y")
 
 
 def contained_corners(geometry: DataFrame) -> DataFrame:
     """Corners of images that lie in another image of the collage, to the nearest pixel."""
-    points = geometry.select("collage_id", "image_id", F.explode(G.corners(_struct())).alias("p")).select("collage_id", "image_id", "p.x", "p.y")
-    others = geometry.select(F.col("collage_id").alias("of"), _struct().alias("g"))
-    x, y = G.unplace(F.col("g"), (F.col("x"), F.col("y")))
+    pairs = near_pairs(geometry, 1.0).select("collage_id", F.col("ga.image_id").alias("image_id"), F.col("gb.image_id").alias("of"))
+    points = geometry.select("collage_id", "image_id", F.posexplode(G.corners(_struct())).alias("k", "p"))
+    others = geometry.select("collage_id", F.col("image_id").alias("of"), _struct().alias("g"))
+    x, y = G.unplace(F.col("g"), (F.col("p.x"), F.col("p.y")))
     inside = G.in_box(F.bround(x), F.bround(y), F.col("g.w"), F.col("g.h"))
-    return points.join(others, (F.col("collage_id") == F.col("of")) & (F.col("image_id") != F.col("g.image_id")) & inside, "left_semi")
+    found = pairs.join(points, ["collage_id", "image_id"]).join(others, ["collage_id", "of"]).where(inside)
+    return found.groupBy("collage_id", "image_id", "k").agg(F.first("p").alias("p")).select("collage_id", "image_id", "p.x", "p.y")
 
 
 def special_points(geometry: DataFrame) -> DataFrame:
@@ -76,56 +94,93 @@ def cover(geometry: DataFrame) -> DataFrame:
     return rows.withColumn("sx", sx).withColumn("sy", sy).where(G.valid_coords(F.col("sx"), F.col("sy"), F.col("w"), F.col("h"))).select("collage_id", "image_id", "y", "x", "sx", "sy", "g")
 
 
-def resample(geometry: DataFrame, images: DataFrame) -> DataFrame:
-    """(collage_id, image_id, y, x, v) of the canvas pixels that each placed image covers."""
+def _rows(r: dict, y: np.ndarray, x: np.ndarray, sx: np.ndarray, sy: np.ndarray, channels: Sequence[str]) -> dict:
+    """Key and values of an image's pixels."""
+    shape = r["height"], r["width"]
+    values = {c: kernels.sample(np.asarray(r["data" if c == "v" else c], float).reshape(shape), sx, sy)[0] for c in channels}
+    return {"collage_id": r["collage_id"], "image_id": r["image_id"], "y": y, "x": x, **values}
+
+
+def resample(geometry: DataFrame, images: DataFrame, channels: Sequence[str] = ("v",)) -> DataFrame:
+    """(collage_id, image_id, y, x, v or channels) of the canvas pixels that each placed image covers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.to_dict("records"):
-                plane = np.asarray(r["data"], float).reshape(r["height"], r["width"])
-                left, top, right, bottom = kernels.bounds(r["c"], r["s"], r["w"], r["h"])
-                y, x = np.mgrid[max(0, int(np.floor(r["my"] + top))) : int(np.ceil(r["my"] + bottom)) + 1, max(0, int(np.floor(r["mx"] + left))) : int(np.ceil(r["mx"] + right)) + 1]
-                px, py, size = x - r["mx"], y - r["my"], r["c"] ** 2 + r["s"] ** 2
-                v, valid = kernels.sample(plane, (r["c"] * px + r["s"] * py) / size, (r["c"] * py - r["s"] * px) / size)
-                yield pd.DataFrame({"collage_id": r["collage_id"], "image_id": r["image_id"], "y": y[valid], "x": x[valid], "v": v[valid]})
+                yield pd.DataFrame(_rows(r, *kernels.grid(r), channels))
 
-    return geometry.select(*GEOMETRY).join(images, ["collage_id", "image_id"]).mapInPandas(run, "collage_id long, image_id int, y int, x int, v double")
+    return geometry.select(*GEOMETRY).join(images, ["collage_id", "image_id"]).mapInPandas(run, f"collage_id long, image_id int, y int, x int, {', '.join(f'{c} double' for c in channels)}")
 
 
-def average_canvas(placed: DataFrame) -> DataFrame:
+def average_canvas(placed: DataFrame, channels: Sequence[str] = ("v",)) -> DataFrame:
     """Mean and number of the values at each canvas pixel."""
-    return placed.groupBy(*PIXEL).agg(F.count("*").alias("n"), F.avg("v").alias("v"))
+    return placed.groupBy(*PIXEL).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in channels))
+
+
+def _surrounded(geometry: DataFrame) -> DataFrame:
+    """Geometry with the images around each image and its special points."""
+    others = near_pairs(geometry).groupBy("collage_id", F.col("ga.image_id").alias("image_id")).agg(F.collect_list("gb").alias("others"))
+    points = special_points(geometry).groupBy("collage_id", "image_id").agg(F.collect_list(F.struct("x", "y")).alias("points"))
+    return geometry.select(*GEOMETRY).join(others, ["collage_id", "image_id"], "left").join(points, ["collage_id", "image_id"], "left")
+
+
+def side_points(geometry: DataFrame) -> DataFrame:
+    """For each canvas pixel of an image and each of its sides (k), the distance and whether the foot point lies in another image."""
+    around = _surrounded(geometry).select("collage_id", "image_id", F.coalesce("others", F.array()).alias("others"))
+    rows = cover(geometry).join(around, ["collage_id", "image_id"])
+    feet = rows.select("collage_id", "image_id", "y", "x", "others", F.posexplode(G.sides(F.col("g"), (F.col("x").cast("double"), F.col("y").cast("double")))).alias("k", "q"))
+    return feet.select("collage_id", "image_id", "y", "x", "k", F.col("q.d").alias("d"), contained_anywhere(F.col("q.x"), F.col("q.y"), F.col("others"), F.col("image_id")).alias("contained"))
+
+
+def _distances(r: dict, y: np.ndarray, x: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
+    listed = lambda name: [] if r[name] is None else [q.asDict() if hasattr(q, "asDict") else dict(q) for q in r[name]]
+    return kernels.distances(r, listed("others"), [(p["x"], p["y"]) for p in listed("points")], y, x, sx, sy)
 
 
 def distance_map(geometry: DataFrame) -> DataFrame:
-    """For the canvas pixels of each image, how far it is to where it may end.
+    """For the canvas pixels of each image, how far it is to where it may end (see ``kernels.distances``).
 
-    The smaller of two distances: to the nearest side whose foot point lies in
-    another image (0 if there is none), and to the nearest special point.
-    Geometries of a collage travel as one array, so a collage's number of parts
-    has to fit a row.
+    An image meets the images around it only, so a collage may have any number of parts.
     """
-    others = geometry.groupBy("collage_id").agg(F.collect_list(_struct()).alias("all"))
-    points = special_points(geometry).groupBy("collage_id", "image_id").agg(F.collect_list(F.struct("x", "y")).alias("points"))
-    rows = cover(geometry).join(others, "collage_id").join(points, ["collage_id", "image_id"], "left")
-    at = (F.col("x").cast("double"), F.col("y").cast("double"))
-    kept = F.filter(G.sides(F.col("g"), at), lambda q: contained_anywhere(q["x"], q["y"], F.col("all"), F.col("image_id")))
-    side = F.coalesce(F.array_min(F.transform(kept, lambda q: q["d"])), F.lit(0.0))
-    near = F.array_min(F.transform("points", lambda p: G.distance(at, (p["x"], p["y"]))))
-    return rows.select("collage_id", "image_id", "y", "x", F.least(side, near).alias("d"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                y, x, sx, sy = kernels.grid(r)
+                yield pd.DataFrame({"collage_id": r["collage_id"], "image_id": r["image_id"], "y": y, "x": x, "d": _distances(r, y, x, sx, sy)})
+
+    return _surrounded(geometry).repartition("collage_id", "image_id").mapInPandas(run, "collage_id long, image_id int, y int, x int, d double")
+
+
+def _weighted(rows: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Values weighted by ``wt``; the plain mean where all weights are 0."""
+    sums = rows.groupBy(*PIXEL).agg(F.sum("wt").alias("total"), *(e for c in channels for e in (F.sum(F.col("wt") * F.col(c)).alias(f"_s_{c}"), F.avg(c).alias(f"_m_{c}"))))
+    return sums.select(*PIXEL, *(F.when(F.col("total") > 0, F.col(f"_s_{c}") / F.nullif("total", F.lit(0.0))).otherwise(F.col(f"_m_{c}")).alias(c) for c in channels))
+
+
+def weighted_canvas(placed: DataFrame, distances: DataFrame, gamma: float = 2.0, channels: Sequence[str] = ("v",)) -> DataFrame:
+    """Values weighted by a power of distances that are at hand."""
+    return _weighted(placed.join(distances, ["collage_id", "image_id", "y", "x"]).withColumn("wt", G.weight(F.col("d"), gamma)), channels)
+
+
+def blend_by_distance(geometry: DataFrame, images: DataFrame, gamma: float = 2.0, channels: Sequence[str] = ("v",)) -> DataFrame:
+    """Values and weights of each image's pixels in one pass, then their sums by canvas pixel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                at = kernels.grid(r)
+                yield pd.DataFrame({**_rows(r, *at, channels), "wt": _distances(r, *at) ** gamma})
 
-def weighted_canvas(placed: DataFrame, distances: DataFrame, gamma: float = 2.0) -> DataFrame:
-    """Values weighted by a power of the distance; the plain mean where all weights are 0."""
-    both = placed.join(distances, ["collage_id", "image_id", "y", "x"]).withColumn("wt", G.weight(F.col("d"), gamma))
-    sums = both.groupBy(*PIXEL).agg(F.sum("wt").alias("total"), F.sum(F.col("wt") * F.col("v")).alias("s"), F.avg("v").alias("mean"))
-    return sums.select(*PIXEL, F.when(F.col("total") > 0, F.col("s") / F.nullif("total", F.lit(0.0))).otherwise(F.col("mean")).alias("v"))
+    rows = _surrounded(geometry).join(images, ["collage_id", "image_id"])
+    return _weighted(rows.mapInPandas(run, f"collage_id long, image_id int, y int, x int, {', '.join(f'{c} double' for c in channels)}, wt double"), channels)
 
 
 def owner(placed: DataFrame) -> DataFrame:
-    """The value of the last image at each canvas pixel."""
-    last = placed.groupBy(*PIXEL).agg(F.max(F.struct("image_id", "v")).alias("m"))
-    return last.select(*PIXEL, "m.image_id", "m.v")
+    """The value (or channels) of the last image at each canvas pixel."""
+    values = [c for c in placed.columns if c not in ("collage_id", "y", "x", "image_id")]
+    last = placed.groupBy(*PIXEL).agg(F.max(F.struct("image_id", *values)).alias("m"))
+    return last.select(*PIXEL, "m.image_id", *(f"m.{c}" for c in values))
 
 
 def difference_to_average(placed: DataFrame, average: DataFrame) -> DataFrame:
@@ -134,9 +189,9 @@ def difference_to_average(placed: DataFrame, average: DataFrame) -> DataFrame:
     return placed.join(mean, PIXEL).select("collage_id", "image_id", "y", "x", F.abs(F.col("v") - F.col("mean")).alias("v"))
 
 
-def as_bytes(rows: DataFrame) -> DataFrame:
+def as_bytes(rows: DataFrame, channels: Sequence[str] = ("v",)) -> DataFrame:
     """M6, SNK5: values as bytes, ready for a raster."""
-    return rows.withColumn("v", G.to_byte(F.col("v")))
+    return rows.withColumns({c: G.to_byte(F.col(c)) for c in channels})
 
 
 def border(masks: DataFrame) -> DataFrame:
@@ -149,18 +204,26 @@ def border(masks: DataFrame) -> DataFrame:
 def peel(placed: DataFrame, n: int = 200) -> DataFrame:
     """The pixels that each image keeps when masks are peeled along large smoothed differences.
 
-    The order of peeling runs through a whole collage, so a collage's pixels have to fit one task.
+    The order of peeling runs through a whole collage, so a collage's pixels
+    have to fit one task, each image in a box of its own.
     """
     rows = difference_to_average(placed, average_canvas(placed))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, k = np.unique(group["image_id"], return_inverse=True)
-        y, x = group["y"].to_numpy() - group["y"].min(), group["x"].to_numpy() - group["x"].min()
-        shape = (len(ids), int(y.max()) + 1, int(x.max()) + 1)
-        masks, diff = np.zeros(shape, bool), np.zeros(shape)
-        masks[k, y, x], diff[k, y, x] = True, group["v"].to_numpy()
-        kept = kernels.peel(masks, np.stack([kernels.smooth(d, n) for d in diff]))
-        k, y, x = np.nonzero(kept)
-        return pd.DataFrame({"collage_id": group["collage_id"].iloc[0], "image_id": ids[k], "y": y + group["y"].min(), "x": x + group["x"].min()})
+        ids, parts = [], []
+        for i, part in group.groupby("image_id", sort=True):
+            y, x = part["y"].to_numpy(), part["x"].to_numpy()
+            shape = int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1
+            mask, diff = np.zeros(shape, bool), np.zeros(shape)
+            mask[y - y.min(), x - x.min()], diff[y - y.min(), x - x.min()] = True, part["v"].to_numpy()
+            ids.append(i)
+            parts.append((int(y.min()), int(x.min()), mask, kernels.smooth(diff, n)))
+        top, left = min(p[0] for p in parts), min(p[1] for p in parts)
+        kept = kernels.peel([(y - top, x - left, m, d) for y, x, m, d in parts])
+        out = []
+        for i, (y0, x0, *_), mask in zip(ids, parts, kept, strict=True):
+            y, x = np.nonzero(mask)
+            out.append(pd.DataFrame({"collage_id": group["collage_id"].iloc[0], "image_id": i, "y": y + y0, "x": x + x0}))
+        return pd.concat(out)
 
     return rows.groupBy("collage_id").applyInPandas(run, "collage_id long, image_id int, y int, x int")

@@ -15,7 +15,7 @@ def _components(ids: list[int], a: list[int], b: list[int]) -> list[int]:
 
     def root(i: int) -> int:
         while parent[i] != i:
-            i = parent[i]
+            parent[i] = i = parent[parent[i]]
         return i
 
     for i, j in zip(a, b, strict=True):
@@ -27,21 +27,19 @@ def _components(ids: list[int], a: list[int], b: list[int]) -> list[int]:
 def solve_positions(parts: DataFrame, displacements: DataFrame) -> DataFrame:
     """(collage_id, image_id, x, y, component) that fit -p_a + p_b = d best; cells of ``parts`` that are set stay.
 
-    One solve per collage, whose parts and displacements have to fit one task.
+    One sparse solve per collage, whose list of parts and displacements has to fit one task.
     Unconnected parts get the least solution; ``component`` tells them apart.
     """
 
     def run(key, p: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("image_id")
-        ids = p["image_id"].tolist()
-        at = {i: k for k, i in enumerate(ids)}
-        d = d[d["image_a"].isin(at) & d["image_b"].isin(at)]
-        rows = np.zeros((len(d), len(ids)))
-        rows[np.arange(len(d)), [at[i] for i in d["image_a"]]] -= 1
-        rows[np.arange(len(d)), [at[i] for i in d["image_b"]]] += 1
-        x, _ = kernels.least_squares(rows, d["dx"].to_numpy(float), p["x"].to_numpy(float))
-        y, _ = kernels.least_squares(rows, d["dy"].to_numpy(float), p["y"].to_numpy(float))
-        return pd.DataFrame({"collage_id": p["collage_id"], "image_id": ids, "x": x, "y": y, "component": _components(ids, d["image_a"].tolist(), d["image_b"].tolist())})
+        ids = p["image_id"].to_numpy()
+        d = d[d["image_a"].isin(ids) & d["image_b"].isin(ids)]
+        row = np.tile(np.arange(len(d)), 2)
+        column = np.searchsorted(ids, np.concatenate([d["image_a"], d["image_b"]]))
+        value = np.repeat([-1.0, 1.0], len(d))
+        x, y = (kernels.least_squares(row, column, value, d[f"d{c}"].to_numpy(float), p[c].to_numpy(float))[0] for c in ("x", "y"))
+        return pd.DataFrame({"collage_id": p["collage_id"], "image_id": ids, "x": x, "y": y, "component": _components(ids.tolist(), d["image_a"].tolist(), d["image_b"].tolist())})
 
     return parts.select("collage_id", "image_id", "x", "y").groupBy("collage_id").cogroup(displacements.select(F.col("collage_id").alias("of"), "image_a", "image_b", "dx", "dy").groupBy("of")).applyInPandas(run, "collage_id long, image_id int, x double, y double, component int")
 
@@ -66,17 +64,20 @@ def solve_layout(parts: DataFrame, correspondences: DataFrame) -> DataFrame:
 
     def run(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("image_id")
-        ids = p["image_id"].tolist()
-        at = {i: 4 * k for k, i in enumerate(ids)}
-        q = q[q["image_a"].isin(at) & q["image_b"].isin(at)]
-        rows = np.zeros((2 * len(q), 4 * len(ids)))
-        for k, r in enumerate(q.itertuples()):
-            for sign, i, x, y in ((-1, at[r.image_a], r.xa, r.ya), (1, at[r.image_b], r.xb, r.yb)):
-                rows[2 * k, [i, i + 2, i + 3]] += (sign, sign * x, -sign * y)
-                rows[2 * k + 1, [i + 1, i + 2, i + 3]] += (sign, sign * y, sign * x)
+        ids = p["image_id"].to_numpy()
+        q = q[q["image_a"].isin(ids) & q["image_b"].isin(ids)]
+        row, column, value = [], [], []
+        for sign, c in ((-1.0, "a"), (1.0, "b")):
+            at, x, y = 4 * np.searchsorted(ids, q[f"image_{c}"]), q[f"x{c}"].to_numpy(float), q[f"y{c}"].to_numpy(float)
+            one = np.ones(len(q))
+            for first, entries in ((0, ((0, one), (2, x), (3, -y))), (1, ((1, one), (2, y), (3, x)))):
+                for k, v in entries:
+                    row.append(2 * np.arange(len(q)) + first)
+                    column.append(at + k)
+                    value.append(sign * v)
         turn = np.radians(p["dangle_deg"].to_numpy(float))
         known = np.stack([p["x"].to_numpy(float), p["y"].to_numpy(float), np.cos(turn), np.sin(turn)], axis=1).ravel()
-        found, _ = kernels.least_squares(rows, np.zeros(len(rows)), known)
+        found, _ = kernels.least_squares(np.concatenate(row), np.concatenate(column), np.concatenate(value), np.zeros(2 * len(q)), known, scaled=True)
         x, y, c, s = found.reshape(-1, 4).T
         return pd.DataFrame({"collage_id": p["collage_id"], "image_id": ids, "x": x, "y": y, "c": c, "s": s})
 

@@ -6,16 +6,18 @@ means that pixel (x, y) of a shows what pixel (x - dx, y - dy) of b shows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry, kernels
 
 PAIR = ["collage_id", "image_a", "image_b"]
+POINTS = "array<struct<xa: double, ya: double, xb: double, yb: double>>"
 
 
 def brightness(pixels: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def compose_pair(moves: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def match_relational(parts: DataFrame, pixels: DataFrame, factor: int = 4, portion: float = 0.25, maximum: float = 0.02) -> DataFrame:
-    """The minimum slice: candidate pairs, shrunk planes, correlation, mask, best displacement (in pixels of full size) and verdict."""
+    """The minimum slice by joins of pixels: candidate pairs, shrunk planes, correlation, mask, best displacement (in pixels of full size) and verdict. For small planes; ``match_shrunk`` is for large ones."""
     from .placement import candidate_pairs
 
     small = shrink(pixels, factor, factor)
@@ -107,6 +109,14 @@ def match_relational(parts: DataFrame, pixels: DataFrame, factor: int = 4, porti
     return found.select(*PAIR, (F.col("dx") * factor).alias("dx"), (F.col("dy") * factor).alias("dy"), "score", "difference", overlaps.alias("overlaps"))
 
 
+def match_shrunk(pairs: DataFrame, images: DataFrame, factor: int = 4, portion: float = 0.25, maximum: float = 0.02) -> DataFrame:
+    """The same of planes, shrunk before they travel to their pairs."""
+    small = _shrunk(images, factor)
+    scored = _by_pair(pairs.select(*PAIR), small, lambda row, a, b: _scored(a, b, portion), "dx int, dy int, score double, difference double")
+    overlaps = verdict(F.lit(None).cast("string"), F.col("difference"), maximum)
+    return scored.select(*PAIR, (F.col("dx") * factor).alias("dx"), (F.col("dy") * factor).alias("dy"), "score", "difference", overlaps.alias("overlaps"))
+
+
 def planes(pixels: DataFrame) -> DataFrame:
     """One row per image: height, width and the values in row order. An image has to fit one row."""
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
@@ -123,50 +133,60 @@ def _pair_planes(pairs: DataFrame, images: DataFrame) -> DataFrame:
     return pairs.join(side("a"), ["collage_id", "image_a"]).join(side("b"), ["collage_id", "image_b"]).repartition(*PAIR)
 
 
-def match(pairs: DataFrame, images: DataFrame, pad: int = 1024, portion: float = 0.25, maximum: float = 0.2) -> DataFrame:
-    """Displacement, difference and verdict of each pair, by FFT on shrunk planes and then on clips."""
+def _by_pair(pairs: DataFrame, images: DataFrame, match: Callable[[dict, np.ndarray, np.ndarray], tuple | None], schema: str) -> DataFrame:
+    """Pairs with what ``match`` finds in the planes of each; pairs without a find go."""
+    names = [f.name for f in StructType.fromDDL(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                found = kernels.coarse_to_fine(_array(row, "a"), _array(row, "b"), pad, portion)
+                found = match(row, _array(row, "a"), _array(row, "b"))
                 if found is not None:
-                    out.append((row["collage_id"], row["image_a"], row["image_b"], *found, found[2] < maximum))
-            yield pd.DataFrame(out, columns=[*PAIR, "dx", "dy", "difference", "overlaps"])
+                    out.append((row["collage_id"], row["image_a"], row["image_b"], *found))
+            yield pd.DataFrame(out, columns=[*PAIR, *names])
 
-    return _pair_planes(pairs.select(*PAIR), images).mapInPandas(run, "collage_id long, image_a int, image_b int, dx int, dy int, difference double, overlaps boolean")
+    return _pair_planes(pairs, images).mapInPandas(run, f"collage_id long, image_a int, image_b int, {schema}")
 
 
-def match_once(pairs: DataFrame, images: DataFrame, portion: float = 0.25) -> DataFrame:
-    """H2: score and displacement of each pair by one FFT at full size."""
+def _shrunk(images: DataFrame, factor: int) -> DataFrame:
+    """A4: planes of block means."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                a, b = _array(row, "a"), _array(row, "b")
-                found = kernels.correlate(a, b, round(portion * min(*a.shape, *b.shape)))
-                if found is not None:
-                    out.append((row["collage_id"], row["image_a"], row["image_b"], found[1], found[2], found[0]))
-            yield pd.DataFrame(out, columns=[*PAIR, "dx", "dy", "score"])
+            for r in batch.to_dict("records"):
+                p = kernels.shrink(np.asarray(r["data"], float).reshape(r["height"], r["width"]), factor, factor)
+                out.append((r["collage_id"], r["image_id"], *p.shape, p.ravel()))
+            yield pd.DataFrame(out, columns=["collage_id", "image_id", "height", "width", "data"])
+
+    return images.select("collage_id", "image_id", "height", "width", "data").mapInPandas(run, "collage_id long, image_id int, height int, width int, data array<double>")
 
-    return _pair_planes(pairs.select(*PAIR), images).mapInPandas(run, "collage_id long, image_a int, image_b int, dx int, dy int, score double")
+
+def _scored(a: np.ndarray, b: np.ndarray, portion: float) -> tuple | None:
+    found = kernels.correlate(a, b, round(portion * min(*a.shape, *b.shape)))
+    return None if found is None else (found[1], found[2], found[0], kernels.rms(a, b, *found[1:]))
+
+
+def match(pairs: DataFrame, images: DataFrame, pad: int = 1024, portion: float = 0.25, maximum: float = 0.2) -> DataFrame:
+    """Displacement, difference and verdict of each pair, by FFT on shrunk planes and then on clips."""
+    found = _by_pair(pairs.select(*PAIR), images, lambda row, a, b: kernels.coarse_to_fine(a, b, pad, portion), "dx int, dy int, difference double")
+    return found.withColumn("overlaps", F.col("difference") < maximum)
+
+
+def match_once(pairs: DataFrame, images: DataFrame, portion: float = 0.25) -> DataFrame:
+    """H2: displacement, score and difference of each pair by one FFT at full size."""
+    return _by_pair(pairs.select(*PAIR), images, lambda row, a, b: _scored(a, b, portion), "dx int, dy int, score double, difference double")
 
 
 def match_stamps(pairs: DataFrame, images: DataFrame, pad: int = 1024, portion: float = 0.25, maximum: float = 0.2, n: int = 5, side: int = 64) -> DataFrame:
     """Corresponding points of each pair, ``pts`` (array of xa, ya, xb, yb); empty where the planes differ. ``rel`` X skips that test."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                points = kernels.stamps(_array(row, "a"), _array(row, "b"), pad, portion, maximum, n, side, row["rel"] == "X")
-                out.append((row["collage_id"], row["image_a"], row["image_b"], [dict(zip(("xa", "ya", "xb", "yb"), p, strict=True)) for p in points]))
-            yield pd.DataFrame(out, columns=[*PAIR, "pts"])
+    def points(row: dict, a: np.ndarray, b: np.ndarray) -> tuple:
+        return ([dict(zip(("xa", "ya", "xb", "yb"), p, strict=True)) for p in kernels.stamps(a, b, pad, portion, maximum, n, side, row["rel"] == "X")],)
 
     full = pairs.select(*PAIR, F.col("rel") if "rel" in pairs.columns else F.lit(None).cast("string").alias("rel"))
-    return _pair_planes(full, images).mapInPandas(run, "collage_id long, image_a int, image_b int, pts array<struct<xa: double, ya: double, xb: double, yb: double>>")
+    return _by_pair(full, images, points, f"pts {POINTS}")
 
 
 def pad_sizes(dims: DataFrame) -> DataFrame:

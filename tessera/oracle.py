@@ -28,6 +28,26 @@ OV = """ov as (
   from be join sm a on a.collage_id = be.collage_id and a.image_id = image_a join sm b on b.collage_id = be.collage_id and b.image_id = image_b and b.x = a.x - dx and b.y = a.y - dy)"""
 RM = "rm as (select collage_id, image_a, image_b, dx, dy, sqrt(avg((va - vb) * (va - vb))) as difference, count(*) as n from ov group by all)"
 MATCH = (PX, IMG, SM, PR, SC, MK, BE, OV, RM)
+#: Clips of 16 by 16 in the middle of the overlap that the coarse displacement gives.
+CLIPS = """mid as (
+  select *, greatest(0, 4 * dx) + (64 - abs(4 * dx) - 16) // 2 as x0, greatest(0, 4 * dy) + (64 - abs(4 * dy) - 16) // 2 as y0 from be),
+clip_a as (select mid.collage_id, image_a, image_b, a.x - x0 as x, a.y - y0 as y, v from mid join px a on a.collage_id = mid.collage_id and a.image_id = image_a and a.x between x0 and x0 + 15 and a.y between y0 and y0 + 15),
+clip_b as (select mid.collage_id, image_a, image_b, b.x - x0 + 4 * dx as x, b.y - y0 + 4 * dy as y, v from mid join px b on b.collage_id = mid.collage_id and b.image_id = image_b and b.x + 4 * dx between x0 and x0 + 15 and b.y + 4 * dy between y0 and y0 + 15)"""
+
+
+def _best_of(name: str, pairs: str, a: str, b: str, side: int, least: int) -> tuple[str, str]:
+    """Correlation of square planes of pairs at all displacements, and the best of those wide enough."""
+    on = lambda t, s: f"{t}.collage_id = pr.collage_id and {t}.image_id = pr.image_{s}" if a == "px" else f"{t}.collage_id = pr.collage_id and {t}.image_a = pr.image_a and {t}.image_b = pr.image_b"
+    scores = f"{name}s as (select pr.collage_id, pr.image_a, pr.image_b, p.x - q.x as dx, p.y - q.y as dy, sum(p.v * q.v) as score from {pairs} pr join {a} p on {on('p', 'a')} join {b} q on {on('q', 'b')} group by all)"
+    wide = f"{side} - abs(dx) >= {least} and {side} - abs(dy) >= {least}"
+    return scores, f"{name}b as (select * from {name}s where {wide} qualify row_number() over (partition by collage_id, image_a, image_b order by score desc, dy desc, dx desc) = 1)"
+
+
+def _rms_of(name: str) -> str:
+    """Differences of full planes after the displacements of table ``<name>b``."""
+    return f"{name}rm as (select m.collage_id, m.image_a, m.image_b, sqrt(avg((a.v - b.v) * (a.v - b.v))) as difference from {name}b m join px a on a.collage_id = m.collage_id and a.image_id = m.image_a join px b on b.collage_id = m.collage_id and b.image_id = m.image_b and b.x = a.x - m.dx and b.y = a.y - m.dy group by all)"
+
+
 PROFILE = "pf as (select collage_id, image_id, y, sum(v) as s from px group by all)"
 PARTS = """parts as (
   select cast(c_nationkey as bigint) as collage_id, cast(c_custkey as bigint) as image_id, 'scans/' || c_name || '.jpeg' as path,
@@ -82,8 +102,8 @@ PLACED = f"""taps as (
   from cover, (select unnest(range(4)) as a) ka, (select unnest(range(4)) as b) kb),
 placed as (select collage_id, image_id, ty as y, tx as x, sum(weight * v) as v from taps join px using (collage_id, image_id, y, x) group by all)"""
 SIDES = """sides as (
-  select collage_id, image_id, y, x, d, c * fx - s * fy + mx as ax, s * fx + c * fy + my as ay from (
-    select *, unnest([greatest(0, sx), greatest(0, w - sx), greatest(0, sy), greatest(0, h - sy)]) as d, unnest([0.0, w, sx, sx]) as fx, unnest([sy, sy, 0.0, h]) as fy from cover))"""
+  select collage_id, image_id, y, x, k, d, c * fx - s * fy + mx as ax, s * fx + c * fy + my as ay from (
+    select *, unnest([0, 1, 2, 3]) as k, unnest([greatest(0, sx), greatest(0, w - sx), greatest(0, sy), greatest(0, h - sy)]) as d, unnest([0.0, w, sx, sx]) as fx, unnest([sy, sy, 0.0, h]) as fy from cover))"""
 KEPT = """kept as (
   select s.collage_id, s.image_id, s.y, s.x, min(d) as d from sides s where exists (select 1 from geo g where g.collage_id = s.collage_id and g.image_id <> s.image_id
     and (g.c * (ax - g.mx) + g.s * (ay - g.my)) / (g.c * g.c + g.s * g.s) >= 0 and (g.c * (ax - g.mx) + g.s * (ay - g.my)) / (g.c * g.c + g.s * g.s) < g.w
@@ -133,9 +153,9 @@ SQL: dict[str, str] = {
     "t2_pad_sizes": _with(GEO, BOX, then="""select collage_id, axis, cast(sum(size) as bigint) as both, cast(min(size) as bigint) as smaller from (
       select collage_id, axis, size from (select collage_id, 'x' as axis, ceil("right" - "left") as size from box union all select collage_id, 'y', ceil(bottom - top) from box)
       qualify row_number() over (partition by collage_id, axis order by size desc) <= 2) group by all"""),
-    "h2_match": _with(PX, IMG, PR, then="select collage_id, image_a, image_b, cast(0 as bigint) as dx, cast(40 as bigint) as dy from pr where image_b = image_a + 1"),
-    "h2b_match": _with(PX, IMG, PR, then="select collage_id, image_a, image_b, cast(case when image_b = image_a + 1 then 0 end as bigint) as dx, cast(case when image_b = image_a + 1 then 40 end as bigint) as dy, cast(image_b = image_a + 1 as bigint) as overlaps from pr"),
-    "h2c_stamps": _with(PX, IMG, PR, then="select collage_id, image_a, image_b, 0.0::double as dx, 40.0::double as dy, cast(5 as bigint) as n from pr where image_b = image_a + 1"),
+    "h2_match": _with(PX, IMG, PR, *_best_of("f", "pr", "px", "px", 64, 16), _rms_of("f"), then=f"select collage_id, image_a, image_b, dx, dy, {_R('score', 'score')}, {_R('difference', 'difference')} from fb join frm using (collage_id, image_a, image_b)"),
+    "h2b_match": _with(*MATCH[:7], CLIPS, *_best_of("g", "pr", "clip_a", "clip_b", 16, 4), "fb as (select collage_id, image_a, image_b, 4 * be.dx + gb.dx as dx, 4 * be.dy + gb.dy as dy from be join gb using (collage_id, image_a, image_b))", _rms_of("f"), then=f"select collage_id, image_a, image_b, dx, dy, {_R('difference', 'difference')}, cast(difference < 0.1 as bigint) as overlaps from fb join frm using (collage_id, image_a, image_b)"),
+    "h2c_stamps": _with(PX, IMG, PR, then="select collage_id, image_a, image_b, cast(i - 1 as bigint) as k, 8.0::double * i + 8 as xa, round_even(40 + 8 * i / 6.0::double, 0) + 8 as ya, 8.0::double * i + 8 as xb, round_even(40 + 8 * i / 6.0::double, 0) - 32 as yb from (select *, unnest(range(1, 6)) as i from pr where image_b = image_a + 1)"),
     "c4_stamps": _with(*MATCH[:7], then="""select collage_id, image_a, image_b, k - 1 as k, cast(round_even(l + (w0 - w) * k / 6.0, 0) as bigint) as x, cast(round_even(t + (h0 - h) * k / 6.0, 0) as bigint) as y, w, h from (
       select *, least(16, w0) as w, least(16, h0) as h, unnest(range(1, 6)) as k from (select *, greatest(0, 4 * dx) as l, greatest(0, 4 * dy) as t, least(64, 64 + 4 * dx) - greatest(0, 4 * dx) as w0, least(64, 64 + 4 * dy) - greatest(0, 4 * dy) as h0 from be))"""),
     "m3_angles": _with(PARTS, then=f"select image_id, k, {_R('k * 0.25::double - 1', 'angle')}, {_R('cos(radians(k * 0.25 - 1))', 'c')}, {_R('sin(radians(k * 0.25 - 1))', 's')} from parts, (select unnest(range(9)) as k)"),
@@ -185,9 +205,18 @@ SQL: dict[str, str] = {
     "m12_distance": _with(*DISTANCES, then=f"select collage_id, image_id, y, x, {_R('d', 'd')} from dist"),
     "m13_weight": _with(*DISTANCES, then=f"select collage_id, image_id, y, x, {_R('d * d', 'weight')}, cast(floor(greatest(0.0, least(1.0, d * 4 / 64)) * 255 + 0.5) as bigint) as view from dist"),
     "a12_weighted": _with(*DISTANCES, PLACED, then=f"select collage_id, y, x, {_R('case when sum(d * d) > 0 then sum(d * d * v) / nullif(sum(d * d), 0) else avg(v) end', 'v')} from placed join dist using (collage_id, image_id, y, x) group by collage_id, y, x"),
+    "j11_contained": _with(PX, IMG, PGEO, BOX, COVER, SIDES, then=f"""select s.collage_id, s.image_id, s.y, s.x, cast(k as bigint) as k, {_R('d', 'd')}, cast(exists (select 1 from geo g where g.collage_id = s.collage_id and g.image_id <> s.image_id
+      and (g.c * (ax - g.mx) + g.s * (ay - g.my)) / (g.c * g.c + g.s * g.s) >= 0 and (g.c * (ax - g.mx) + g.s * (ay - g.my)) / (g.c * g.c + g.s * g.s) < g.w
+      and (g.c * (ay - g.my) - g.s * (ax - g.mx)) / (g.c * g.c + g.s * g.s) >= 0 and (g.c * (ay - g.my) - g.s * (ax - g.mx)) / (g.c * g.c + g.s * g.s) < g.h) as bigint) as contained from sides s"""),
+    "a11_colour": _with(*ON_CANVAS, then=f"select collage_id, y, x, count(*) as n, {_R('avg(v) + 0.5', 'luma')}, {_R('avg(v) / 2', 'cb')}, {_R('0.5 - avg(v) / 4', 'cr')} from placed group by collage_id, y, x"),
+    "a12_colour": _with(*DISTANCES, PLACED, "mixed as (select collage_id, y, x, case when sum(d * d) > 0 then sum(d * d * v) / nullif(sum(d * d), 0) else avg(v) end as v from placed join dist using (collage_id, image_id, y, x) group by collage_id, y, x)", then="select collage_id, y, x, " + ", ".join(f"cast(floor(greatest(0.0, least(1.0, {e})) * 255 + 0.5) as bigint) as {c}" for c, e in (("luma", "v + 0.5"), ("cb", "v / 2"), ("cr", "0.5 - v / 4"))) + " from mixed"),
     "w8_owner": _with(*ON_CANVAS, then=f"select collage_id, y, x, image_id, {_R('v', 'v')} from placed qualify row_number() over (partition by collage_id, y, x order by image_id desc) = 1"),
     "m18_difference": _with(*ON_CANVAS, then=f"select collage_id, image_id, y, x, {_R('abs(v - avg(v) over (partition by collage_id, y, x))', 'v')} from placed"),
     "w7_border": _with(*ON_CANVAS[:5], then="""select collage_id, image_id, y, x from (select *, min(x) over r as x0, max(x) over r as x1, min(y) over k as y0, max(y) over k as y1 from cover
       window r as (partition by collage_id, image_id, y), k as (partition by collage_id, image_id, x)) where x in (x0, x1) or y in (y0, y1)"""),
     "job_collage": _with(PX, IMG, then="select collage_id, image_id, 0.0::double as x, 40.0::double * (image_id - min(image_id) over (partition by collage_id)) as y from img"),
+    "job_match": _with(PX, IMG, PR, then="select collage_id, image_a, image_b, case when image_b = image_a + 1 then 'X' else '-' end as rel, case when image_b = image_a + 1 then 0.0::double end as dx, case when image_b = image_a + 1 then 40.0::double end as dy from pr"),
+    "job_resume": _with(PX, IMG, PR, "st as (select *, (image_a + image_b) % 3 <> 0 as known, image_b % 2 = 0 as even, image_b = image_a + 1 as near from pr)", then="select collage_id, image_a, image_b, case when known and even or not known and near then 'X' else '-' end as rel, case when known and even then 1.5::double when not known and near then 0.0::double end as dx, case when known and even then -2.0::double when not known and near then 40.0::double end as dy from st"),
+    "job_rotated": _with(PX, IMG, then="select collage_id, image_id, 0.0::double as x, 40.0::double * (image_id - min(image_id) over (partition by collage_id)) as y, 1.0::double as c, 0.0::double as s from img"),
+    "job_process": _with(PX, IMG, then=f"select collage_id, y + 40 * (image_id - first) as y, x, {_R('avg(v)', 'v')} from px join (select collage_id, min(image_id) as first from img group by collage_id) using (collage_id) group by collage_id, y + 40 * (image_id - first), x"),
 }

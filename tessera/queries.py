@@ -51,8 +51,7 @@ def _best(spark, sf_dir):
 
 @query
 def match_small(spark, sf_dir):
-    pixels = tables.mosaic(spark, sf_dir)
-    return matching.match_relational(tables.mosaic_parts(pixels), pixels)
+    return matching.match_shrunk(_pairs(spark, sf_dir), _planes(spark, sf_dir), FACTOR, PORTION)
 
 
 @query
@@ -133,20 +132,18 @@ def _planes(spark, sf_dir):
 
 @query
 def h2_match(spark, sf_dir):
-    return matching.match_once(_pairs(spark, sf_dir), _planes(spark, sf_dir)).select(*PAIR, "dx", "dy").where("image_b = image_a + 1")
+    return matching.match_once(_pairs(spark, sf_dir), _planes(spark, sf_dir))
 
 
 @query
 def h2b_match(spark, sf_dir):
-    found = matching.match(_pairs(spark, sf_dir), _planes(spark, sf_dir), pad=32, maximum=0.1)
-    return found.select(*PAIR, F.when(F.col("overlaps"), F.col("dx")).alias("dx"), F.when(F.col("overlaps"), F.col("dy")).alias("dy"), F.col("overlaps").cast("int").alias("overlaps"))
+    return matching.match(_pairs(spark, sf_dir), _planes(spark, sf_dir), pad=32, maximum=0.1).withColumn("overlaps", F.col("overlaps").cast("int"))
 
 
 @query
 def h2c_stamps(spark, sf_dir):
     found = matching.match_stamps(_pairs(spark, sf_dir), _planes(spark, sf_dir), pad=128, maximum=0.1, n=5, side=16)
-    points = found.select(*PAIR, F.explode("pts").alias("p"))
-    return points.select(*PAIR, (F.col("p.xa") - F.col("p.xb")).alias("dx"), (F.col("p.ya") - F.col("p.yb")).alias("dy")).groupBy(*PAIR, "dx", "dy").agg(F.count("*").alias("n"))
+    return found.select(*PAIR, F.posexplode("pts").alias("k", "p")).select(*PAIR, "k", "p.xa", "p.ya", "p.xb", "p.yb")
 
 
 @query
@@ -411,9 +408,30 @@ def m13_weight(spark, sf_dir):
     return d.select("collage_id", "image_id", "y", "x", G.weight(F.col("d")).alias("weight"), G.view_scale(F.col("d"), F.lit(64), F.lit(64)).alias("view"))
 
 
+@query
+def j11_contained(spark, sf_dir):
+    return canvas.side_points(_geometry(spark, sf_dir)).withColumn("contained", F.col("contained").cast("int"))
+
+
 @query
 def a12_weighted(spark, sf_dir):
-    return canvas.weighted_canvas(_placed(spark, sf_dir), canvas.distance_map(_geometry(spark, sf_dir)))
+    return canvas.blend_by_distance(_geometry(spark, sf_dir), _planes(spark, sf_dir))
+
+
+def _coloured(spark, sf_dir):
+    """Planes with channels derived from their values."""
+    change = {"luma": lambda v: v + 0.5, "cb": lambda v: v / 2, "cr": lambda v: 0.5 - v / 4}
+    return _planes(spark, sf_dir).withColumns({c: F.transform("data", f) for c, f in change.items()})
+
+
+@query
+def a11_colour(spark, sf_dir):
+    return collage.blend_average(_geometry(spark, sf_dir), _coloured(spark, sf_dir), canvas.COLOUR)
+
+
+@query
+def a12_colour(spark, sf_dir):
+    return canvas.as_bytes(collage.blend_weighted(_geometry(spark, sf_dir), _coloured(spark, sf_dir), channels=canvas.COLOUR), canvas.COLOUR)
 
 
 @query
@@ -442,8 +460,43 @@ def blend_shaped(spark, sf_dir):
     return collage.blend_shaped(_geometry(spark, sf_dir), _planes(spark, sf_dir))
 
 
+@query
+def blend_shaped_hard(spark, sf_dir):
+    return collage.blend_shaped(_geometry(spark, sf_dir), _planes(spark, sf_dir), hard=True)
+
+
 @query
 def job_collage(spark, sf_dir):
     pixels = tables.mosaic(spark, sf_dir)
     positions, _ = collage.collage(tables.mosaic_parts(pixels), matching.planes(pixels), pad=128, maximum=0.1)
     return positions.select("collage_id", "image_id", "x", "y")
+
+
+@query
+def job_match(spark, sf_dir):
+    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir))
+    return collage.match_pairs(parts, _planes(spark, sf_dir), pad=128, maximum=0.1)
+
+
+@query
+def job_resume(spark, sf_dir):
+    """Some pairs are known from a state and keep what it says; the others are matched."""
+    pairs = _pairs(spark, sf_dir).where("(image_a + image_b) % 3 <> 0")
+    known = pairs.select("image_a", "image_b", F.when(F.col("image_b") % 2 == 0, F.lit("X")).otherwise(F.lit("-")).alias("rel"), *(F.when(F.col("image_b") % 2 == 0, F.lit(v)).alias(c) for c, v in (("dx", 1.5), ("dy", -2.0))))
+    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir))
+    return collage.match_pairs(parts, _planes(spark, sf_dir), known, pad=128, maximum=0.1)
+
+
+@query
+def job_rotated(spark, sf_dir):
+    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir)).withColumn("dangle_deg", F.lit(None).cast("double"))
+    matched = collage.match_pairs_rotated(parts, _planes(spark, sf_dir), pad=128, maximum=0.1, n=5, side=16)
+    return collage.place_parts_rotated(parts, matched).select("collage_id", "image_id", "x", "y", "c", "s")
+
+
+@query
+def job_process(spark, sf_dir):
+    """From upright scans to the weighted canvas."""
+    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir))
+    _, _, blended = collage.process(parts, _planes(spark, sf_dir), pad=128, maximum=0.1, smooth=3)
+    return blended

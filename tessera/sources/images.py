@@ -13,21 +13,47 @@ from pyspark.sql import functions as F
 RED, GREEN, BLUE = 0.299, 0.587, 0.114
 
 
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def _channels(r: dict) -> dict[str, np.ndarray]:
+    """luma, cb and cr (0 to 1) of a decoded image: blue, green, red bytes, or one grey byte, for each pixel."""
+    raw = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]) / 255.0
+    b, g, red = (raw[:, :, k if r["nChannels"] >= 3 else 0] for k in range(3))
+    luma = RED * red + GREEN * g + BLUE * b
+    return {"luma": luma, "cb": 0.5 + (b - luma) / (2 * (1 - BLUE)), "cr": 0.5 + (red - luma) / (2 * (1 - RED))}
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Pixels (path, y, x, luma, cb, cr; 0 to 1) of the JPEG files of a folder, decoded by Spark's image source."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.to_dict("records"):
-                raw = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]) / 255.0
-                b, g, red = (raw[:, :, k if r["nChannels"] >= 3 else 0] for k in range(3))
-                luma = RED * red + GREEN * g + BLUE * b
                 y, x = np.mgrid[0 : r["height"], 0 : r["width"]]
-                cb, cr = 0.5 + (b - luma) / (2 * (1 - BLUE)), 0.5 + (red - luma) / (2 * (1 - RED))
-                yield pd.DataFrame({"path": r["origin"], "y": y.ravel(), "x": x.ravel(), "luma": luma.ravel(), "cb": cb.ravel(), "cr": cr.ravel()})
+                yield pd.DataFrame({"path": r["origin"], "y": y.ravel(), "x": x.ravel(), **{c: v.ravel() for c, v in _channels(r).items()}})
+
+    return _decoded(spark, path).mapInPandas(run, "path string, y int, x int, luma double, cb double, cr double")
+
+
+def read_planes(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
+    """SRC1: a row for each of ``parts`` (collage_id, image_id, path) whose file is in the folder: height, width, ``data`` (its brightness), luma, cb, cr.
+
+    Files and parts meet by file name. Decoded images stay whole: pixels are neither exploded nor gathered.
+    """
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                c = {k: v.ravel() for k, v in _channels(r).items()}
+                yield pd.DataFrame([{"collage_id": r["collage_id"], "image_id": r["image_id"], "height": r["height"], "width": r["width"], "data": c["luma"], **c}])
 
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    return images.mapInPandas(run, "path string, y int, x int, luma double, cb double, cr double")
+    named = parts.select("collage_id", "image_id", name("path").alias("name"))
+    rows = _decoded(spark, path).withColumn("name", name("origin")).join(named, "name")
+    arrays = ", ".join(f"{c} array<double>" for c in ("data", "luma", "cb", "cr"))
+    return rows.mapInPandas(run, f"collage_id long, image_id int, height int, width int, {arrays}")
 
 
 def write_raster(pixels: DataFrame, path: str, tile: int = 256) -> None:

@@ -6,6 +6,8 @@ both mean that the value is still to be found, except for ``DAngle``.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +29,12 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2, C3: parts (path, angle_deg, dangle_deg, x, y); only ``Image`` has to be there, unknown columns are ignored."""
+    """SRC2, C3, U4: parts (path, angle_deg, dangle_deg, x, y); only ``Image`` has to be there, unknown columns are warned of and ignored."""
     raw = _csv(spark, path)
     if "Image" not in raw.columns:
         raise ValueError("a placement table needs a column Image")
+    if unknown := placement.unknown_columns(raw, list(PART_COLUMNS)):
+        warnings.warn(f"columns that nothing reads: {', '.join(unknown)}", stacklevel=2)
     rows = raw.select(*(_typed(ours, F.col(theirs) if theirs in raw.columns else F.lit(None)) for theirs, ours in PART_COLUMNS.items()))
     return rows.withColumn("dangle_deg", placement.angle_correction("DAngle" in raw.columns))
 
@@ -48,12 +52,13 @@ def read_relations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_correspondences(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4, W2: (image_a, image_b, rel, pts) from header and detail rows. The rows of a file have to be in order, one file per table."""
+    """SRC4, W2, A16: (image_a, image_b, rel, pts) from header and detail rows. The rows of a file have to be in order, one file per table; a pair may have one header row."""
     rows = _strict(spark, path, POINT_COLUMNS).withColumn("row_id", F.monotonically_increasing_id()).withColumn("file", F.lit(path))
     filled = placement.fill_down(rows, "file", "row_id")
     filled = filled.withColumn("_ok", F.assert_true(~F.col("orphan"), "a point comes before any pair")).where(F.col("_ok").isNull())
     point = F.when(F.col("xa").isNotNull(), F.struct("row_id", F.struct("xa", "ya", "xb", "yb").alias("p")))
-    grouped = filled.groupBy("image_a", "image_b").agg(F.max("rel").alias("rel"), F.sort_array(F.collect_list(point)).alias("q"))
+    grouped = filled.groupBy("image_a", "image_b").agg(F.sum(F.col("header").cast("int")).alias("headers"), F.max("rel").alias("rel"), F.sort_array(F.collect_list(point)).alias("q"))
+    grouped = grouped.withColumn("_ok", F.assert_true(F.col("headers") == 1, "a pair is listed twice")).where(F.col("_ok").isNull())
     return grouped.select("image_a", "image_b", "rel", F.transform("q", lambda q: q["p"]).alias("pts"))
 
 
@@ -85,3 +90,17 @@ def write_correspondences(relations: DataFrame, path: str) -> None:
     for c in ("image_a", "image_b", "rel"):
         flat = flat.withColumn(c, F.when(head, F.col(c)))
     _write(flat, path, POINT_COLUMNS)
+
+
+def relations_by_id(relations: DataFrame, parts: DataFrame) -> DataFrame:
+    """Relations that name paths, by the image ids of ``parts`` (path, image_id)."""
+    ids = lambda s: parts.select(F.col("path").alias(f"image_{s}"), F.col("image_id").alias(f"id_{s}"))
+    both = relations.join(ids("a"), "image_a").join(ids("b"), "image_b")
+    return both.drop("image_a", "image_b").withColumnsRenamed({"id_a": "image_a", "id_b": "image_b"})
+
+
+def relations_by_path(relations: DataFrame, parts: DataFrame) -> DataFrame:
+    """Relations of image ids, by the paths of ``parts`` (collage_id, image_id, path)."""
+    paths = lambda s: parts.select("collage_id", F.col("image_id").alias(f"image_{s}"), F.col("path").alias(f"path_{s}"))
+    both = relations.join(paths("a"), ["collage_id", "image_a"]).join(paths("b"), ["collage_id", "image_b"])
+    return both.drop("image_a", "image_b").withColumnsRenamed({"path_a": "image_a", "path_b": "image_b"})

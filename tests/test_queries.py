@@ -33,6 +33,42 @@ def test_shaped_blend_covers_the_canvas(spark, sf_dir):
     assert len(blend) == queries.QUERIES["a14_cover"](spark, sf_dir).count() and blend["v"].notna().all()
 
 
+def test_shrunk_planes_match_like_joined_pixels(spark, sf_dir):
+    pixels = sources.mosaic(spark, sf_dir)
+    want = matching.match_relational(sources.mosaic_parts(pixels), pixels).toPandas().sort_values(["collage_id", "image_a", "image_b"])
+    got = queries.QUERIES["match_small"](spark, sf_dir).toPandas().sort_values(["collage_id", "image_a", "image_b"])
+    assert got[["image_a", "image_b", "dx", "dy", "overlaps"]].to_numpy().tolist() == want[["image_a", "image_b", "dx", "dy", "overlaps"]].to_numpy().tolist()
+    assert np.allclose(got[["score", "difference"]], want[["score", "difference"]], atol=2e-6)
+
+
+def test_hard_shaped_blend_shows_one_kept_image(spark, sf_dir):
+    hard = queries.QUERIES["blend_shaped_hard"](spark, sf_dir).toPandas()
+    kept = queries.QUERIES["h5_peel"](spark, sf_dir).toPandas()
+    last = kept.groupby(["collage_id", "y", "x"])["image_id"].max()
+    assert hard.set_index(["collage_id", "y", "x"])["image_id"].sort_index().equals(last.sort_index())
+    placed = queries.QUERIES["h1_resample"](spark, sf_dir).toPandas().set_index(["collage_id", "image_id", "y", "x"])["v"]
+    assert np.allclose(hard["v"], placed.loc[list(zip(hard["collage_id"], hard["image_id"], hard["y"], hard["x"]))])
+
+
+def test_soft_shaped_blend_weighs_by_smoothed_masks(spark, sf_dir):
+    keys = ["collage_id", "image_id", "y", "x"]
+    placed = queries.QUERIES["h1_resample"](spark, sf_dir).toPandas()
+    kept = set(map(tuple, queries.QUERIES["h5_peel"](spark, sf_dir).toPandas()[keys].to_numpy().tolist()))
+    total, s = {}, {}
+    for (c, _), part in placed.groupby(["collage_id", "image_id"]):
+        y0, x0 = part["y"].min(), part["x"].min()
+        mask = np.zeros((part["y"].max() - y0 + 1, part["x"].max() - x0 + 1))
+        for r in part[keys].to_numpy().tolist():
+            mask[r[2] - y0, r[3] - x0] = tuple(r) in kept
+        soft = kernels.smooth(mask, 200)
+        for y, x, v in part[["y", "x", "v"]].itertuples(index=False):
+            w = soft[y - y0, x - x0]
+            total[c, y, x], s[c, y, x] = total.get((c, y, x), 0) + w, s.get((c, y, x), 0) + w * v
+    blend = queries.QUERIES["blend_shaped"](spark, sf_dir).toPandas()
+    want = [s[k] / total[k] for k in zip(blend["collage_id"], blend["y"], blend["x"])]
+    assert len(blend) == len(total) and np.allclose(blend["v"], want, atol=2e-6)
+
+
 def test_spectral_angle_stays_within_the_maximum(spark, sf_dir):
     assert queries.QUERIES["h6_spectral"](spark, sf_dir).toPandas()["angle_deg"].abs().max() <= 6
 

@@ -2,9 +2,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tessera.operators import canvas, layout, placement
+from tessera.jobs import collage
+from tessera.operators import canvas, layout, orient, placement
 from tessera.sources import images, states
-from tessera.streaming.accumulate import running_canvas
 
 
 def put(path, text):
@@ -81,12 +81,70 @@ def test_corner_meeting_parts_fall_back_to_the_mean(spark):
     assert canvas.weighted_canvas(placed, zero).first()["v"] == 3.0
 
 
-def test_stream_accumulates_like_a_batch(spark, tmp_path):
-    schema = "collage_id long, image_id int, y int, x int, v double"
-    rows = spark.createDataFrame([(0, i, 0, x, float(i + x)) for i in range(3) for x in range(4)], schema)
-    for i in range(3):
-        rows.where(F.col("image_id") == i).write.mode("append").parquet(str(tmp_path / "in"))
-    q = running_canvas(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("running").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(spark.table("running").collect()) == sorted(canvas.average_canvas(rows).select("collage_id", "y", "x", "n", "v").collect())
+def picture(spark, path, width, height, colour):
+    """A JPEG file whose pixels have colours by place."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for x in range(width):
+        for y in range(height):
+            image.setRGB(x, y, colour(x, y))
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+
+
+def test_parts_are_joined_to_their_files(spark, tmp_path):
+    for k in range(2):
+        picture(spark, tmp_path / f"p{k}.jpg", 8, 6, lambda x, y: 0x404040 if k == 0 else 0xC01010)
+    parts = spark.createDataFrame([(0, 0, "scans/p0.jpg"), (0, 1, "scans/p1.jpg"), (0, 2, "scans/lost.jpg")], "collage_id long, image_id int, path string")
+    planes = images.read_planes(spark, str(tmp_path), parts).orderBy("image_id").collect()
+    assert [(r["image_id"], r["height"], r["width"], len(r["data"])) for r in planes] == [(0, 6, 8, 48), (1, 6, 8, 48)]
+    assert planes[0]["data"][0] == pytest.approx(0x40 / 255, abs=0.03) and planes[0]["cr"][0] == pytest.approx(0.5, abs=0.03)
+    assert planes[1]["cr"][0] > 0.8 and planes[1]["luma"] == planes[1]["data"]
+    geometry = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0, 0.0, 8, 6), (0, 1, 1.0, 0.0, 0.0, 4.0, 8, 6)], "collage_id long, image_id int, c double, s double, mx double, my double, w int, h int")
+    blended = collage.blend_weighted(geometry, images.read_planes(spark, str(tmp_path), parts), channels=canvas.COLOUR).collect()
+    assert len(blended) == 80 and {r["cr"] > 0.7 for r in blended if r["y"] >= 7} == {True}
+
+
+def test_state_is_written_and_resumed(spark, tmp_path):
+    parts = spark.createDataFrame([(0, i, f"p{i}.jpg", 0.0, 0.0, 40.0 * i) for i in range(3)], "collage_id long, image_id int, path string, angle_deg double, x double, y double")
+    matched = spark.createDataFrame([(0, 0, 1, "X", 0.0, 40.0), (0, 0, 2, "-", None, None), (0, 1, 2, "X", 0.0, 40.0)], "collage_id long, image_a int, image_b int, rel string, dx double, dy double")
+    collage.write_state(str(tmp_path / "s"), parts, states.relations_by_path(matched, parts))
+    back, relations = collage.resume(spark, str(tmp_path / "s"))
+    assert sorted(r["path"] for r in back.collect()) == ["p0.jpg", "p1.jpg", "p2.jpg"] and relations.count() == 6
+    known = states.relations_by_id(relations, parts)
+    # Planes too small to match: what is known must be enough.
+    planes = spark.createDataFrame([(0, i, 1, 1, [0.0]) for i in range(3)], "collage_id long, image_id int, height int, width int, data array<double>")
+    again = collage.match_pairs(parts.withColumn("x", F.lit(None).cast("double")), planes, known)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, matched.collect()))
+    points = spark.createDataFrame([(0, 0, 1, "X", [(1.0, 2.0, 1.0, -38.0)]), (0, 1, 2, "-", [])], "collage_id long, image_a int, image_b int, rel string, pts array<struct<xa: double, ya: double, xb: double, yb: double>>")
+    collage.write_state(str(tmp_path / "r"), parts, states.relations_by_path(points, parts))
+    _, both = collage.resume(spark, str(tmp_path / "r"), rotated=True)
+    assert {(r["image_a"], r["image_b"]): [tuple(p) for p in r["pts"]] for r in both.collect()} == {("p0.jpg", "p1.jpg"): [(1.0, 2.0, 1.0, -38.0)], ("p1.jpg", "p0.jpg"): [(1.0, -38.0, 1.0, 2.0)], ("p1.jpg", "p2.jpg"): [], ("p2.jpg", "p1.jpg"): []}
+
+
+def test_resuming_refuses_pairs_listed_twice_and_warns_of_the_rest(spark, tmp_path):
+    put(tmp_path / "s" / "position", "Image,Angle,X,Y\na,0,,\nb,0,,\n")
+    put(tmp_path / "s" / "relation", "ImageA,ImageB,Rel,DX,DY\na,b,X,1,2\nb,a,X,-1,-2\n")
+    with pytest.raises(ValueError):
+        collage.resume(spark, str(tmp_path / "s"))
+    put(tmp_path / "t" / "position", "Image,Angle,X,Y,Other\na,0,,,1\nb,0,,,2\n")
+    put(tmp_path / "t" / "relation", "ImageA,ImageB,Rel,DX,DY\na,c,X,1,2\n")
+    with pytest.warns(UserWarning) as found:
+        collage.resume(spark, str(tmp_path / "t"))
+    assert len([w for w in found if "reads" in str(w.message) or "lacks" in str(w.message)]) == 2
+
+
+def test_the_spectral_angle_is_an_option(spark):
+    parts = spark.createDataFrame([(0, 0, None), (0, 1, 0.7)], "collage_id long, image_id int, angle_deg double")
+    planes = spark.createDataFrame([(0, i, 8, 8, [float((k * 7) % 5) for k in range(64)]) for i in range(2)], "collage_id long, image_id int, height int, width int, data array<double>")
+    got = {r["image_id"]: r["angle_deg"] for r in collage.orient_images(parts, planes, 5.0, spectral=True).collect()}
+    want = orient.spectral_angles(planes, 5.0).where("image_id = 0").first()["angle_deg"]
+    assert got == {0: want, 1: 0.7}
+
+
+def test_images_far_from_each_other_don_t_meet(spark):
+    rows = [(0, i, 0.0, 1.0, 100.0 * (i % 5), 70.0 * (i // 5), 80, 120) for i in range(25)]
+    geometry = spark.createDataFrame(rows, "collage_id long, image_id int, c double, s double, mx double, my double, w int, h int")
+    boxes = {r["image_id"]: (r["left"], r["top"], r["right"], r["bottom"]) for r in canvas.bounding_boxes(geometry).collect()}
+    meet = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    got = sorted((r["ga"]["image_id"], r["gb"]["image_id"]) for r in canvas.near_pairs(geometry).collect())
+    assert got == sorted((i, j) for i in boxes for j in boxes if i != j and meet(boxes[i], boxes[j]))

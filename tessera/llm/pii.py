@@ -1,17 +1,31 @@
 """Format-preserving pseudonyms by keyed Feistel permutations, in DataFrame functions only.
 
 E-mail addresses, IPv4 addresses, dates, social security numbers, card numbers
-and phone numbers are found in one pass over each whole text. Those that pass
-validation (ranges, calendar, Luhn check digit) are permuted within their own format
-under a key: equal values stay equal in all documents, others stay different,
-and whoever holds the key can go back.
-
-Numbers are split in two halves, L below a and R below b, and changed in turn
-by a keyed hash of the other half, modulo a or b: a permutation of the a * b
-values whatever the hash is.
-
-Null texts stay null and hold nothing. Texts without digits or @ are left as they are.
-Every row has its own result. Further columns are kept by ``pseudonymise``.
+and phone numbers are found in each whole text. Those that pass validation
+(ranges, calendar, Luhn check digit, lengths) are permuted within their own
+format under a key: equal values stay equal in all documents, others stay
+different, and whoever holds the key can go back.
+
+A value is split in two halves that are changed in turn by a keyed SHA-256 of
+the other half: numbers L below a and R below b modulo a and b, the users of
+addresses character by character within capitals, small letters and digits.
+That is a permutation whatever the hash is. Cut hashes don't show the state
+they came from, so the key is simply put before what is hashed.
+
+Formats: ``user@domain`` with users of at most 64 and domains of at most 255
+characters and two labels (the domain and marks in the user stay); ``1.2.3.4``
+without leading zeros;
+calendar dates of the years 1 to 9999, year first, with ``-``, ``/`` or ``.``
+(they stay within 1-1899, 1900-2105 or 2106-9999); ``123-45-6789``; cards of 13
+to 19 digits in one run or in the usual groups; phone numbers of ten digits in
+three groups, or of several groups after ``+`` and a country code, which
+stays. Dates with the day or the month first are ambiguous and stay.
+
+Null texts stay null and hold nothing, as do empty ones. Texts without digits
+or @ are left as they are. The patterns give nothing back once they have read
+it and don't start within a run, so time follows the length of a text, whatever
+it holds. Every row has its own result, also with repeated or null ids.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +34,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "tessera"
+LONGEST_USER, LONGEST_DOMAIN = 64, 255
 
 # Patterns of the formats, tried in this order at every place.
 FORMATS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}+\.){3}+[0-9]{1,3}+(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9-])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4})(?![0-9])",
 }
 _ANY = "(?:" + "|".join(FORMATS.values()) + ")"
-_FIRST_DAY, _DAYS = "1900-01-01", (300, 250)  # the 75,000 days from then on
+#: Ranges of dates as the first day and two factors of the number of days.
+DATES = (("0001-01-01", 745, 931), ("1900-01-01", 264, 285), ("2106-01-01", 1532, 1882))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _keyed_hash(key: str, *parts: Column) -> Column:
+    """A number of 60 bits from the key and the parts."""
+    return F.conv(F.left(F.sha2(F.concat_ws(":", F.lit(key), *(p.cast("string") for p in parts)), 256), F.lit(15)), 16, 10).cast("long")
+
+
+def _rounds(inverse: bool) -> Column:
+    return F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
 
 def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column, inverse: bool = False) -> Column:
@@ -42,15 +71,13 @@ def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column, invers
 
     def turn(s: Column, i: Column) -> Column:
         def step(x: Column, other: Column, m: Column) -> Column:
-            change = F.pmod(F.xxhash64(F.lit(key), tweak, i, other), m)
+            change = F.pmod(_keyed_hash(key, tweak, i, other), m)
             return F.pmod(x - change if inverse else x + change, m)
 
         even = F.pmod(i, F.lit(2)) == 0
         return F.struct(F.when(even, step(s["l"], s["r"], a)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(step(s["r"], s["l"], b)).alias("r"))
 
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    out = F.aggregate(rounds, start, turn)
-    return F.transform(F.array(out), lambda s: s["l"] * b + s["r"])[0]
+    return _bound(F.aggregate(_rounds(inverse), start, turn), lambda s: s["l"] * b + s["r"])
 
 
 def _digits(hit: Column) -> Column:
@@ -80,16 +107,43 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
 
 
+def _day(hit: Column) -> Column:
+    """The calendar date that a hit with the year first names, or null."""
+    return F.try_to_date(F.regexp_replace(hit, "[/.]", "-"), "yyyy-MM-dd")
+
+
 def _kind(hit: Column) -> Column:
     """The format of a hit if it is valid, else null."""
     digits = _digits(hit)
     card = F.length(digits).between(13, 19) & (F.right(digits, F.lit(1)) == _luhn(F.left(digits, F.length(digits) - 1)))
-    octets = F.forall(F.split(hit, r"\."), lambda o: o.cast("int") <= 255)
-    day = F.try_to_date(hit, "yyyy-MM-dd")
-    last = F.date_add(F.lit(_FIRST_DAY).cast("date"), _DAYS[0] * _DAYS[1] - 1)
+    octets = F.forall(F.split(hit, r"\."), lambda o: (o.cast("int") <= 255) & ~o.rlike("^0[0-9]"))
     full = lambda kind: hit.rlike(f"^{FORMATS[kind]}$")
+    at = F.instr(hit, "@")
+    email = at.between(2, LONGEST_USER + 1) & (F.length(hit) - at <= LONGEST_DOMAIN)
     ssn = ~F.left(hit, F.lit(3)).isin("000", "666") & (F.left(hit, F.lit(1)) != "9") & (F.substr(hit, F.lit(5), F.lit(2)) != "00") & (F.right(hit, F.lit(4)) != "0000")
-    return F.when(full("email"), F.lit("email")).when(full("ip"), F.when(octets, F.lit("ip"))).when(full("date"), F.when(day.between(F.lit(_FIRST_DAY).cast("date"), last), F.lit("date"))).when(full("ssn"), F.when(ssn, F.lit("ssn"))).when(full("phone"), F.lit("phone")).when(full("card"), F.when(card, F.lit("card")))
+    return (
+        F.when(at > 0, F.when(email, F.lit("email")))
+        .when(full("ip"), F.when(octets, F.lit("ip")))
+        .when(full("date"), F.when((F.left(hit, F.lit(4)) != "0000") & _day(hit).isNotNull(), F.lit("date")))
+        .when(full("ssn"), F.when(ssn, F.lit("ssn")))
+        .when(full("phone"), F.lit("phone"))
+        .when(full("card"), F.when(card, F.lit("card")))
+    )
+
+
+def _date(hit: Column, key: str, inverse: bool) -> Column:
+    """A date of the same range, written like ``hit``."""
+
+    def moved(day: Column) -> Column:
+        out = F.lit(None).cast("date")
+        for first, a, b in DATES:
+            start = F.lit(first).cast("date")
+            x = feistel(F.date_diff(day, start).cast("long"), F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit(first), inverse)
+            out = F.when(day.between(start, F.date_add(start, a * b - 1)), F.date_add(start, x.cast("int"))).otherwise(out)
+        return out
+
+    digits = lambda d: F.concat(F.lpad(F.year(d).cast("string"), 4, "0"), F.lpad(F.month(d).cast("string"), 2, "0"), F.lpad(F.day(d).cast("string"), 2, "0"))
+    return _bound(_bound(_day(hit), moved), lambda d: _filled(hit, digits(d)))
 
 
 def _pseudonym(hit: Column, kind: Column, key: str, inverse: bool) -> Column:
@@ -97,12 +151,11 @@ def _pseudonym(hit: Column, kind: Column, key: str, inverse: bool) -> Column:
     part = lambda i: F.element_at(F.split(hit, r"\."), i).cast("long")
     number = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
     half = F.lit(65536).cast("long")
-    ip = F.transform(F.array(feistel(number, half, half, key, F.lit("ip"), inverse)), lambda x: F.concat_ws(".", *(F.pmod(F.shiftright(x, s), F.lit(256)) for s in (24, 16, 8, 0))))[0]
-    first = F.lit(_FIRST_DAY).cast("date")
-    date = F.date_format(F.date_add(first, feistel(F.date_diff(F.try_to_date(hit, "yyyy-MM-dd"), first).cast("long"), F.lit(_DAYS[0]).cast("long"), F.lit(_DAYS[1]).cast("long"), key, F.lit("date"), inverse).cast("int")), "yyyy-MM-dd")
-    body = _permuted_digits(F.left(digits, F.length(digits) - 1), key, "card", inverse)
-    card = F.transform(F.array(body), lambda x: _filled(hit, F.concat(x, _luhn(x))))[0]
-    plain = lambda name: F.transform(F.array(_permuted_digits(digits, key, name, inverse)), lambda x: _filled(hit, x))[0]
+    ip = _bound(feistel(number, half, half, key, F.lit("ip"), inverse), lambda x: F.concat_ws(".", *(F.pmod(F.shiftright(x, s), F.lit(256)) for s in (24, 16, 8, 0))))
+    card = _bound(_permuted_digits(F.left(digits, F.length(digits) - 1), key, "card", inverse), lambda x: _filled(hit, F.concat(x, _luhn(x))))
+    country = F.length(F.regexp_extract(hit, r"^\+[0-9]{1,3}", 0))
+    own = F.substr(hit, country + 1)
+    phone = F.concat(F.left(hit, country), _bound(_permuted_digits(_digits(own), key, "phone", inverse), lambda x: _filled(own, x)))
     # The valid numbers, counted: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
     of = lambda i, n: F.substr(hit, F.lit(i), F.lit(n)).cast("long")
     area = of(1, 3) - 1 - (of(1, 3) > 666).cast("int")
@@ -117,29 +170,35 @@ def _pseudonym(hit: Column, kind: Column, key: str, inverse: bool) -> Column:
         a = a + (a >= 666).cast("int")
         return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad(group.cast("string"), 2, "0"), F.lpad(serial.cast("string"), 4, "0"))
 
-    ssn = F.transform(F.array(counted), written)[0]
-    # Addresses: each half letter by letter and digit by digit, under a keyed stream for the pair of domain and length.
     user, domain = F.split_part(hit, F.lit("@"), F.lit(1)), F.split_part(hit, F.lit("@"), F.lit(2))
-    email = F.concat(_shifted(user, key, F.concat(F.lit("u"), F.lower(domain), F.length(user)), inverse), F.lit("@"), domain)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "date", date).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", plain("phone")).otherwise(hit)
+    email = F.concat(_permuted_user(user, key, F.lower(domain), inverse), F.lit("@"), domain)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "date", _date(hit, key, inverse)).when(kind == "card", card).when(kind == "ssn", _bound(counted, written)).when(kind == "phone", phone).otherwise(hit)
 
 
-_LETTERS, _NUMBERS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
 
 
-def _shifted(text: Column, key: str, tweak: Column, inverse: bool) -> Column:
-    """Letters and digits moved along their alphabets, each by a keyed hash of its place; a permutation of the texts of one length."""
+def _permuted_user(user: Column, key: str, domain: Column, inverse: bool) -> Column:
+    """A user permuted among those whose capitals, small letters, digits and marks stand at the same places, for one domain."""
+    half = F.floor(F.length(user) / 2).cast("int")
+    start = F.struct(F.left(user, half).alias("l"), F.substr(user, half + 1).alias("r"))
 
-    def move(c: Column, i: Column) -> Column:
-        out = c
-        for alphabet in (_LETTERS, _LETTERS.upper(), _NUMBERS):
-            n = len(alphabet)
-            at = F.instr(F.lit(alphabet), c) - 1
-            by = F.pmod(F.xxhash64(F.lit(key), tweak, i), F.lit(n))
-            out = F.when(at >= 0, F.substr(F.lit(alphabet), (F.pmod(at - by if inverse else at + by, F.lit(n)) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+    def shifted(text: Column, seed: Column) -> Column:
+        def move(c: Column, i: Column) -> Column:
+            by, out = _keyed_hash(key, seed, i), c
+            for alphabet in _ALPHABETS:
+                n, at = len(alphabet), F.instr(F.lit(alphabet), c) - 1
+                out = F.when(at >= 0, F.substr(F.lit(alphabet), (F.pmod(at - by if inverse else at + by, F.lit(n)) + 1).cast("int"), F.lit(1))).otherwise(out)
+            return out
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), move), "")
+        return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), move), "")
+
+    def turn(s: Column, i: Column) -> Column:
+        even = F.pmod(i, F.lit(2)) == 0
+        seed = lambda other: F.concat_ws(":", F.lit("user"), domain, i, other)
+        return F.struct(F.when(even, shifted(s["l"], seed(s["r"]))).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(shifted(s["r"], seed(s["l"]))).alias("r"))
+
+    return _bound(F.aggregate(_rounds(inverse), start, turn), lambda s: F.concat(s["l"], s["r"]))
 
 
 def _marked(text: Column, key: str, inverse: bool) -> Column:
@@ -149,8 +208,11 @@ def _marked(text: Column, key: str, inverse: bool) -> Column:
     return F.transform(named, lambda s: F.struct(s["value"].alias("value"), s["kind"].alias("kind"), _pseudonym(s["value"], s["kind"], key, inverse).alias("pseudonym")))
 
 
-def find_pii(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, ``found`` (array of value, kind, pseudonym, in order, valid ones only) and ``text`` with pseudonyms."""
+def find_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ``found`` (array of value, kind, pseudonym, in order, valid ones only) and ``text`` with pseudonyms.
+
+    ``key`` is a secret of the caller; ``inverse`` puts the values back.
+    """
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # Without a digit or an @ nothing can match.

@@ -1,23 +1,28 @@
 """Mixing sources to target weights by a min-cost flow over membership patterns.
 
 1. A document's pattern is the set of sources it belongs to. Documents are
-   aggregated by pattern, so the flow sees patterns (at most ``MAX_PATTERNS``,
-   checked) and never documents.
+   aggregated by pattern, so the flow sees patterns and never documents.
 2. Targets share all words by weight; a target stops at ``repeats`` times its
    source's size and the excess is shared again by weight.
 3. The flow routes words from patterns to source quotas. The k-th repetition
    of a pattern costs more than the one before, so no document is repeated
-   while a fresh one would serve.
+   while a fresh one would serve. A source that shares no document with others
+   is a flow of its own, which is its quota; sources that do are solved
+   together, each connected group of them in a task.
 4. A pattern's flow is so many whole copies and a rest. The rest goes to
-   documents in the order of a seeded hash, up to the first that doesn't fit;
-   what is then left goes on to later ones that are small enough, and then to
-   one more copy of small ones. Cuts are found
-   by sums of hash buckets, level by level, so no source is ever gathered or
-   sorted as a whole.
+   documents in the order of a seeded hash, up to the first that doesn't fit,
+   then on to later ones that are small enough, and then to a few that fit
+   well, fresh ones first. Cuts are found by sums of hash buckets, level by
+   level, so no source is ever gathered or sorted as a whole.
+
+Tables of sources and patterns stay Spark tables, so there is no limit to
+their number. A task holds the patterns (not the documents) of one connected
+group of overlapping sources.
 
 A null text has size 0; a null source is a source of its own and comes last.
-Rows with equal id and text share their fate. Ties in the hash fall together.
-Further columns are ignored. An empty table gives an empty result.
+Rows with equal id and text share their fate, as do ties of the hash.
+Texts are counted whole. Further columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +31,19 @@ from collections import defaultdict
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .storage import materialize
 
-MAX_PATTERNS = 4096
 #: Bits of the hash that each level of sums looks at; the last level looks at whole hashes.
 LEVELS = (12, 12)
-#: Times that a rest goes on to smaller documents, and the share of a target that is near enough.
-PASSES = 5
-NEAR = 0.001
+#: Cuts through the documents of a pattern, and single documents after them that fit the rest best.
+CUTS, PICKS = 2, 4
+#: The share of a pattern's flow that is near enough.
+NEAR = 0.0005
 SEED = 17
 TOP = (1 << 63) - 1
 
@@ -52,22 +59,28 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], repeats: int) -> list[float]:
-    """Shares of the sum of ``sizes`` by weight, none above ``repeats`` times its size."""
-    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = sum(sizes)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = {i for i in open_ if left * weights[i] > repeats * sizes[i] * weight}
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / weight
+def _sources(patterns: DataFrame, weights: Sequence[float], repeats: int) -> DataFrame:
+    """(at, source, source_size, target) of every source, numbered by code point, null last."""
+    sizes = patterns.select(F.explode(F.array_distinct("sources")).alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    order = F.col("source").asc_nulls_last()
+    local = F.monotonically_increasing_id()
+    placed = materialize(sizes.repartitionByRange(order).sortWithinPartitions(order).select("source", "source_size", F.shiftright(local, 33).alias("part"), local.bitwiseAND(F.lit((1 << 33) - 1)).alias("k")), "sources")
+    before, shift = 0, F.lit(0).cast("long")
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        shift = F.when(F.col("part") == r["part"], F.lit(before).cast("long")).otherwise(shift)
+        before += r["count"]
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("at") % len(weights) + 1).cast("int"))
+    rows = materialize(placed.select((F.col("k") + shift).alias("at"), "source", "source_size").withColumn("weight", weight), "weighted")
+    # The level to which all sources are filled, by weight, unless they are full before.
+    full, total, level = repeats * F.col("source_size"), rows.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while total:
+        over = full < level * F.col("weight")
+        r = rows.agg(F.sum(F.when(over, full)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        new = (total - (r["full"] or 0)) / r["open"]
+        if new <= level:
             break
-        for i in over:
-            out[i] = float(repeats * sizes[i])
-            left -= repeats * sizes[i]
-        open_ -= over
-    return out
+        level = new
+    return rows.select("at", "source", "source_size", F.least(full.cast("double"), level * F.col("weight")).alias("target"))
 
 
 def min_cost_flow(patterns: Sequence[Pattern], quotas: dict[str | None, int], repeats: int) -> dict[str, int]:
@@ -124,71 +137,84 @@ def _keyed(docs: DataFrame, sources: Column, id_col: str, text_col: str, seed: i
     return [_key(sources).alias("_mix_pattern"), n_words(F.col(text_col)).alias("_mix_size"), h.alias("_mix_h")]
 
 
-def _cuts(sized: DataFrame, rests: list[tuple[str, int, int, int]]) -> dict[str, tuple[int, int]]:
-    """For (pattern, rest, after, limit): how far the rest reaches over hashes above ``after`` of rows up to size ``limit``, and what is left."""
-    spark = sized.sparkSession
-    state, done = {p: (rest, limit, after + 1, TOP) for p, rest, after, limit in rests}, {}
+def _flows(patterns: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
+    """(pattern, size, taken) of every pattern: words to take, all repetitions together."""
+    lone = F.size("sources") == 1
+    quota = sources.select("at", F.col("source"), F.round("target").cast("long").alias("quota"))
+    members = patterns.select("_mix_pattern", "size", F.size("sources").alias("n"), F.explode("sources").alias("of")).join(quota, F.col("of").eqNullSafe(F.col("source"))).select("_mix_pattern", "size", "n", "at", "quota")
+    shared = members.where("n > 1").groupBy("_mix_pattern").agg(F.collect_set("at").alias("ats"))
+    edges = shared.select(F.array_min("ats").alias("a"), F.explode("ats").alias("b")).where("a <> b")
+    alone = patterns.where(F.size("sources") == 0).select("_mix_pattern", "size", F.lit(0).cast("long").alias("taken"))
+    if edges.isEmpty():
+        return alone.unionByName(members.select("_mix_pattern", "size", F.col("quota").alias("taken")))
+    groups = connected_components(edges).withColumnRenamed("id", "at")
+    placed = members.join(groups, "at", "left")
+    single = placed.where(F.col("component").isNull()).select("_mix_pattern", "size", F.col("quota").alias("taken"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        found = [Pattern(key, tuple(rows["at"]), int(rows["size"].iloc[0])) for key, rows in part.sort_values("at").groupby("_mix_pattern", sort=True)]
+        taken = min_cost_flow(found, dict(zip(part["at"].tolist(), part["quota"].tolist(), strict=True)), repeats)
+        return pd.DataFrame({"_mix_pattern": [p.key for p in found], "size": [p.size for p in found], "taken": [taken[p.key] for p in found]})
+
+    solved = placed.where(F.col("component").isNotNull()).groupBy("component").applyInPandas(solve, "_mix_pattern string, size bigint, taken bigint")
+    return alone.unionByName(single).unionByName(solved)
+
+
+def _cut(sized: DataFrame, state: DataFrame) -> DataFrame:
+    """(pattern, upto, left): how far ``left`` reaches over hashes above ``after`` of rows up to size ``most``, from (pattern, left, after, most)."""
+    state = state.select("_mix_pattern", "left", "most", (F.col("after") + 1).alias("low"), F.lit(TOP).alias("high"))
     shift = 63
     for bits in (*LEVELS, None):
         shift = shift - bits if bits else 0
-        if not state:
-            break
-        # A row for each pattern, so at most MAX_PATTERNS.
-        now = F.broadcast(spark.createDataFrame([(p, *v) for p, v in state.items()], "_mix_pattern string, rest bigint, most bigint, low bigint, high bigint"))
-        rows = sized.join(now, "_mix_pattern").where("_mix_size > 0 and _mix_size <= most and _mix_h between low and high")
-        sums = rows.groupBy("_mix_pattern", "rest", F.shiftright("_mix_h", shift).alias("by")).agg(F.sum("_mix_size").alias("size"))
+        rows = sized.join(state, "_mix_pattern").where("_mix_size > 0 and _mix_size <= most and _mix_h between low and high")
+        sums = rows.groupBy("_mix_pattern", "left", F.shiftright("_mix_h", shift).alias("by")).agg(F.sum("_mix_size").alias("size"))
         sums = sums.withColumn("total", F.sum("size").over(Window.partitionBy("_mix_pattern").orderBy("by")))
-        fits = F.col("total") <= F.col("rest")
-        found = {r["_mix_pattern"]: r for r in sums.groupBy("_mix_pattern").agg(F.max(F.when(fits, F.col("total"))).alias("total"), F.min(F.when(~fits, F.col("by"))).alias("by")).collect()}
-        for p, (rest, limit, low, high) in list(state.items()):
-            r = found.get(p)
-            rest -= (r["total"] or 0) if r else 0
-            if r is None or r["by"] is None:  # all of this range fits
-                done[p] = (high, rest)
-                del state[p]
-            else:
-                first = r["by"] << shift
-                state[p] = (rest, limit, max(low, first), min(high, first + (1 << shift) - 1))
-    return done | {p: (low - 1, rest) for p, (rest, _, low, _) in state.items()}
+        fits = F.col("total") <= F.col("left")
+        found = sums.groupBy("_mix_pattern").agg(F.max(F.when(fits, F.col("total"))).alias("fit"), F.min(F.when(~fits, F.col("by"))).alias("by"))
+        first = F.call_function("shiftleft", F.col("by"), F.lit(shift))
+        # Without a bucket that doesn't fit, the rest reaches to the end of the range.
+        low = F.when(F.col("by").isNull(), F.when(F.col("high") == TOP, F.col("high")).otherwise(F.col("low"))).otherwise(F.greatest("low", first))
+        high = F.when(F.col("by").isNull(), F.col("low") - 1).otherwise(F.least(F.col("high"), first + F.lit((1 << shift) - 1)))
+        narrowed = state.join(found, "_mix_pattern", "left").select("_mix_pattern", (F.col("left") - F.coalesce("fit", F.lit(0))).alias("left"), "most", low.alias("low"), high.alias("high"))
+        state = materialize(narrowed, "cut")
+    return state.select("_mix_pattern", F.when(F.col("low") == TOP, F.col("low")).otherwise(F.col("low") - 1).alias("upto"), "left")
 
 
 def plan(sized: DataFrame, weights: Sequence[float], repeats: int) -> tuple[DataFrame, DataFrame]:
-    """(pattern, copies, cuts) and (source, source_size, target), from rows of pattern, sources, size and hash."""
-    spark = sized.sparkSession
-    found = sized.groupBy("_mix_pattern").agg(F.first("_mix_sources").alias("sources"), F.sum("_mix_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = sorted((Pattern(r["_mix_pattern"], tuple(dict.fromkeys(r["sources"] or [])), r["size"]) for r in found), key=lambda p: p.key)
-    sources = sorted({s for p in patterns for s in p.sources}, key=lambda s: (s is None, s or ""))
-    sizes = [sum(p.size for p in patterns if s in p.sources) for s in sources]
-    target = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], repeats)
-    taken = min_cost_flow(patterns, {s: round(t) for s, t in zip(sources, target, strict=True)}, repeats)
-    copies = {p.key: taken[p.key] // p.size if p.size else 0 for p in patterns}
-    cuts: dict[str, list[tuple[int, int, int]]] = {p.key: [] for p in patterns}
-    room = {p.key: taken[p.key] % p.size for p in patterns if p.size and taken[p.key] % p.size}
-    for level in range(repeats):
-        # What no further document fits goes on to one more copy of smaller ones, while that is allowed.
-        far = {k: r for k, r in room.items() if r > NEAR * taken[k] and copies[k] + level < repeats}
-        open_ = [(k, r, -1, TOP if level == 0 else r) for k, r in far.items()]
-        for _ in range(PASSES):
-            if not open_:
-                break
-            reached = _cuts(sized, open_)
-            for key, _, after, limit in open_:
-                cuts[key].append((after, reached[key][0], limit))
-                room[key] = reached[key][1]
-            open_ = [(key, room[key], reached[key][0], room[key]) for key, *_ in open_ if room[key] > NEAR * taken[key] and reached[key][0] < TOP]
-    rows = [(p.key, copies[p.key], cuts[p.key]) for p in patterns]
-    chosen = spark.createDataFrame(rows, "_mix_of string, _mix_copies int, _mix_cuts array<struct<after: bigint, upto: bigint, most: bigint>>")
-    totals = spark.createDataFrame(list(zip(sources, sizes, target, strict=True)), "source string, source_size bigint, target double")
-    return chosen, totals
-
-
-def _copies() -> Column:
+    """(pattern, copies, cuts, picks) and (source, source_size, target), from rows of pattern, sources, size and hash."""
+    patterns = sized.groupBy("_mix_pattern").agg(F.array_distinct(F.first("_mix_sources")).alias("sources"), F.sum("_mix_size").alias("size"))
+    patterns = materialize(patterns.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))), "patterns")
+    sources = materialize(_sources(patterns, weights, repeats), "targets")
+    whole = F.when(F.col("size") > 0, F.floor(F.call_function("try_divide", F.col("taken").cast("double"), F.col("size")))).otherwise(0).cast("long")
+    chosen = _flows(patterns, sources, repeats).select("_mix_pattern", "taken", whole.alias("copies"), (F.col("taken") - whole * F.col("size")).alias("left"))
+    chosen = materialize(chosen.select("*", F.array().cast("array<struct<after: bigint, upto: bigint, most: bigint>>").alias("cuts"), F.array().cast("array<bigint>").alias("picks")), "chosen")
+    far = F.col("left") > NEAR * F.col("taken")
+    for turn in range(CUTS):
+        state = chosen.where(far & (F.col("copies") < repeats)).select("_mix_pattern", "left", F.lit(-1).cast("long").alias("after") if turn == 0 else F.get("cuts", F.lit(turn - 1))["upto"].alias("after"), F.lit(TOP).alias("most") if turn == 0 else F.col("left").alias("most"))
+        state = materialize(state.where(F.col("after") < TOP), "rests")
+        reached = _cut(sized, state).withColumnRenamed("left", "now").join(state.select("_mix_pattern", "after", "most"), "_mix_pattern")
+        cut = F.struct("after", "upto", "most")
+        chosen = materialize(chosen.join(reached, "_mix_pattern", "left").select("_mix_pattern", "taken", "copies", F.coalesce("now", "left").alias("left"), F.when(F.col("now").isNotNull(), F.concat("cuts", F.array(cut))).otherwise(F.col("cuts")).alias("cuts"), "picks"), "chosen")
+    for _ in range(PICKS):
+        rows = sized.join(chosen.where(far), "_mix_pattern").where("_mix_size > 0").withColumn("n", _copies()).where(F.col("n") < repeats)
+        # Rows of equal hash go together, as one.
+        units = rows.groupBy("_mix_pattern", "_mix_h", "left").agg(F.sum("_mix_size").alias("size"), F.max("n").alias("n")).where("size <= left")
+        # One that fills half of the rest, a fresh one if possible; else the largest.
+        best = units.groupBy("_mix_pattern").agg(F.max(F.struct((2 * F.col("size") >= F.col("left")).alias("much"), F.when(2 * F.col("size") >= F.col("left"), -F.col("n")).alias("fresh"), "size", "_mix_h")).alias("best"))
+        joined = chosen.join(best, "_mix_pattern", "left")
+        chosen = materialize(joined.select("_mix_pattern", "taken", "copies", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), "cuts", F.when(F.col("best").isNotNull(), F.concat("picks", F.array("best._mix_h"))).otherwise(F.col("picks")).alias("picks")), "chosen")
+    return chosen.select(F.col("_mix_pattern").alias("_mix_of"), F.col("copies").alias("_mix_copies"), F.col("cuts").alias("_mix_cuts"), F.col("picks").alias("_mix_picks")), sources.select("source", "source_size", "target")
+
+
+def _copies(copies: str = "copies", cuts: str = "cuts", picks: str = "picks") -> Column:
     """Copies of a row that is joined to its pattern's cuts."""
     h, size = F.col("_mix_h"), F.col("_mix_size")
-    chosen = F.size(F.filter("_mix_cuts", lambda c: (h > c["after"]) & (h <= c["upto"]) & (size <= c["most"])))
-    return F.coalesce(F.col("_mix_copies") + F.greatest(chosen, F.lit(0)), F.lit(0))
+    of_cuts = F.size(F.filter(cuts, lambda c: (h > c["after"]) & (h <= c["upto"]) & (size <= c["most"])))
+    more = F.greatest(of_cuts, F.lit(0)) + F.greatest(F.size(F.filter(picks, lambda p: p == h)), F.lit(0))
+    return F.when(size > 0, F.coalesce(F.col(copies) + more, F.lit(0))).otherwise(F.coalesce(copies, F.lit(0)))
+
+
+_CHOSEN = ("_mix_copies", "_mix_cuts", "_mix_picks")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, sources: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -199,8 +225,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3,
     sources = F.array(source_col) if sources is None else sources
     sized = materialize(docs.select(F.col(id_col).alias("_mix_id"), sources.alias("_mix_sources"), *_keyed(docs, sources, id_col, text_col, seed)), "sizes")
     copies, totals = plan(sized, weights, repeats)
-    rows = sized.join(F.broadcast(copies), sized["_mix_pattern"] == copies["_mix_of"], "left")
-    n = _copies()
+    rows = sized.join(copies, sized["_mix_pattern"] == copies["_mix_of"], "left")
+    n = _copies(*_CHOSEN)
     out = rows.select(F.col("_mix_id").alias(id_col), F.col("_mix_sources").alias("sources"), F.col("_mix_size").alias("size"), n.alias("copies"), (n * F.col("_mix_size")).alias("taken"))
     return out, totals
 
@@ -211,5 +237,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repea
     keys = _keyed(docs, sources, id_col, text_col, seed)
     sized = materialize(docs.select(sources.alias("_mix_sources"), *keys), "sizes")
     copies, _ = plan(sized, weights, repeats)
-    rows = docs.select("*", *keys).join(F.broadcast(copies.withColumnRenamed("_mix_of", "_mix_pattern")), "_mix_pattern")
-    return rows.where(_copies() > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), _copies()))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Columns get plain names for the join, whatever they are called.
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *keys)
+    rows = plain.join(copies, plain["_mix_pattern"] == copies["_mix_of"]).withColumn("_n", _copies(*_CHOSEN))
+    return rows.where("_n > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_doc.*")

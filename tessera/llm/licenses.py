@@ -3,35 +3,39 @@
 1. Every text becomes words (digits, letters and characters beyond ASCII,
    A-Z in lower case). Document frequencies of the license vocabulary over all
    documents give each word's IDF.
-2. A file with an anchor word looks up, for each template all of whose key words
-   it holds, the ``RARE`` words of highest IDF that both have, in the template's
-   postings. Postings of one template that agree on the relative position support
-   one placement. So no template's words crowd out those of another.
-3. A placement counts if the template's key phrase stands where it has to.
-   Its score is the share of the template's IDF, over the words looked up,
-   that is found in place.
+2. Each template (a paragraph of a license) has up to ``RARE`` words of highest
+   IDF. A file that holds all words of a template's key phrase looks up those of
+   them that it has in the template's postings. Postings that agree on the
+   relative position support one placement. Every template is looked up for
+   itself, so no template's words crowd out those of another.
+3. A placement counts if the template's key phrase stands where it has to. Its
+   score is the share found in place of the IDF of the template's rare words,
+   whether the file has them or not. Equal scores all count.
 
 Base phrases are counted at all places and always give their label. Null
-counts as empty: no words and no labels. Every row has its own result, also
-with repeated or null ids. Further columns are ignored.
+counts as empty: no words and no labels. Texts are scanned whole, whatever
+their length. Words of equal IDF are ranked by code point. Every row has its
+own result, also with repeated or null ids. An empty table gives no rows.
+Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: Words that a file looks up at most for each template; every occurrence of them is used.
-RARE = 12
+#: Rare words of each template; every occurrence of them in a file is used.
+RARE = 16
 LEAST_SCORE = 0.6
 
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Sentences of well-known licenses, as label, words, and the key phrase that has to be there.
+# Paragraphs and notices of well-known licenses, as label, words, and the key phrase that has to be there.
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted"),
@@ -46,16 +50,34 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "modify merge publish distribute sublicense"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license", "governing permissions and limitations under the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl was not distributed"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "permission notice appear in all copies"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify publish use compile"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "alter it and redistribute it freely"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
 )
-#: Words one of which stands in every base phrase and every key phrase's template.
-ANCHORS = ("license", "licensed", "permission", "redistribution", "unencumbered")
 
 _VOCABULARY = sorted({w for _, words, _ in TEMPLATES for w in words.split()})
 
 
 def words(text: Column) -> Column:
-    """The words of a text. Lower case beyond A-Z changes no word border and no license word."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
+    """The words of a text, A-Z in lower case."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
 
 
 def _array(values: list[str]) -> Column:
@@ -89,29 +111,33 @@ def _postings(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "word string, template int, label string, place int, key_at int, key array<string>"))
 
 
-def _held(spark) -> DataFrame:
-    """(template, key, vocabulary) of every template; the vocabulary says how often each word occurs."""
-    rows = [(t, key.split(), sorted(Counter(text.split()).items())) for t, (_, text, key) in enumerate(TEMPLATES)]
-    return F.broadcast(spark.createDataFrame(rows, "template int, key array<string>, vocabulary array<struct<word: string, n: int>>"))
+def _looked_up(spark, frequency: DataFrame, total: int) -> DataFrame:
+    """(template, key, asked, rare) of every template: its words of highest IDF as (idf, word), and the IDF of all their places."""
+    places = spark.createDataFrame([(t, key.split(), w, n) for t, (_, text, key) in enumerate(TEMPLATES) for w, n in sorted(Counter(text.split()).items())], "template int, key array<string>, word string, n int")
+    idf = F.log1p(F.lit(float(total)) / F.coalesce("df", F.lit(1)))
+    ranked = places.join(frequency, "word", "left").groupBy("template", "key").agg(F.sort_array(F.collect_list(F.struct((-idf).alias("low"), "word", "n"))).alias("words"))
+    rare = F.transform(F.slice("words", 1, RARE), lambda w: F.struct((-w["low"]).alias("idf"), w["word"].alias("word"), w["n"].alias("n")))
+    asked = F.aggregate("rare", F.lit(0.0), lambda s, r: s + r["idf"] * r["n"])
+    return F.broadcast(ranked.select("template", "key", rare.alias("rare")).select("template", "key", "rare", asked.alias("asked")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, base (places), labels (of the method), placements (label, at, score) and score."""
     spark = docs.sparkSession
     split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    has_anchor = F.arrays_overlap("words", _array(list(ANCHORS)))
-    split = split.select("id", F.size("words").cast("long").alias("n_words"), F.array_intersect(_array(_VOCABULARY), "words").alias("known"), F.when(has_anchor, F.col("words")).alias("words"))
+    split = split.select("id", F.size("words").cast("long").alias("n_words"), F.array_intersect(_array(_VOCABULARY), "words").alias("known"), "words")
+    # Only files with all words of some base or key phrase can have a place of one.
+    phrases = F.array(*(_array(sorted(set(p.split()))) for p in sorted({p for p, _ in BASE} | {key for _, _, key in TEMPLATES})))
+    possible = F.exists(phrases, lambda p: F.forall(p, lambda w: F.array_contains("known", w)))
+    split = split.select("id", "n_words", "known", F.when(possible, F.col("words")).alias("words"))
     read = materialize(split.withColumn("row", F.monotonically_increasing_id()), "words")
     frequency = read.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     total = read.count()
-    idf = F.broadcast(frequency.select("word", F.log1p(F.lit(float(total)) / F.col("df")).alias("idf")))  # a row for each word of the vocabulary
     files = read.where(F.col("words").isNotNull())
     # A placement needs its key phrase, so a template lacking one of the key's words can't have any.
-    held = files.select("row", "known").join(_held(spark), F.size(F.array_except("key", "known")) == 0)
-    shared = held.select("row", "template", F.explode(F.filter("vocabulary", lambda v: F.array_contains("known", v["word"]))).alias("v")).select("row", "template", "v.word", "v.n")
-    ranked = shared.join(idf, "word").groupBy("row", "template").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word", "n")), False), 1, RARE).alias("rare"))
-    asked = F.aggregate("rare", F.lit(0.0), lambda s, r: s + r["idf"] * r["n"])
-    lookups = materialize(ranked.select("row", "template", asked.alias("asked"), F.explode("rare").alias("r")).select("row", "template", "asked", "r.word", "r.idf"), "lookups")
+    held = files.select("row", "known").join(_looked_up(spark, frequency, total), F.size(F.array_except("key", "known")) == 0)
+    lookups = held.select("row", "template", "asked", F.explode(F.filter("rare", lambda r: F.array_contains("known", r["word"]))).alias("r"))
+    lookups = materialize(lookups.select("row", "template", "asked", "r.word", "r.idf"), "lookups")
     # Occurrences of the words looked up, with all postings of the templates that ask for them.
     wanted = lookups.groupBy("row").agg(F.collect_set("word").alias("wanted"))
     places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda o: F.array_contains("wanted", o["word"]))

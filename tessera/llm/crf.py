@@ -7,12 +7,13 @@ weighted by length, is the document's score: it falls fast with the share of
 bad lines. A power fitted on the training documents puts the border between
 good and bad at ``BORDER``.
 
-The model is fitted to the lines of at most ``SAMPLE`` labelled documents,
-which take their document's label; the same ones in every run. Labels, ids and
+The model is fitted to the lines of at most ``SAMPLE`` labelled documents, and
+at most ``LINES`` lines, which take their document's label; the same ones in
+every run. Labels, ids and
 other columns never enter a score. Scoring needs one pass and no shuffle.
 
-An empty or null text counts as one empty line. Texts are scored whole. Without any
-labelled document every score is 0.5. Every row has its own result, also with
+An empty or null text counts as one empty line. Texts are scored whole, whatever
+their length. Without any labelled document every score is 0.5. Scores may tie. Every row has its own result, also with
 repeated or null ids. Further columns are ignored.
 """
 
@@ -23,13 +24,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import ALL_BYTES, DIGIT, LINE, LOWER, UPPER, WORD, Chunk, chunks, class_of, pieces
+from .textops import ALL_BYTES, DIGIT, LINE, LOWER, UPPER, WORD, Chunk, chunks, class_of, map_batches, pieces
 
-#: Labelled documents that the model is fitted to.
-SAMPLE = 3000
+#: Labelled documents that the model is fitted to, and lines of all of them and of one, at most.
+SAMPLE, LINES, LONGEST = 3000, 200_000, 10_000
 STEPS = 150
 RATE = 0.1
 PENALTY = 1e-3
@@ -204,7 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model of at most ``SAMPLE`` of the rows of ``labels`` (id, label 0 or 1) by a hash of their ids."""
     chosen = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("_label")).where(F.col("_of").isNotNull() & F.col("_label").isin(0, 1))
     chosen = chosen.groupBy("_of").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_of"), "_of").limit(SAMPLE)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("_text", "_label")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_of")).groupBy("_of", "_label").agg(F.min("_text").alias("_text"))
+    n_lines = F.coalesce(F.regexp_count("_text", F.lit("\n")), F.lit(0)) + 1
+    # At most SAMPLE rows of id and number, so one task may add them up.
+    upto = F.sum("_lines").over(Window.orderBy(F.xxhash64("_of"), "_of"))
+    few = texts.select("_of", n_lines.alias("_lines")).where(F.col("_lines") <= LONGEST).withColumn("_upto", upto).where(F.col("_upto") <= LINES).select("_of")
+    rows = texts.join(F.broadcast(few), "_of").select("_text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 order = np.searchsorted(found.doc, np.arange(len(c.offsets)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.first, c.last - c.first), pa.array([found.features[a:b].astype(np.float32).tobytes() for a, b in zip(order[:-1], order[1:], strict=True)], pa.binary()), pa.array([found.size[a:b].astype(np.float64).tobytes() for a, b in zip(order[:-1], order[1:], strict=True)], pa.binary())], ["label", "features", "sizes"])
 
-    table = rows.mapInArrow(run, "label int, features binary, sizes binary").toArrow()
+    table = map_batches(rows, run, "label int, features binary, sizes binary").toArrow()
     parts = sorted(zip(table["label"].to_pylist(), table["features"].to_pylist(), table["sizes"].to_pylist(), strict=True))
     x = [np.frombuffer(f, np.float32).reshape(-1, N_FEATURES) for _, f, _ in parts]
     doc = np.repeat(np.arange(len(x)), [len(f) for f in x])
@@ -233,7 +239,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 found = lines(c)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), pa.array(model.scores(found))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double")
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:

@@ -6,7 +6,8 @@ the grid cells (of side eps) of their leading principal coordinates, cut into
 blocks of the sorted sequence, and only blocks whose bounding boxes come
 within eps meet. Two blocks that meet are joined recursively: halves whose
 boxes are further apart are skipped, small intervals are compared by their
-cosines in double precision.
+cosines in double precision. Nothing is left out, so where vectors of a label
+fill their space evenly and hardly a block is distant, all its blocks meet.
 
 Equal vectors of one label are joined as one, with their number. A block pair
 returns link counts and a spanning forest of its links, so a group of copies
@@ -14,7 +15,9 @@ or near copies never comes out as all its pairs.
 
 Null vectors or labels, zero vectors and vectors with null or non-finite
 components link with nothing. Vectors of different lengths don't link. A
-repeated id keeps one row per row. Further columns are ignored.
+repeated id keeps one row per row. Equal cosines are no ties to break: all
+pairs at or above the border link. An empty table gives no rows. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,56 +26,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize
+from .textops import map_batches
 
 #: Leading principal coordinates that order vectors and bound blocks.
 AXES = 6
-BLOCK = 1024
+#: Bytes, in double precision, of a block of the sorted sequence (``LEAF`` vectors at least). Blocks that meet travel whole, so larger ones travel less often.
+BLOCK_BYTES = 4 << 20
 LEAF = 128
 
 
-def _units(raw: bytes, n: int) -> np.ndarray:
-    """Rows of unit length, in double precision, of packed vectors."""
-    x = np.frombuffer(raw, np.float64).reshape(n, -1)
+def _number(vectors: DataFrame, vector_col: str) -> type:
+    """The type in which vectors are kept: that of the column, so that nothing is lost."""
+    return np.float32 if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else np.float64
+
+
+def _units(raw: list[bytes], number: type) -> np.ndarray:
+    """Rows of unit length, in double precision, of packed vectors of one length."""
+    x = np.frombuffer(b"".join(raw), number).astype(np.float64).reshape(len(raw), -1)
+    # First by the largest component, so that no square overflows or vanishes.
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cut(raw: bytes, n: int) -> list[bytes]:
+    """``raw`` in ``n`` equal parts."""
+    size = len(raw) // n
+    return [raw[k * size : (k + 1) * size] for k in range(n)]
+
+
+def _by_length(column: pa.Array, number: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of the packed vectors of each length."""
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, _units(column.take(pa.array(at)).to_pylist(), number)
+
+
 def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, raw) of every row; raw is null for vectors that can't link."""
-    kind = vectors.schema[label_col].dataType.simpleString()
+    kind, number = vectors.schema[label_col].dataType.simpleString(), _number(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for x, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                v = np.array([np.nan if y is None else y for y in x], np.float64) if x is not None and label is not None else None
-                good = v is not None and len(v) and np.isfinite(v).all() and np.any(v)
-                packed.append((v + 0.0).tobytes() if good else None)  # + 0.0: negative zeros are zeros
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["id", "label", "raw"])
+            column = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(number) + number(0)  # negative zeros become zeros
+            ends = np.cumsum(lengths)
+            count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[ends], prepend=0)  # noqa: B023, E731
+            good = (count(np.isfinite(values)) == lengths) & (count(values != 0) > 0) & batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], ends]).astype(np.int32) * np.dtype(number).itemsize
+            raw = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pc.if_else(pa.array(good), raw, pa.scalar(None, pa.binary()))], ["id", "label", "raw"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), vector_col, label_col).mapInArrow(run, f"id bigint, label {kind}, raw binary")
+    return map_batches(vectors.select(F.col(id_col).cast("long").alias("id"), vector_col, label_col), run, f"id bigint, label {kind}, raw binary")
 
 
-def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
+def _axes(classes: DataFrame, number: type) -> dict[int, np.ndarray]:
     """By vector length: leading principal axes, from sums of products over all unit vectors (length squared rows at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                x = np.append(_units(raw, 1)[0], 1.0)
-                sums.setdefault(len(x), np.zeros((len(x), len(x))))
-                sums[len(x)] += np.outer(x, x)
+            for _, x in _by_length(batch.column(0), number):
+                x = np.column_stack([x, np.ones(len(x))])
+                sums[x.shape[1]] = sums.get(x.shape[1], 0) + x.T @ x
         for n, s in sums.items():
             i, j = np.triu_indices(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n - 1, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(s[i, j])], ["n", "i", "j", "s"])
 
-    rows = classes.select("raw").mapInArrow(run, "n int, i int, j int, s double").groupBy("n", "i", "j").agg(F.sum("s").alias("s")).toArrow().to_pandas()
+    rows = map_batches(classes.select("raw"), run, "n int, i int, j int, s double").groupBy("n", "i", "j").agg(F.sum("s").alias("s")).toArrow().to_pandas()
     axes = {}
     for n, part in rows.groupby("n"):
         s = np.zeros((n + 1, n + 1))
@@ -83,48 +112,45 @@ def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
-    """Blocks of the sorted sequence: (block, label, dim, low, high, ids, sizes, raw)."""
+def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, number: type) -> DataFrame:
+    """Blocks of the sorted sequence: (block, label, dim, low, high, reps, sizes, places, raw)."""
     kind = classes.schema["label"].dataType.simpleString()
     sent = classes.sparkSession.sparkContext.broadcast(axes)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, places = [], []
-            for raw in batch.column(3).to_pylist():
-                u = _units(raw, 1)[0]
-                p = u @ sent.value[len(u)]
-                dims.append(len(u))
-                places.append(np.pad(p, (0, AXES - len(p))))
-            p = np.array(places).reshape(-1, AXES)
+            p, dims = np.zeros((len(batch), AXES)), np.zeros(len(batch), np.int32)
+            for at, x in _by_length(batch.column(3), number):
+                found = x @ sent.value[x.shape[1]]
+                p[at, : found.shape[1]], dims[at] = found, x.shape[1]
             cells = np.floor(p / eps).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))], ["label", "rep", "size", "raw", "dim", "place", "cells"])
+            places = pa.Array.from_buffers(pa.binary(AXES * 8), len(batch), [None, pa.py_buffer(p)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), places, pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), AXES).cast(pa.list_(pa.int32()))], ["label", "rep", "size", "raw", "dim", "place", "cells"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = TaskContext.get().partitionId() << 32, []
+        block = TaskContext.get().partitionId() << 32
+        held, label_type = [], None
 
-        def block(rows):
-            nonlocal number
-            p = np.array([r["place"] for r in rows])
-            number += 1
-            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([rows[0]["label"]], label_type), pa.array([rows[0]["dim"]], pa.int32()), pa.array([p.min(0)], pa.list_(pa.float64())), pa.array([p.max(0)], pa.list_(pa.float64())), pa.array([[r["rep"] for r in rows]], pa.list_(pa.int64())), pa.array([[r["size"] for r in rows]], pa.list_(pa.int64())), pa.array([p.tobytes()], pa.binary()), pa.array([b"".join(r["raw"] for r in rows)], pa.binary())], names)
+        def packed() -> pa.RecordBatch:
+            labels, reps, sizes, raw, dims, places = zip(*held, strict=True)
+            p = np.frombuffer(b"".join(places), np.float64).reshape(-1, AXES)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([labels[0]], label_type), pa.array([dims[0]], pa.int32()), pa.array([p.min(0)], pa.list_(pa.float64())), pa.array([p.max(0)], pa.list_(pa.float64())), pa.array([reps], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([p.tobytes()], pa.binary()), pa.array([b"".join(raw)], pa.binary())], names)
 
-        label_type = None
         for batch in batches:
             label_type = batch.schema.field("label").type
-            for row in batch.to_pylist():
-                if held and (len(held) == BLOCK or (row["label"], row["dim"]) != (held[0]["label"], held[0]["dim"])):
-                    yield block(held)
-                    held = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
+                if held and ((row[0], row[4]) != (held[0][0], held[0][4]) or len(held) >= max(LEAF, BLOCK_BYTES // (8 * row[4]))):
+                    yield packed()
+                    block, held = block + 1, []
                 held.append(row)
         if held:
-            yield block(held)
+            yield packed()
 
     names = ["block", "label", "dim", "low", "high", "reps", "sizes", "places", "raw"]
-    placed = classes.select("label", "rep", "size", "raw").mapInArrow(project, f"label {kind}, rep bigint, size bigint, raw binary, dim int, place array<double>, cells array<int>")
+    placed = map_batches(classes.select("label", "rep", "size", "raw"), project, f"label {kind}, rep bigint, size bigint, raw binary, dim int, place binary, cells array<int>")
     # The grid order; ids break ties, so copies of a cell can be dealt to several tasks.
     order = ["label", "dim", "cells", "rep"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, f"block bigint, label {kind}, dim int, low array<double>, high array<double>, reps array<bigint>, sizes array<bigint>, places binary, raw binary")
+    return map_batches(placed.repartitionByRange(*order).sortWithinPartitions(*order), pack, f"block bigint, label {kind}, dim int, low array<double>, high array<double>, reps array<bigint>, sizes array<bigint>, places binary, raw binary")
 
 
 def _intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, cosine: float, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,11 +197,11 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id (smallest id reachable) and kept (id is component_id)."""
-    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9)
+    eps, number = float(np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9), _number(vectors, vector_col)
     rows = materialize(_prepared(vectors, id_col, vector_col, label_col), "vectors")
     classes = rows.where(F.col("raw").isNotNull()).groupBy("label", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     classes = materialize(classes.where("rep is not null"), "classes")
-    blocks = materialize(_blocks(classes, _axes(classes), eps), "blocks")
+    blocks = materialize(_blocks(classes, _axes(classes, number), eps, number), "blocks")
     # Blocks meet by the first cell that both span, and only if their boxes come within eps in all leading axes.
     box = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "label", "dim", "low", "high")))
     cell = lambda c, at: F.floor(F.col(c)[0] / eps).cast("int") + at
@@ -190,7 +216,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
         for batch in batches:
             for r in batch.to_pylist():
                 (na, nb), same = (len(r["reps_a"]), len(r["reps_b"])), r["block_a"] == r["block_b"]
-                x, y = _units(r["raw_a"], na), _units(r["raw_b"], nb)
+                x, y = (_units(_cut(r[c], n), number) for c, n in (("raw_a", na), ("raw_b", nb)))
                 px, py = (np.frombuffer(r[c], np.float64).reshape(-1, AXES) for c in ("places_a", "places_b"))
                 shift = 0 if same else na
                 ids = np.array(r["reps_a"] + ([] if same else r["reps_b"]), np.int64)
@@ -208,7 +234,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[tree_i]])), pa.concat_arrays([none, pa.array(ids[tree_j])]), pa.array(np.concatenate([links[some], np.zeros(len(tree_i), np.int64)]))], ["a", "b", "links"])
 
     pairs = meet.join(full("a"), "block_a").join(full("b"), "block_b")
-    found = materialize(pairs.mapInArrow(run, "a bigint, b bigint, links bigint"), "links")
+    found = materialize(map_batches(pairs, run, "a bigint, b bigint, links bigint"), "links")
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("id", "rep")
     known = classes.join(links, "rep", "left").join(components, "rep", "left").select("label", "raw", (F.coalesce("links", F.lit(0).cast("long")) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

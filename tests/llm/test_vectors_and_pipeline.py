@@ -37,11 +37,15 @@ def brute(rows, cosine):
     return sorted((rows[k][0], links[k], rows[root(k)][0]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("block,leaf", [(1024, 128), (7, 3)])
-def test_vectors(spark, monkeypatch, block, leaf):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
+@pytest.mark.parametrize("kind", ["double", "float"])
+@pytest.mark.parametrize("block,leaf", [(4 << 20, 128), (7 * 64, 3)])
+def test_vectors(spark, monkeypatch, block, leaf, kind):
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", block)
     monkeypatch.setattr(embeddings, "LEAF", leaf)
     df, rows = vectors(spark)
+    if kind == "float":
+        df = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+        rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], y) for i, v, y in rows]
     got = embeddings.near_duplicate_vectors(df).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows, 0.93)
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import CODE_POINT, LINE, LOWER, UPPER, WORD, Chunk, chunks, class_of, map_rows, mix, per_doc, pieces, windows
+from .textops import CODE_POINT, LINE, LOWER, UPPER, WORD, Chunk, chunks, class_of, map_batches, map_rows, mix, per_doc, pieces, windows
 
 SYMBOLS = class_of("#*$%&|<>")
 EXCLAMATION = class_of("!")
@@ -103,7 +103,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate([p[m] for p in parts]), pa.int64()) for m in MEASURES)], [id_col, *MEASURES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{m} bigint" for m in MEASURES)]))
+    return map_batches(docs.select(id_col, text_col), run, ", ".join([f"`{id_col}` {kind}", *(f"{m} bigint" for m in MEASURES)]))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset: one beside the tables of the warehouse, or a temporary one if Spark runs in a single process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
+        single = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+        folder = tempfile.mkdtemp(prefix="tessera-") if single else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,7 +47,9 @@ def _power(base: int, n: int) -> np.ndarray:
     if len(have) < n:
         grown = np.full(max(n, CHUNK_BYTES + 1), np.uint64(base))
         grown[0] = 1
-        have = _powers[base] = np.multiply.accumulate(grown)
+        have = np.multiply.accumulate(grown)
+        if n <= CHUNK_BYTES + 1:  # those of longer pieces aren't kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -142,7 +146,16 @@ def windows(words: Pieces, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + np.uint64(size)), first
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES`` bytes (or what the session asks for, if that is less), so long texts don't pile up in a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = int(conf.get(name).rstrip("b"))
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` over whole rows whatever their columns are called; ``run`` finds them by position."""
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return map_batches(plain, run, plain.schema).toDF(*df.columns)

@@ -408,6 +408,17 @@ def test_line_labels_on_held_out_documents(spark):
     assert all(abs(r["score"] - 0.5) < 1e-9 for r in crf.score(unique_documents(spark), none).collect()) and crf.score(empty(spark), none).count() == 0
 
 
+def test_classifier_query_holds_out_a_fifth(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = queries.op10_crf(spark, sf_dir).toPandas()
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert sorted(rows["doc_id"]) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    assert rows["held_out"].tolist() == [zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["doc_id"]]
+    assert rows["score"].between(0, 1).all() and rows["predicted"].tolist() == (rows["score"] >= 0.3).astype(int).tolist()
+    held = rows[rows["held_out"] & rows["doc_id"].isin(quality)]
+    assert (held["predicted"] == held["doc_id"].map(quality)).mean() >= 0.93
+
+
 def test_messages_are_marginals():
     rng = np.random.default_rng(3)
     score, moves, doc = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([0, 0, 0, 0, 1, 2, 2, 2, 2])

@@ -1,12 +1,16 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, embeddings, oracle, queries
+from tessera.llm import components, credentials, embeddings, oracle, queries
 
 from ..compare import same, tables
-from .fixtures import documents
+from .fixtures import documents, empty
+from .test_text_operators import BLANK, check_mix, filled, shingles
+from .test_text_operators import components as components_of
 
 
 def vectors(spark):
@@ -78,6 +82,64 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir):
     assert docs.count() > 0
 
 
+def test_stages_take_an_empty_table(spark, sf_dir):
+    docs = empty(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == empty(spark).columns
+
+
+def test_stages_beside_brute_force(spark, sf_dir, tmp_path):
+    """Each stage on what the one before it kept."""
+    from tokenizers import Tokenizer
+
+    docs, stages = spark.read.parquet(f"{sf_dir}/documents.parquet"), dict(corpus_pipeline.STAGES)
+
+    def run(name, docs):
+        stages[name](spark, docs, sf_dir).write.parquet(str(tmp_path / name.split()[0]))
+        return spark.read.parquet(str(tmp_path / name.split()[0]))
+
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+    good = run("quality rules", docs)
+    want = {r[0] for r in tables(sf_dir).sql(f"select doc_id from ({oracle.OP9}) where kept").fetchall()}
+    assert set(texts(good)) == want and good.count() == len(want) < docs.count()
+    unique = run("MinHash near-dedup", good)
+    found = components_of({i: shingles(t, 5) for i, t in texts(good).items()})
+    assert set(texts(unique)) == {i for i, c in found.items() if i == c} and unique.count() < good.count()
+    masked = run("secret scans", unique)
+    before, after = texts(unique), texts(masked)
+    assert set(before) == set(after)
+    spans = {r["doc_id"]: r["spans"] for r in credentials.find_secrets(unique).collect()}
+    changed = 0
+    for i, t in before.items():
+        out, end = "", 0
+        for x in spans[i]:
+            if x["start"] >= end:
+                out += t[end : x["start"]] + credentials.MASK
+            end = max(end, x["end"])
+        assert after[i] == out + t[end:]
+        changed += after[i] != t
+        assert not any(len(m.group(group)) >= least for pattern, group, least in credentials.BASE.values() for m in pattern.finditer(after[i]))
+    assert changed and all(r["n_chars"] == len(r["text"]) for r in masked.select("n_chars", "text").collect())
+    taken = run("mixing sources to target weights", masked)
+    times = {r["doc_id"]: r["count"] for r in taken.groupBy("doc_id").count().collect()}
+    rows, size = [], {r["doc_id"]: (r["source"], len(BLANK.findall(r["text"].encode()))) for r in masked.collect()}
+    total = {}
+    for source, n in size.values():
+        total[source] = total.get(source, 0) + n
+    order = sorted(total)
+    target = filled(total, {x: corpus_pipeline.WEIGHTS[i % 3] for i, x in enumerate(order)}, corpus_pipeline.REPEATS)
+    rows = [(i, source, n, total[source], target[source], n * times.get(i, 0)) for i, (source, n) in size.items()]
+    check_mix(rows, 0.1)
+    tokens = run("BPE encoding and decoding", taken)
+    library = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts(taken).items()}
+    want = sorted((r["doc_id"], len(v := ids[r["doc_id"]]), digest(",".join(map(str, v))), digest(library.decode(v, skip_special_tokens=False))) for r in taken.select("doc_id").collect())
+    assert sorted(map(tuple, tokens.collect())) == want
+
+
 def test_pipeline_keeps_what_each_stage_keeps(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert out["n_tokens"].min() > 0

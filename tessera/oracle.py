@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
     "h2c_stamps": _with(PX, IMG, PR, then="select collage_id, image_a, image_b, cast(i - 1 as bigint) as k, 8.0::double * i + 8 as xa, round_even(40 + 8 * i / 6.0::double, 0) + 8 as ya, 8.0::double * i + 8 as xb, round_even(40 + 8 * i / 6.0::double, 0) - 32 as yb from (select *, unnest(range(1, 6)) as i from pr where image_b = image_a + 1)"),
     "c4_stamps": _with(*MATCH[:7], then="""select collage_id, image_a, image_b, k - 1 as k, cast(round_even(l + (w0 - w) * k / 6.0, 0) as bigint) as x, cast(round_even(t + (h0 - h) * k / 6.0, 0) as bigint) as y, w, h from (
       select *, least(16, w0) as w, least(16, h0) as h, unnest(range(1, 6)) as k from (select *, greatest(0, 4 * dx) as l, greatest(0, 4 * dy) as t, least(64, 64 + 4 * dx) - greatest(0, 4 * dx) as w0, least(64, 64 + 4 * dy) - greatest(0, 4 * dy) as h0 from be))"""),
-    "m3_angles": _with(PARTS, then=f"select image_id, k, {_R('k * 0.25::double - 1', 'angle')}, {_R('cos(radians(k * 0.25 - 1))', 'c')}, {_R('sin(radians(k * 0.25 - 1))', 's')} from parts, (select unnest(range(9)) as k)"),
+    "m3_angles": _with(PARTS, then=f"select image_id, k, {_R('k * 0.05::double - 1', 'angle')}, {_R('cos(radians(k * 0.05::double - 1))', 'c')}, {_R('sin(radians(k * 0.05::double - 1))', 's')} from parts, (select unnest(range(41)) as k)"),
     "a1_profile": _with(PX, PROFILE, then=f"select collage_id, image_id, y, {_R('s', 's')} from pf"),
     "w1_diff": _with(PX, PROFILE, then=f"select collage_id, image_id, y, {_R('d', 'd')} from (select *, lead(s) over (partition by collage_id, image_id order by y) - s as d from pf) where d is not null"),
     "a2_sharpness": _with(PX, PROFILE, then=f"select collage_id, image_id, {_R('sum(d * d)', 'score')} from (select *, lead(s) over (partition by collage_id, image_id order by y) - s as d from pf) group by all"),

@@ -156,7 +156,7 @@ def c4_stamps(spark, sf_dir):
 
 @query
 def m3_angles(spark, sf_dir):
-    angles = tables.parts(spark, sf_dir).select("image_id", F.posexplode(G.test_angles(1.0, 8)).alias("k", "angle"))
+    angles = tables.parts(spark, sf_dir).select("image_id", F.posexplode(G.test_angles(1.0, 40)).alias("k", "angle"))
     c, s = G.unit(F.col("angle"))
     return angles.select("image_id", "k", "angle", c.alias("c"), s.alias("s"))
 

@@ -9,13 +9,17 @@ rank. Sorted pre-tokens visit the trie depth first, and what they share with
 the one before is not computed again.
 
 Rows stand alone, so there is no shuffle. Null counts as empty, with no
-tokens. A text of any length is encoded whole. Further columns are ignored.
+tokens. A text of any length is encoded whole. Pre-tokens count as equal if
+their 64-bit hashes are. Special tokens of the file are found before anything
+else, the longest one first. Every row has its own result, also with repeated
+or null ids. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import distinct, spans
-from .textops import chunks
+from .textops import chunks, map_batches
 
-CHUNK_BYTES = 4 << 20
-#: Encoded pre-tokens and compared pairs that a task remembers.
+#: Bytes of texts whose distinct pre-tokens make one trie, and of those that are cut into pre-tokens at once.
+GROUP_BYTES, CHUNK_BYTES = 8 << 20, 1 << 19
+#: Compared pairs of tokens that a worker remembers.
 REMEMBERED = 1 << 18
 NEVER = 1 << 40
 
@@ -48,8 +53,10 @@ class Vocabulary:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.id_of = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
         self.bytes_of = {i: b for b, i in self.id_of.items()}
-        special = [(t["content"].encode(), t["id"]) for t in file["added_tokens"]]
-        self.special, self.special_id = special[0] if special else (b"", -1)
+        if any(t.get(k) for t in file["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("special tokens that depend on what stands beside them aren't supported")
+        self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
+        self.find_special = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         to_bytes = lambda t: bytes(alphabet[c] for c in t)
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -69,6 +76,8 @@ class Vocabulary:
             if len(b) > 2:
                 lengths.setdefault(b[-3:], set()).add(len(b))
         self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
+        self.bytes_of |= {i: b for b, i in self.special.items()}
+        self.width = {i: len(b) for i, b in self.bytes_of.items()}
 
     def _spine(self, t: int, right: bool, until: int) -> Iterator[tuple[int, int]]:
         """The tokens that stood at one end of ``t`` while it was merged, and the rank at which each ended."""
@@ -87,42 +96,45 @@ class Vocabulary:
                     return False
         return True
 
-    def apart(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        found = self._apart.get(key)
-        if found is None:
-            if len(self._apart) >= REMEMBERED:
-                self._apart.clear()
-            found = self._apart[key] = self._stay_apart(a, b)
+    def _compare(self, a: int, b: int) -> bool:
+        if len(self._apart) >= REMEMBERED:
+            self._apart.clear()
+        found = self._apart[a << 20 | b] = self._stay_apart(a, b)
         return found
 
     def encode_sorted(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Encodings of byte strings in ascending order, by a depth-first walk over their trie."""
         before, last, short = b"", [-1], (2, 1)
-        tokens, lengths, apart = self.tokens, self.lengths, self.apart
+        tokens, lengths, known, compare, width = self.tokens.get, self.lengths.get, self._apart.get, self._compare, self.width
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                for size in lengths.get(word[depth - 3 : depth], short) if depth > 2 else short:
+                for size in lengths(word[depth - 3 : depth], short) if depth > 2 else short:
                     if size <= depth:
-                        token = tokens.get(word[depth - size : depth])
-                        if token is not None and (size == depth or apart(last[depth - size], token)):
-                            last.append(token)
-                            break
+                        token = tokens(word[depth - size : depth])
+                        if token is None:
+                            continue
+                        if size < depth:
+                            earlier = last[depth - size]
+                            apart = known(earlier << 20 | token)
+                            if apart is False or (apart is None and not compare(earlier, token)):
+                                continue
+                        last.append(token)
+                        break
                 else:
                     raise ValueError(f"no encoding for {word!r}")
             before = word
             ids, depth = [], len(word)
             while depth:
                 ids.append(last[depth])
-                depth -= len(self.bytes_of[last[depth]])
+                depth -= width[last[depth]]
             yield ids[::-1]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(self.special if i == self.special_id else self.bytes_of[i] for i in ids)
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 @lru_cache(maxsize=1)
@@ -130,40 +142,51 @@ def _vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
-class Encoder:
-    """Encodes chunks of texts and remembers a bounded number of pre-tokens."""
+def _groups(batches: Iterable[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``budget`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= budget:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.known: dict[int, tuple[str, int, bytes]] = {}
 
-    def _learn(self, new: dict[bytes, int]) -> dict[int, tuple[str, int, bytes]]:
-        v, found = self.vocabulary, {}
-        if v.special in new:
-            found[new.pop(v.special)] = (str(v.special_id), 1, v.special)
-        words = sorted(new)
-        for word, ids in zip(words, v.encode_sorted(words), strict=True):
-            found[new[word]] = (",".join(map(str, ids)), len(ids), v.decode(ids))
-        return found
+def encode_texts(vocabulary: Vocabulary, column: pa.Array) -> Iterator[tuple[int, str, bytes]]:
+    """For each text of a column: number of tokens, the ids as text, and the bytes that they decode to.
 
-    def encode(self, chunk) -> Iterator[tuple[int, str, bytes]]:
-        """For each text of the chunk: number of tokens, the ids as text, and the bytes that they decode to."""
-        found = spans(chunk, True, self.vocabulary.special)
-        h, at, which = distinct(chunk, found)
-        if len(self.known) + len(h) > REMEMBERED:
-            self.known.clear()
-        raw, keys = chunk.data.tobytes(), h.tolist()
-        new = {raw[found.start[i] : found.end[i]]: k for k, i in zip(keys, at.tolist(), strict=True) if k not in self.known}
-        learned = self._learn(new)
-        entries = [self.known.get(k) or learned[k] for k in keys]
-        if len(self.known) + len(learned) <= REMEMBERED:
-            self.known |= learned
-        texts, sizes, decoded = [e[0] for e in entries], np.array([e[1] for e in entries], np.int64), [e[2] for e in entries]
-        bounds = np.searchsorted(found.doc, np.arange(len(chunk.offsets)))
-        total = np.concatenate([[0], np.cumsum(sizes[which])]) if len(which) else np.zeros(1, np.int64)
+    Every distinct pre-token of the column is encoded once. Only hashes, places
+    and what belongs to distinct pre-tokens are held for all of it.
+    """
+    place: dict[int, int] = {}
+    words: list[bytes] = []
+    parts = []
+    for c in chunks(column, CHUNK_BYTES):
+        found = spans(c, True, vocabulary.find_special)
+        h, at, which = distinct(c, found)
+        raw, own = c.data.tobytes(), []
+        for k, a, b in zip(h.tolist(), found.start[at].tolist(), found.end[at].tolist(), strict=True):
+            w = place.setdefault(k, len(words))
+            if w == len(words):
+                words.append(raw[a:b])
+            own.append(w)
+        parts.append((np.array(own, np.int32)[which], np.searchsorted(found.doc, np.arange(len(c.offsets)))))
+    del place
+    # In ascending order, so that neighbours share as much of the trie as they can.
+    order = sorted((w for w in range(len(words)) if words[w] not in vocabulary.special), key=words.__getitem__)
+    ids = [""] * len(words)
+    n = np.ones(len(words), np.int64)
+    for w, found in zip(order, vocabulary.encode_sorted(words[w] for w in order), strict=True):
+        ids[w], n[w], words[w] = ",".join(map(str, found)), len(found), vocabulary.decode(found)
+    for w, word in enumerate(words):
+        if not ids[w]:
+            ids[w] = str(vocabulary.special[word])
+    for which, bounds in parts:
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = which[a:b].tolist()
-            yield int(total[b] - total[a]), ",".join([texts[i] for i in own]), b"".join([decoded[i] for i in own])
+            own = which[a:b]
+            yield int(n[own].sum()), ",".join([ids[w] for w in own.tolist()]), b"".join([words[w] for w in own.tolist()])
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -177,23 +200,21 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabulary(sent.value))
-        for batch in batches:
-            for c in chunks(batch.column(1), CHUNK_BYTES):
-                n, digest, decoded_digest, all_ids, texts = [], [], [], [], []
-                for count, text, raw in encoder.encode(c):
-                    back = raw.decode("utf-8", "replace")
-                    n.append(count)
-                    digest.append(hashlib.sha256(text.encode()).hexdigest())
-                    decoded_digest.append(hashlib.sha256(back.encode()).hexdigest())
-                    if ids:
-                        all_ids.append([int(i) for i in text.split(",")] if text else [])
-                        texts.append(back)
-                columns = [batch.column(0).slice(c.first, c.last - c.first), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded_digest, pa.string())]
+        for batch in _groups(batches, GROUP_BYTES):
+            n, digest, decoded_digest, all_ids, texts = [], [], [], [], []
+            for count, text, raw in encode_texts(_vocabulary(sent.value), batch.column(1)):
+                back = raw.decode("utf-8", "replace")
+                n.append(count)
+                digest.append(hashlib.sha256(text.encode()).hexdigest())
+                decoded_digest.append(hashlib.sha256(back.encode()).hexdigest())
                 if ids:
-                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    all_ids.append([int(i) for i in text.split(",")] if text else [])
+                    texts.append(back)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded_digest, pa.string())]
+            if ids:
+                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     kinds = [kind, "bigint", "string", "string", *(["array<int>", "string"] if ids else [])]
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True)))
+    return map_batches(docs.select(id_col, text_col), run, ", ".join(f"`{a}` {b}" for a, b in zip(names, kinds, strict=True)))

@@ -7,6 +7,7 @@ byte spans of the chunk, so equal pre-tokens have equal hashes.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -69,12 +70,12 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, at
 
 
-def spans(chunk: Chunk, blanks: bool, special: bytes = b"") -> Spans:
+def spans(chunk: Chunk, blanks: bool, special: re.Pattern[bytes] | None = None) -> Spans:
     """Pre-tokens of all texts of a chunk.
 
     ``blanks``: white space is kept, one blank joins what follows it, and digits
     form runs; otherwise white space goes and every digit stands alone.
-    ``special``: a string that is always one pre-token and ends those beside it.
+    ``special``: strings that are always one pre-token and end those beside them.
     """
     data, offsets = chunk.data, chunk.offsets
     code, at = _characters(data)
@@ -88,13 +89,12 @@ def spans(chunk: Chunk, blanks: bool, special: bytes = b"") -> Spans:
     held = []
     if special:
         raw, from_ = data.tobytes(), 0
-        while (found := raw.find(special, from_)) >= 0:
-            from_ = found + 1
-            if np.searchsorted(offsets, found, "right") == np.searchsorted(offsets, found + len(special), "left"):
-                a = int(np.searchsorted(at, found))
-                held.append((a, a + len(special)))
-                edge[[a, a + len(special)]] = True
-                from_ = found + len(special)
+        while m := special.search(raw, from_):
+            from_ = m.start() + 1
+            if np.searchsorted(offsets, m.start(), "right") == np.searchsorted(offsets, m.end(), "left"):
+                held.append(tuple(np.searchsorted(at, m.span()).tolist()))
+                edge[[*held[-1]]] = True
+                from_ = m.end()
     start = edge.copy()
     start[1:n] |= kind[1:] != kind[:-1]
     if blanks:

@@ -7,12 +7,15 @@
    grow) are sent to all tasks and summed on the spot; the rest is joined by
    hash and summed. Token ids of documents are never made.
 
-Null counts as empty: no bytes and no tokens. Repeated ids and null ids keep
-one row each. Further columns are ignored.
+Null counts as empty: no bytes and no tokens. Texts of any length are counted
+whole. Pre-tokens count as equal if their 64-bit hashes are. Special strings
+in a text are one token each, as in the library. Repeated ids and null ids
+keep one row each. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +29,10 @@ from tokenizers import Tokenizer
 
 from .pretokens import distinct, spans
 from .storage import materialize
-from .textops import chunks
+from .textops import chunks, map_batches
 
 HEAD = 1 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _NOT_SPECIAL = "\n"
 
 
@@ -52,13 +55,13 @@ def _normal(text: str, tokenizer: Tokenizer) -> str:
 
 def _normalized(column: pa.Array, tokenizer: Tokenizer) -> tuple[pa.Array, np.ndarray]:
     """Texts in normal form; special strings give way to a line end and are counted."""
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    find = re.compile("|".join(map(re.escape, special)))
     texts, extra = [], np.zeros(len(column), np.int64)
     for i, t in enumerate(column.to_pylist()):
         parts = [t or ""]
-        if "<|" in parts[0]:
-            for s in special:
-                parts = [q for p in parts for q in p.split(s)]
+        if any(s in parts[0] for s in special):
+            parts = find.split(parts[0])
             extra[i] = len(parts) - 1
         texts.append(_NOT_SPECIAL.join([_normal(p, tokenizer) for p in parts]))
     return pa.array(texts, pa.string()), extra
@@ -97,8 +100,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
             sizes = [len(e) for e in tokenizer.encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), batch.column(2)], ["h", "pieces", "n"])
 
-    words = docs.select(text_col).mapInArrow(pretokens, "h bigint, pretoken string, n bigint").groupBy("h").agg(F.first("pretoken").alias("pretoken"), F.sum("n").alias("n"))
-    counts = materialize(words.mapInArrow(pieces, "h bigint, pieces int, n bigint"), "pieces")
+    words = map_batches(docs.select(text_col), pretokens, "h bigint, pretoken string, n bigint").groupBy("h").agg(F.first("pretoken").alias("pretoken"), F.sum("n").alias("n"))
+    counts = materialize(map_batches(words, pieces, "h bigint, pieces int, n bigint"), "pieces")
     least = _threshold(counts)
     head = spark.sparkContext.broadcast(_head(counts.where(F.col("n") >= least)))
     tail = counts.where(F.col("n") < least).select("h", "pieces")
@@ -130,7 +133,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
                 )
                 row += n
 
-    rows = materialize(docs.select(id_col, text_col).mapInArrow(by_document, f"row bigint, id {kind}, n_bytes bigint, common bigint, rare array<bigint>, times array<int>"), "frequencies")
+    rows = materialize(map_batches(docs.select(id_col, text_col), by_document, f"row bigint, id {kind}, n_bytes bigint, common bigint, rare array<bigint>, times array<int>"), "frequencies")
     rare = rows.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     sums = rare.join(tail, "h").groupBy("row").agg(F.sum(F.col("pieces").cast("long") * F.col("times")).alias("uncommon"))
     n_tokens = F.col("common") + F.coalesce("uncommon", F.lit(0).cast("long"))

@@ -11,10 +11,12 @@ sets agree in a register about as often as their Jaccard similarity says.
 3. Pair the members of a bucket with a hub; keep pairs whose sizes allow the
    threshold and whose joint likelihood doesn't rule it out; verify the rest
    on full sets. Components grow with each round of hubs.
-4. Compare what is left in different components of one bucket block by block
-   inside tasks, sketches first and then full sets, each pair in the first
-   bucket that it shares. Only links leave the task. So no link between
-   components is lost, and no group emits all its pairs.
+4. Compare the sketches of what is left in different components of one bucket
+   block by block inside tasks, each pair in the first bucket that it shares.
+   The few pairs that stay possible are verified on full sets. A block pair
+   with many of them is cut by the bytes of its sets and compared on full sets
+   inside tasks, and a spanning forest of its links leaves the task. So no
+   link between components is lost, and no group emits all its pairs.
 
 With 315 registers in bands of 7, a pair at similarity 0.8 shares no bucket
 with probability 2.5e-5 (0.85: 3e-8), and the likelihood test is almost five
@@ -24,13 +26,15 @@ Null or empty texts, or texts without a word, have an empty set and link with
 nothing. Fewer words than a shingle make one shingle. A repeated id is one
 document with the links of all its rows, so its rows are in one component. A
 row without id is a document of its own. One row represents each component:
-that of the smallest id, rows without id last, the first one on ties. Further
-columns are ignored.
+that of the smallest id, rows without id last, the first one on ties. Texts
+are read whole, whatever their length; at most two sets of a length beyond
+``SHINGLES`` meet in a task. An empty table gives no rows. Further columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import discard, materialize
-from .textops import WORD, Chunk, chunks, mix, pieces, windows
+from .textops import WORD, Chunk, chunks, map_batches, mix, pieces, windows
 
 REGISTERS = 315
 BAND = 7
@@ -52,6 +56,10 @@ MARGIN = 0.11
 HUB_ROWS = 500
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 256
+#: Pairs for each row that a block pair may leave to be verified elsewhere, and shingles of a block whose full sets are compared inside a task.
+LEFT, SHINGLES = 2, 1 << 20
+#: Rows of sketches for each representative that comparing by blocks may send.
+ROWS = 2
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; its size doesn't grow.
 FILTER_BITS = 1 << 25
 
@@ -107,7 +115,7 @@ def sketch(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
                 digest = np.stack([*(s[end] - s[end - sizes] for s in sums), sizes.astype(np.uint64)], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), pa.array(sizes), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n_shingles", "digest", "registers"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id bigint, n_shingles bigint, digest binary, registers binary")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, "id bigint, n_shingles bigint, digest binary, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,7 +135,7 @@ def _bands(reps: DataFrame) -> DataFrame:
             h = (h & ~np.uint64(63)) | bands
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(ids, n))], ["bucket", "id"])
 
-    return reps.select("id", "registers").mapInArrow(run, "bucket bigint, id bigint")
+    return map_batches(reps.select("id", "registers"), run, "bucket bigint, id bigint")
 
 
 def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, at: float) -> np.ndarray:
@@ -146,7 +154,8 @@ def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, na: np.ndarray
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches leave possible."""
-    side = lambda c: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
+    asked = _asked(reps.select("id", "n_shingles", "registers"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    side = lambda c: asked.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +166,11 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             good = likely(REGISTERS - more - less, more, less, na, nb, percent / 100 - MARGIN)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a bigint, b bigint")
+    return map_batches(both.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a bigint, b bigint")
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id, in at most ``FILTER_BITS`` / 64 rows."""
+    """A bit for each hash of an id, gathered in at most ``FILTER_BITS`` / 32 rows."""
     at = F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1))
     rows = ids.groupBy(F.shiftright(at, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -169,34 +178,47 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) of the documents named by ``ids``."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(ids)).tobytes())
+def _wanted(rows: DataFrame, ids: DataFrame, names: list[str], run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``run`` over batches of those ``rows`` (columns ``names``) whose id is among ``ids``, and perhaps a few more; what nobody asks for stays out of shuffles."""
+    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(_filter(ids)).tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            at = batch.column(1).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
-            for c in chunks(batch.column(2)):
-                h, sizes = shingle_sets(c, size)
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), values], ["id", "shingles"])
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            yield from run(pa.RecordBatch.from_arrays(batch.columns[1:], names).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)))
+
+    return map_batches(rows.select(F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"), *names), select, schema)
+
+
+def _asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is among ``ids``, and perhaps a few more."""
+    return _wanted(rows, ids, rows.columns, lambda batch: iter([batch]), rows.schema)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the documents named by ``ids``, and perhaps a few more, in a written table."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batch.column(1)):
+            h, sizes = shingle_sets(c, size)
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), values], ["id", "shingles"])
 
     key = F.col(id_col).cast("long")
-    rows = docs.where(key.isNotNull()).select(key.alias("id"), F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>").join(ids, "id", "left_semi")
+    rows = docs.where(key.isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"))
+    return materialize(_wanted(rows, ids, ["id", "text"], run, "id bigint, shingles array<bigint>"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets reach the threshold. A hub of many pairs has its set copied, so no task gets all of them."""
-    uses = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("uses"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_sets(docs, ids, size, id_col, text_col), "sets")
+    uses = pairs.groupBy("a").agg(F.count("*").alias("uses"))
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), size, id_col, text_col)
     copies = F.ceil(F.col("uses") / HUB_ROWS).cast("int")
-    hubs = sets.join(uses, "id").select(F.col("id").alias("a"), F.col("shingles").alias("s_a"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
-    salted = pairs.join(uses.withColumnRenamed("id", "a"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("uses")
-    members = salted.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
+    # Both joins begin with the sets dealt by id, so these are shuffled once.
+    hubs = sets.join(uses.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("shingles").alias("s_a"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    salted = pairs.join(uses, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), copies).cast("int").alias("salt"))
+    members = sets.join(salted, "id").select("a", "salt", F.col("id").alias("b"), F.col("shingles").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     found = members.join(hubs, ["a", "salt"]).where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct()
     links = materialize(found, "links")
@@ -219,11 +241,13 @@ def _components(docs: DataFrame, key: str, size: int, percent: int, text_col: st
     """(key, n_shingles, component) of every row of ``docs``; the component is the smallest linked key."""
     sketches = materialize(sketch(docs, size, key, text_col), "sketches")
     classes = materialize(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = materialize(sketches.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "reps")
+    reps = materialize(sketches.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_shingles", "registers"), "reps")
+    sizes = materialize(sketches.select("id", "n_shingles", "digest"), "sizes")
+    discard(sketches)
     found = _links(_bands(reps), reps, docs, size, percent, key, text_col)
     labels = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    full = sketches.where("n_shingles > 0").select("id", "n_shingles", "digest").join(labels, "digest").select(F.col("id").alias("key"), "n_shingles", "component")
-    return full.unionByName(sketches.where("n_shingles = 0").select(F.col("id").alias("key"), "n_shingles", F.col("id").alias("component")))
+    full = sizes.where("n_shingles > 0").join(labels, "digest").select(F.col("id").alias("key"), "n_shingles", "component")
+    return full.unionByName(sizes.where("n_shingles = 0").select(F.col("id").alias("key"), "n_shingles", F.col("id").alias("component")))
 
 
 def _marked(docs: DataFrame, key: str, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -253,13 +277,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return _marked(rows, key, size, percent, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between different components within buckets, from (bucket, id, component, largest, core, n).
+def _possible(x: int, regs: np.ndarray, sizes: np.ndarray, others: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Those of ``others`` that sizes and sketches leave possible as partners of ``x`` and that share no band with it before ``band``."""
+    others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+    if not len(others):
+        return others
+    more, less = (regs[x] > regs[others]).sum(axis=1), (regs[x] < regs[others]).sum(axis=1)
+    others = others[likely(REGISTERS - more - less, more, less, np.full(len(others), float(sizes[x])), sizes[others].astype(float), percent / 100 - MARGIN)]
+    agree = (regs[others] == regs[x]).reshape(len(others), REGISTERS // BAND, BAND).all(axis=2)
+    return others[agree.argmax(axis=1) == band] if len(others) else others
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, id, component) of the block pairs of each bucket, from (bucket, id, component, largest, core, n).
 
     The largest component of a bucket, its core, needs no comparing with itself.
     Core and rest are cut into blocks; a block of the rest meets each block of
-    the core and of the rest in a task of its own. Sets travel once for each
-    block pair, not for each pair of documents.
+    the core and of the rest.
     """
     inner = F.col("component") == F.col("largest")
     cores, rests = F.ceil(F.col("core") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("core")) / BLOCK).cast("int")
@@ -268,37 +302,77 @@ def _apart(members: DataFrame, docs: DataFrame, size: int, percent: int, id_col:
     of_core = F.transform(each(rests), lambda r: cell(-1 - own, r, F.lit(0)))
     of_rest = F.concat(F.transform(each(cores), lambda k: cell(-1 - k, own, F.lit(1))), F.transform(each(rests), lambda o: cell(F.least(own, o), F.greatest(own, o), F.when(own <= o, 0).otherwise(1))))
     placed = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.when(inner, cores).otherwise(rests)).cast("int"))
-    placed = placed.withColumn("cell", F.explode(F.when(inner, of_core).otherwise(of_rest))).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component")
-    sets = _sets(docs, members.select("id").distinct(), size, id_col, text_col)
-    full = placed.join(sets, "id").select("bucket", "i", "j", "side", "id", "component", "shingles")
+    return placed.withColumn("cell", F.explode(F.when(inner, of_core).otherwise(of_rest))).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component")
+
+
+def _apart(members: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different components within buckets."""
+    placed = _blocks(members)
+    asked = _asked(reps, members.select("id"))
+    full = placed.join(asked, "id").select("bucket", "i", "j", "side", "id", "component", "n_shingles", "registers")
 
     def run(group: pa.Table) -> pa.Table:
         bucket, i, j = (group.column(c)[0].as_py() for c in (0, 1, 2))
-        band = bucket & 63
-        side, ids, component = (group.column(c).to_numpy() for c in (3, 4, 5))
-        lists = group.column(6).combine_chunks()
-        hashes, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-        sets = np.split(hashes, ends[:-1])
-        sizes, regs = np.diff(ends, prepend=0), registers(hashes, np.diff(ends, prepend=0))
+        side, ids, component, sizes = (group.column(c).to_numpy() for c in (3, 4, 5, 6))
+        regs, found = _matrix(group.column(7).combine_chunks()), []
+        for x in np.flatnonzero(side == 0) if i != j else range(len(ids)):
+            others = np.flatnonzero(((side == 1) if i != j else (ids > ids[x])) & (component != component[x]))
+            found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in _possible(x, regs, sizes, others, bucket & 63, percent).tolist()]
+            if len(found) > LEFT * len(ids):
+                found = [(None, None)]
+                break
+        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int64()), "i": pa.array([i] * len(found), pa.int32()), "j": pa.array([j] * len(found), pa.int32()), "a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    pairs = materialize(full.groupBy("bucket", "i", "j").applyInArrow(run, "bucket bigint, i int, j int, a bigint, b bigint"), "candidates")
+    links = _verified(pairs.where("a is not null").select("a", "b").distinct(), docs, size, percent, id_col, text_col)
+    dense = pairs.where("a is null").select("bucket", "i", "j")
+    if dense.isEmpty():
+        return links
+    rows = materialize(placed.join(dense, ["bucket", "i", "j"]).join(reps, "id"), "dense")
+    return links.unionByName(_inside(rows, docs, size, percent, id_col, text_col)).distinct()
+
+
+def _inside(rows: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join the components of dense block pairs, from (id, bucket, i, j, side, component, n_shingles, registers), on full sets inside tasks.
+
+    Each side is cut so that a part has about ``SHINGLES`` shingles, or one set.
+    """
+    both = rows.where("i <> j").unionByName(rows.where("i = j").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))))
+    parts = both.groupBy("bucket", "i", "j").agg(*(F.greatest(F.ceil(F.sum(F.when(F.col("side") == s, F.col("n_shingles"))) / SHINGLES), F.lit(1)).cast("int").alias(f"parts_{s}") for s in (0, 1)))
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.when(F.col("side") == 0, F.col("parts_0")).otherwise(F.col("parts_1"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts_1")).otherwise(F.col("parts_0")) - 1)
+    cells = both.join(parts, ["bucket", "i", "j"]).withColumn("own", own).withColumn("other", F.explode(other))
+    cells = cells.withColumn("p", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("q", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
+    sets = _sets(docs, rows.select("id"), size, id_col, text_col)
+    full = cells.join(sets, "id").select("bucket", "i", "j", "p", "q", "side", "id", "component", "n_shingles", "registers", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        band = group.column(0)[0].as_py() & 63
+        side, ids, component, sizes = (group.column(c).to_numpy() for c in (5, 6, 7, 8))
+        regs, lists = _matrix(group.column(9).combine_chunks()), group.column(10).combine_chunks()
+        hashes, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        sets = np.split(hashes.view(np.uint64), ends[:-1])
+        joined = {c: c for c in component.tolist()}
+
+        def root(c):
+            while joined[c] != c:
+                joined[c] = c = joined[joined[c]]
+            return c
+
         found = []
-        for x in range(len(ids)):
-            if i != j and side[x] != 0:
-                continue
-            other = np.flatnonzero((side == 1) if i != j else (ids > ids[x]))
-            other = other[(component[other] != component[x]) & (100 * np.minimum(sizes[other], sizes[x]) >= percent * np.maximum(sizes[other], sizes[x]))]
-            if not len(other):
-                continue
-            mine = regs[x]
-            more, less = (mine > regs[other]).sum(axis=1), (mine < regs[other]).sum(axis=1)
-            other = other[likely(REGISTERS - more - less, more, less, np.full(len(other), float(sizes[x])), sizes[other].astype(float), percent / 100 - MARGIN)]
-            agree = (regs[other] == mine).reshape(len(other), REGISTERS // BAND, BAND).all(axis=2)
-            for y in (other[agree.argmax(axis=1) == band] if len(other) else other).tolist():
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+        for x in np.flatnonzero(side == 0):
+            others = np.flatnonzero((side == 1) & (component != component[x]) & (ids != ids[x]))
+            for y in _possible(x, regs, sizes, others, band, percent).tolist():
+                cx, cy = root(int(component[x])), root(int(component[y]))
+                if cx == cy:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= percent * (sizes[x] + sizes[y] - common):
+                    joined[cx] = cy
                     found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return full.groupBy("bucket", "i", "j", "p", "q").applyInArrow(run, "a bigint, b bigint")
 
 
 def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -308,8 +382,9 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     buckets = materialize(bands.join(shared, "bucket"), "buckets")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = materialize(connected_components(verify(_estimated(first, reps, percent))), "labels")
-    # Hubs go on while they find links and sending sets to block pairs would cost more rows than there are representatives.
-    enough, turn, n_new, unsettled = reps.count(), 0, 1, buckets
+    # Hubs go on while they find more than a few links and sending sketches to block pairs would cost many rows for each representative.
+    enough, turn, unsettled = reps.count(), 0, buckets
+    n_new = enough
     while True:
         turn += 1
         placed = materialize(unsettled.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
@@ -321,12 +396,12 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
         work = top.agg(F.sum(F.col("core") * F.ceil(rest / BLOCK) + rest * (F.ceil(F.col("core") / BLOCK) + F.ceil(rest / BLOCK)))).first()[0] or 0
         if not work:
             return labels
-        last = work <= enough or not n_new
+        last = work <= ROWS * enough or n_new * 1000 <= enough
         members = materialize(placed.join(top, "bucket"), "members")
         discard(placed)
         discard(top)
         if last:
-            new = materialize(_apart(members, docs, size, percent, id_col, text_col), "links")
+            new = materialize(_apart(members, reps, docs, size, percent, id_col, text_col), "links")
         else:
             hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "component")).alias("hub")).select("bucket", F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"))
             # Written first, so that the join may split a large bucket.

@@ -8,7 +8,7 @@ import corpus_pipeline
 from tessera.llm import components, credentials, embeddings, oracle, queries
 
 from ..compare import same, tables
-from .fixtures import documents, empty
+from .fixtures import documents, empty, prose
 from .test_text_operators import BLANK, check_mix, filled, shingles
 from .test_text_operators import components as components_of
 
@@ -95,6 +95,8 @@ def test_stages_beside_brute_force(spark, sf_dir, tmp_path):
     from tokenizers import Tokenizer
 
     docs, stages = spark.read.parquet(f"{sf_dir}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    planted = f'{prose(900, 70)} password = "hunter2hunter2" {prose(901, 20)}'
+    docs = docs.unionByName(docs.limit(1).select(F.lit(900001).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(planted).alias("text"), "lang", "source", F.lit(len(planted)).cast(docs.schema["n_chars"].dataType).alias("n_chars")))
 
     def run(name, docs):
         stages[name](spark, docs, sf_dir).write.parquet(str(tmp_path / name.split()[0]))
@@ -102,7 +104,7 @@ def test_stages_beside_brute_force(spark, sf_dir, tmp_path):
 
     texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
     good = run("quality rules", docs)
-    want = {r[0] for r in tables(sf_dir).sql(f"select doc_id from ({oracle.OP9}) where kept").fetchall()}
+    want = {r[0] for r in tables(sf_dir).sql(f"select doc_id from ({oracle.OP9}) where kept").fetchall()} | {900001}
     assert set(texts(good)) == want and good.count() == len(want) < docs.count()
     unique = run("MinHash near-dedup", good)
     found = components_of({i: shingles(t, 5) for i, t in texts(good).items()})

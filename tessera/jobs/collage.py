@@ -163,10 +163,11 @@ def process(parts: DataFrame, images: DataFrame, pad: int = 1024, portion: float
     """The automatic job from scans to the weighted canvas: oriented parts, positions and canvas.
 
     ``images``: planes of the scans as they are. With ``rotated`` rotations are
-    corrected from corresponding points. ``keep`` may write a table and read it
+    corrected from corresponding points, as far as ``dangle_deg`` leaves them open. ``keep`` may write a table and read it
     again, so that a stage that several others need runs once.
     """
-    oriented = keep(orient_images(parts, images))
+    corrected = parts.withColumn("dangle_deg", placement.angle_correction("dangle_deg" in parts.columns))
+    oriented = keep(orient_images(corrected, images))
     planes = keep(prepare_planes(oriented, images, smooth))
     if rotated:
         positions = place_parts_rotated(oriented, keep(match_pairs_rotated(oriented, planes, None, pad, portion, maximum, n, side)))

@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera import oracle, queries
 from tessera.functions import kernels
+from tessera.jobs import collage
 from tessera.operators import matching
 from tessera.sources import tables as sources
 
@@ -69,6 +72,14 @@ def test_soft_shaped_blend_weighs_by_smoothed_masks(spark, sf_dir):
     assert len(blend) == len(total) and np.allclose(blend["v"], want, atol=2e-6)
 
 
+def test_the_whole_job_corrects_rotations(spark, sf_dir):
+    pixels = sources.mosaic(spark, sf_dir).where("collage_id = 0").cache()
+    parts = sources.mosaic_parts(pixels).withColumn("dangle_deg", F.lit(None).cast("double"))
+    _, positions, _ = collage.process(parts, matching.planes(pixels).cache(), pad=128, maximum=0.1, smooth=3, rotated=True, side=16, keep=lambda df: df.cache())
+    got = positions.orderBy("image_id").toPandas()
+    assert np.allclose(got[["x", "y", "c", "s"]], [(0, 40 * k, 1, 0) for k in range(4)], atol=1e-6)
+
+
 def test_spectral_angle_stays_within_the_maximum(spark, sf_dir):
     assert queries.QUERIES["h6_spectral"](spark, sf_dir).toPandas()["angle_deg"].abs().max() <= 6
 

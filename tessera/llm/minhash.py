@@ -58,8 +58,6 @@ HUB_ROWS = 500
 BLOCK = 256
 #: Pairs for each row that a block pair may leave to be verified elsewhere, and shingles of a block whose full sets are compared inside a task.
 LEFT, SHINGLES = 2, 1 << 20
-#: Rows of sketches for each representative that comparing by blocks may send.
-ROWS = 2
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; its size doesn't grow.
 FILTER_BITS = 1 << 25
 
@@ -382,7 +380,7 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     buckets = materialize(bands.join(shared, "bucket"), "buckets")
     first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     labels = materialize(connected_components(verify(_estimated(first, reps, percent))), "labels")
-    # Hubs go on while they find more than a few links and sending sketches to block pairs would cost many rows for each representative.
+    # Hubs go on while they find links and sending sketches to block pairs would cost more rows than there are representatives.
     enough, turn, unsettled = reps.count(), 0, buckets
     n_new = enough
     while True:
@@ -396,7 +394,7 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
         work = top.agg(F.sum(F.col("core") * F.ceil(rest / BLOCK) + rest * (F.ceil(F.col("core") / BLOCK) + F.ceil(rest / BLOCK)))).first()[0] or 0
         if not work:
             return labels
-        last = work <= ROWS * enough or n_new * 1000 <= enough
+        last = work <= enough or not n_new
         members = materialize(placed.join(top, "bucket"), "members")
         discard(placed)
         discard(top)

@@ -49,4 +49,41 @@ failed as (
   from measured)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed = 0 as kept, failed from failed"""
 
-SQL: dict[str, str] = {"op1_minhash": OP1, "op7_embeddings": OP7, "op9_rules": OP9}
+_SQUARED = "cast(list_sum([({0}[i] - {1}[i]) * ({0}[i] - {1}[i]) for i in range(1, 65)]) as bigint)"
+
+
+def _rounds(n: int) -> str:
+    """Centroids c0 and assignments a0, then n times new centroids and assignments."""
+    assigned = lambda r: f"a{r} as (select row, id, v, c, d from (select k.*, c{r}.c, {_SQUARED.format('k.v', f'c{r}.v')} as d, row_number() over (partition by row order by d, c) as place from k, c{r}) where place = 1)"
+    steps = [assigned(0)]
+    for r in range(1, n + 1):
+        mean = f"select c, list(m order by i) as v from (select c, i, cast(floor(sum(v[i]) / count(*)) as bigint) as m from (select c, v, unnest(range(1, 65)) as i from a{r - 1}) group by c, i) group by c"
+        steps += [f"m{r} as ({mean})", f"c{r} as (select o.c, coalesce(m.v, o.v) as v from c{r - 1} o left join m{r} m using (c))", assigned(r)]
+    return ",\n".join(steps)
+
+
+OP11 = f"""with numbered as (select row_number() over () as row, vec_id as id, embedding from embeddings),
+k as (
+  select row, id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from numbered
+  where embedding is not null and len(embedding) = 64 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+c0 as (select c, v from (select v, row_number() over (order by sha256('1:' || id) nulls last, v) - 1 as c from k) where c < 16),
+{_rounds(3)},
+sums as (select c, cast(sum(d) as bigint) as s from a3 group by c)
+select id as vec_id, cast(a3.c as integer) as cluster, d as distance, s as cluster_inertia, cast((select sum(d) from a3) as bigint) as inertia,
+  sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join sums using (c) join c3 using (c)"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""with docs as (select row_number() over () as row, doc_id, {_TERMS} as w from documents),
+whole as (select count(*) as n, sum(len(w)) as l from docs where len(w) > 0),
+items as (select row_number() over () as item, item_id, unnest(list_distinct({_TERMS})) as term from benchmark),
+flat as (select row, doc_id, len(w) as n, unnest(w) as term from docs),
+tf as (select row, doc_id, n, term, count(*) as tf from flat where term in (select term from items) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * whole.n + 2) / (2 * count(*) + 1))) as bigint) as weight from tf, whole group by term, whole.n),
+parts as (select row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * tf.n * whole.n) // cast(whole.l as bigint)))) as part from tf join weights using (term), whole),
+scores as (select item, item_id, row, doc_id, cast(sum(part) as bigint) as score from items join parts using (term) group by all),
+ranked as (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scores where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10"""
+
+SQL: dict[str, str] = {"op1_minhash": OP1, "op7_embeddings": OP7, "op9_rules": OP9, "op11_centroids": OP11, "op13_search": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, crf, embeddings, licenses, minhash, mixing, pii, rules, tokens
+from . import bpe, clusters, credentials, crf, embeddings, licenses, minhash, mixing, pages, pii, rules, search, tokens
 
 
 #: For the registered query where the session names no secret one: pseudonyms under it can be undone by anybody.
@@ -90,6 +90,18 @@ def op10_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= crf.BORDER).cast("int").alias("predicted"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
@@ -101,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,
     "op10_crf": op10_crf,
+    "op11_centroids": op11_centroids,
+    "op12_html": op12_html,
+    "op13_search": op13_search,
 }

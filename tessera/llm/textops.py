@@ -147,9 +147,15 @@ def windows(words: Pieces, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_BYTES`` bytes (or what the session asks for, if that is less), so long texts don't pile up in a worker."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = int(conf.get(name).rstrip("b"))
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES`` bytes (or what the session asks for, if that is less), so long texts don't pile up in a worker.
+
+    Spark reads the size when the query runs, which is after this returns, so
+    the setting stays in the session.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = spark.conf
+    # Spark's own reading of sizes such as 64m.
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name))
     if not 0 < size <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)

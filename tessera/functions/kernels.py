@@ -57,6 +57,38 @@ def unplace(g: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (g["c"] * px + g["s"] * py) / size, (g["c"] * py - g["s"] * px) / size
 
 
+def place(g: dict, x: float, y: float) -> tuple[float, float]:
+    """M1: the canvas point of a point of an image."""
+    return g["c"] * x - g["s"] * y + g["mx"], g["s"] * x + g["c"] * y + g["my"]
+
+
+def corners(g: dict) -> list[tuple[float, float]]:
+    return [place(g, x, y) for x, y in ((0.0, 0.0), (g["w"], 0.0), (g["w"], g["h"]), (0.0, g["h"]))]
+
+
+def special_points(g: dict, others: list[dict]) -> list[tuple[float, float]]:
+    """Where edges of an image meet edges of others, and its corners that lie, to the nearest pixel, in another."""
+    mine, out = corners(g), []
+    for o in others:
+        theirs = corners(o)
+        for (px, py), (qx, qy) in zip(mine, mine[1:] + mine[:1], strict=True):
+            dx, dy = qx - px, qy - py
+            for (rx, ry), (sx, sy) in zip(theirs, theirs[1:] + theirs[:1], strict=True):
+                ex, ey, ox, oy = sx - rx, sy - ry, rx - px, ry - py
+                denominator = dx * ey - dy * ex
+                if denominator:
+                    t, u = (ox * ey - oy * ex) / denominator, (ox * dy - oy * dx) / denominator
+                    if 0 <= t <= 1 and 0 <= u <= 1:
+                        out.append((px + t * dx, py + t * dy))
+    for x, y in mine:
+        for o in others:
+            ox, oy = (round(v) for v in unplace(o, x, y))
+            if 0 <= ox < o["w"] and 0 <= oy < o["h"]:
+                out.append((x, y))
+                break
+    return out
+
+
 def distances(g: dict, others: list[dict], points: list[tuple[float, float]], y: np.ndarray, x: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
     """How far pixels of an image are from where it may end.
 
@@ -90,7 +122,39 @@ def smooth(plane: np.ndarray, n: int) -> np.ndarray:
         size = out.shape[axis]
         at = np.arange(-n, size + n) % (2 * size)  # half-sample symmetry
         wide = np.take(out, np.where(at < size, at, 2 * size - 1 - at), axis)
-        out = np.apply_along_axis(np.convolve, axis, wide, kernel, "valid")
+        long = wide.shape[axis]
+        weights = np.fft.rfft(kernel, long).reshape((-1, 1) if axis == 0 else (1, -1))
+        out = np.take(np.fft.irfft(np.fft.rfft(wide, axis=axis) * weights, long, axis=axis), np.arange(2 * n, 2 * n + size), axis)
+    return out
+
+
+def labels(mask: np.ndarray) -> np.ndarray:
+    """Connected pixels (side by side or one above the other) of a mask: 0 outside, else 1 more than the first pixel of theirs in row order."""
+    h, w = mask.shape
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+    parent = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1))
+    for y in range(1, h):
+        i, j = int(first[y - 1]), int(first[y])
+        while i < first[y] and j < first[y + 1]:
+            if start[i] < end[j] and start[j] < end[i]:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+            if end[i] <= end[j]:
+                i += 1
+            else:
+                j += 1
+    out = np.zeros((h, w), np.int64)
+    for r, s, e, k in zip(row.tolist(), start.tolist(), end.tolist(), range(len(parent)), strict=True):
+        k = root(k)
+        out[r, s:e] = row[k] * w + start[k] + 1
     return out
 
 
@@ -219,11 +283,18 @@ def least_squares(row: np.ndarray, column: np.ndarray, value: np.ndarray, right:
     return p, times(p, value)
 
 
-def peel(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+def border(mask: np.ndarray) -> np.ndarray:
+    """Pixels of a mask beside a pixel that isn't in it."""
+    wide = np.pad(mask, 1)
+    return mask & ~(wide[:-2, 1:-1] & wide[2:, 1:-1] & wide[1:-1, :-2] & wide[1:-1, 2:])
+
+
+def peel(parts: list[tuple[int, int, np.ndarray, np.ndarray]], borders: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """H5: masks made smaller from their borders inwards, largest difference first, while every pixel keeps an owner.
 
     A part is (y, x, mask, differences) in a box of its own at (y, x); only the
-    number of owners is held for the whole canvas.
+    number of owners is held for the whole canvas. ``borders`` are where peeling
+    begins, if that isn't the border of the masks.
     """
     masks = [m.copy() for _, _, m, _ in parts]
     count = np.zeros((max(y + m.shape[0] for y, _, m, _ in parts), max(x + m.shape[1] for _, x, m, _ in parts)), np.int32)
@@ -238,9 +309,7 @@ def peel(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[np.ndarra
             heapq.heappush(queue, (-parts[k][3][y, x], k, y, x))
 
     for k, mask in enumerate(masks):
-        inner = np.pad(mask, 1)
-        border = mask & ~(inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:])
-        for y, x in zip(*np.nonzero(border), strict=True):
+        for y, x in zip(*np.nonzero(border(mask) if borders is None else borders[k]), strict=True):
             push(k, int(y), int(x))
     while queue:
         _, k, y, x = heapq.heappop(queue)
@@ -255,9 +324,9 @@ def peel(parts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[np.ndarra
 
 
 def spectral_angle(plane: np.ndarray, maximum: float) -> float:
-    """H6: the angle in degrees along which the power spectrum, weighted by squared frequency, is largest."""
+    """H6: the angle in degrees along which the power spectrum, weighted by squared frequency (in whole waves), is largest."""
     h, w = plane.shape
-    fy, fx = np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :]
+    fy, fx = np.fft.fftfreq(h, 1 / h)[:, None], np.fft.fftfreq(w, 1 / w)[None, :]
     power = np.abs(np.fft.fft2(plane - plane.mean())) ** 2 * (fx**2 + fy**2)
     half = h // 2
     reach = np.tan(np.radians(maximum)) * half

@@ -128,28 +128,17 @@ def geometry_of(positions: DataFrame, images: DataFrame, angles: DataFrame | Non
 
 
 def blend_average(geometry: DataFrame, images: DataFrame, channels: Sequence[str] = ("v",)) -> DataFrame:
-    return canvas.average_canvas(canvas.resample(geometry, images, channels), channels)
+    return canvas.average_pixels(canvas.average_tiles(geometry, images, channels), channels)
 
 
 def blend_weighted(geometry: DataFrame, images: DataFrame, gamma: float = 2.0, channels: Sequence[str] = ("v",)) -> DataFrame:
     return canvas.blend_by_distance(geometry, images, gamma, channels)
 
 
-def blend_shaped(geometry: DataFrame, images: DataFrame, n: int = 200, hard: bool = False) -> DataFrame:
+def blend_shaped(geometry: DataFrame, images: DataFrame, n: int = 200, hard: bool = False, channels: Sequence[str] = ("v",)) -> DataFrame:
     """Blend along seams of small difference: masks are peeled, then the last owner counts, or masks are smoothed to weights."""
-    placed = canvas.resample(geometry, images)
-    kept = canvas.peel(placed, n)
-    if hard:
-        return canvas.owner(placed.join(kept, ["collage_id", "image_id", "y", "x"], "left_semi"))
-    mask = placed.join(kept.withColumn("m", F.lit(1.0)), ["collage_id", "image_id", "y", "x"], "left").select("collage_id", "image_id", "y", "x", F.coalesce("m", F.lit(0.0)).alias("v"))
-    origin = mask.groupBy("collage_id", "image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0"))
-    moved = mask.join(origin, ["collage_id", "image_id"]).select("collage_id", "image_id", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
-    size = moved.groupBy("collage_id", "image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    grid = size.select("collage_id", "image_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), "w").select("collage_id", "image_id", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    full = grid.join(moved, ["collage_id", "image_id", "y", "x"], "left").fillna(0.0, ["v"])
-    soft = orient.pixels_of(orient.smoothed(matching.planes(full), n)).join(origin, ["collage_id", "image_id"])
-    weights = soft.select("collage_id", "image_id", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), F.col("v").alias("d"))
-    return canvas.weighted_canvas(placed, weights, 1.0)
+    tiles = canvas.shaped_tiles(geometry, images, n, hard, channels)
+    return canvas.owner_pixels(tiles, channels) if hard else canvas.weighted_pixels(tiles, channels)
 
 
 def collage(parts: DataFrame, images: DataFrame, pad: int = 1024, portion: float = 0.25, maximum: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -174,4 +163,4 @@ def process(parts: DataFrame, images: DataFrame, pad: int = 1024, portion: float
     else:
         positions = place_parts(oriented, keep(match_pairs(oriented, planes, None, pad, portion, maximum)))
     positions = keep(positions)
-    return oriented, positions, blend_weighted(geometry_of(positions, images, oriented), images, gamma, channels)
+    return oriented, positions, blend_weighted(keep(geometry_of(positions, images, oriented)), images, gamma, channels)

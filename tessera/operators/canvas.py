@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernels
+from ..sources.storage import materialize
+from . import raster, seams
 
 GEOMETRY = ["collage_id", "image_id", "c", "s", "mx", "my", "w", "h"]
 PIXEL = ["collage_id", "y", "x"]
@@ -112,16 +114,88 @@ def resample(geometry: DataFrame, images: DataFrame, channels: Sequence[str] = (
     return geometry.select(*GEOMETRY).join(images, ["collage_id", "image_id"]).mapInPandas(run, f"collage_id long, image_id int, y int, x int, {', '.join(f'{c} double' for c in channels)}")
 
 
+def sizes(geometry: DataFrame) -> DataFrame:
+    """A10: (collage_id, canvas_h, canvas_w) of canvases that begin at the origin."""
+    return bounding_boxes(geometry).groupBy("collage_id").agg(F.ceil(F.max("bottom")).alias("canvas_h"), F.ceil(F.max("right")).alias("canvas_w"))
+
+
+def _drawn(rows: DataFrame, channels: Sequence[str], planes_of, merge=raster.add, empty: float = 0.0, tile: int = raster.TILE) -> DataFrame:
+    """By collage: the raster of ``planes_of`` (row, place of each pixel, values of its channels)."""
+
+    def draw(r: dict) -> Iterator[raster.Box]:
+        y, x, sx, sy = kernels.grid(r)
+        if len(y):
+            shape = r["height"], r["width"]
+            values = [kernels.sample(np.asarray(r["data" if c == "v" else c], float).reshape(shape), sx, sy)[0] for c in channels]
+            found = planes_of(r, (y, x, sx, sy), values)
+            planes = np.full((len(found), int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), empty)
+            planes[:, y - y.min(), x - x.min()] = found
+            yield (r["collage_id"],), int(y.min()), int(x.min()), planes
+
+    return raster.from_rows(rows, draw, seams.COLLAGE, merge, tile, empty)
+
+
+def _columns(channels: Sequence[str]) -> str:
+    return ", ".join(f"{c} double" for c in channels)
+
+
+def average_tiles(geometry: DataFrame, images: DataFrame, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """The raster (number of images, sums of values) of each collage."""
+    rows = geometry.select(*GEOMETRY).join(images, ["collage_id", "image_id"])
+    return _drawn(rows, channels, lambda r, at, v: [np.ones(len(at[0])), *v], tile=tile)
+
+
+def average_pixels(tiles: DataFrame, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """Mean and number of the values at each canvas pixel."""
+    read = lambda p: (p[0] > 0, {"n": p[0].astype(np.int64), **{c: p[k] / np.maximum(p[0], 1) for k, c in enumerate(channels, 1)}})
+    return raster.to_pixels(tiles, seams.COLLAGE, read, f"n bigint, {_columns(channels)}", tile)
+
+
+def _shares(planes: np.ndarray, channels: Sequence[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Values of planes (weight, weighted values, number, values); the plain mean where all weights are 0."""
+    n = len(channels)
+    weight, number = planes[0], planes[n + 1]
+    safe = np.where(weight > 0, weight, 1.0)
+    return number > 0, {c: np.where(weight > 0, planes[1 + k] / safe, planes[n + 2 + k] / np.maximum(number, 1)) for k, c in enumerate(channels)}
+
+
+def weighted_tiles(geometry: DataFrame, images: DataFrame, gamma: float = 2.0, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """The raster (weight, weighted values, number, values) of each collage, by distances."""
+
+    def planes_of(r: dict, at: tuple, v: list[np.ndarray]) -> list[np.ndarray]:
+        weight = _distances(r, *at) ** gamma
+        return [weight, *(weight * c for c in v), np.ones(len(weight)), *v]
+
+    rows = _surrounded(geometry).join(images, ["collage_id", "image_id"])
+    return _drawn(rows, channels, planes_of, tile=tile)
+
+
+def weighted_pixels(tiles: DataFrame, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """Weighted means at each canvas pixel."""
+    return raster.to_pixels(tiles, seams.COLLAGE, lambda p: _shares(p, channels), _columns(channels), tile)
+
+
+def owner_tiles(geometry: DataFrame, images: DataFrame, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """The raster (image, its values) of the last image at each pixel; no image is minus infinity."""
+    rows = geometry.select(*GEOMETRY).join(images, ["collage_id", "image_id"])
+    return _drawn(rows, channels, lambda r, at, v: [np.full(len(at[0]), float(r["image_id"])), *v], raster.last, -np.inf, tile)
+
+
+def owner_pixels(tiles: DataFrame, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """The last image and its values at each canvas pixel."""
+    read = lambda p: (np.isfinite(p[0]), {"image_id": np.where(np.isfinite(p[0]), p[0], 0).astype(np.int32), **{c: p[k] for k, c in enumerate(channels, 1)}})
+    return raster.to_pixels(tiles, seams.COLLAGE, read, f"image_id int, {_columns(channels)}", tile)
+
+
 def average_canvas(placed: DataFrame, channels: Sequence[str] = ("v",)) -> DataFrame:
     """Mean and number of the values at each canvas pixel."""
     return placed.groupBy(*PIXEL).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in channels))
 
 
 def _surrounded(geometry: DataFrame) -> DataFrame:
-    """Geometry with the images around each image and its special points."""
-    others = near_pairs(geometry).groupBy("collage_id", F.col("ga.image_id").alias("image_id")).agg(F.collect_list("gb").alias("others"))
-    points = special_points(geometry).groupBy("collage_id", "image_id").agg(F.collect_list(F.struct("x", "y")).alias("points"))
-    return geometry.select(*GEOMETRY).join(others, ["collage_id", "image_id"], "left").join(points, ["collage_id", "image_id"], "left")
+    """Geometry with the images around each image, far enough to hold a corner of it to the nearest pixel."""
+    others = near_pairs(geometry, 1.0).groupBy("collage_id", F.col("ga.image_id").alias("image_id")).agg(F.collect_list("gb").alias("others"))
+    return geometry.select(*GEOMETRY).join(others, ["collage_id", "image_id"], "left")
 
 
 def side_points(geometry: DataFrame) -> DataFrame:
@@ -133,8 +207,8 @@ def side_points(geometry: DataFrame) -> DataFrame:
 
 
 def _distances(r: dict, y: np.ndarray, x: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> np.ndarray:
-    listed = lambda name: [] if r[name] is None else [q.asDict() if hasattr(q, "asDict") else dict(q) for q in r[name]]
-    return kernels.distances(r, listed("others"), [(p["x"], p["y"]) for p in listed("points")], y, x, sx, sy)
+    others = [] if r["others"] is None else [o.asDict() if hasattr(o, "asDict") else dict(o) for o in r["others"]]
+    return kernels.distances(r, others, kernels.special_points(r, others), y, x, sx, sy)
 
 
 def distance_map(geometry: DataFrame) -> DataFrame:
@@ -163,17 +237,9 @@ def weighted_canvas(placed: DataFrame, distances: DataFrame, gamma: float = 2.0,
     return _weighted(placed.join(distances, ["collage_id", "image_id", "y", "x"]).withColumn("wt", G.weight(F.col("d"), gamma)), channels)
 
 
-def blend_by_distance(geometry: DataFrame, images: DataFrame, gamma: float = 2.0, channels: Sequence[str] = ("v",)) -> DataFrame:
-    """Values and weights of each image's pixels in one pass, then their sums by canvas pixel."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                at = kernels.grid(r)
-                yield pd.DataFrame({**_rows(r, *at, channels), "wt": _distances(r, *at) ** gamma})
-
-    rows = _surrounded(geometry).join(images, ["collage_id", "image_id"])
-    return _weighted(rows.mapInPandas(run, f"collage_id long, image_id int, y int, x int, {', '.join(f'{c} double' for c in channels)}, wt double"), channels)
+def blend_by_distance(geometry: DataFrame, images: DataFrame, gamma: float = 2.0, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """Values weighted by a power of distances, summed by tile."""
+    return weighted_pixels(weighted_tiles(geometry, images, gamma, channels, tile), channels, tile)
 
 
 def owner(placed: DataFrame) -> DataFrame:
@@ -201,29 +267,26 @@ def border(masks: DataFrame) -> DataFrame:
     return masks.withColumn("edge", edge).where("edge").drop("edge").distinct()
 
 
-def peel(placed: DataFrame, n: int = 200) -> DataFrame:
-    """The pixels that each image keeps when masks are peeled along large smoothed differences.
+def peel(geometry: DataFrame, images: DataFrame, n: int = 200, tile: int = raster.TILE) -> DataFrame:
+    """(collage_id, image_id, y, x) that each image keeps when masks are peeled along large smoothed differences, region by region."""
+    on = seams.placed(geometry, images, tile=tile)
+    covered = seams.cover(on, tile)
+    kept = seams.peeled(seams.differences(on, covered), covered, sizes(geometry), n, tile)
+    return raster.to_pixels(kept, seams.IMAGE, lambda p: (p[0] > 0, {}), "", tile)
 
-    The order of peeling runs through a whole collage, so a collage's pixels
-    have to fit one task, each image in a box of its own.
-    """
-    rows = difference_to_average(placed, average_canvas(placed))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, parts = [], []
-        for i, part in group.groupby("image_id", sort=True):
-            y, x = part["y"].to_numpy(), part["x"].to_numpy()
-            shape = int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1
-            mask, diff = np.zeros(shape, bool), np.zeros(shape)
-            mask[y - y.min(), x - x.min()], diff[y - y.min(), x - x.min()] = True, part["v"].to_numpy()
-            ids.append(i)
-            parts.append((int(y.min()), int(x.min()), mask, kernels.smooth(diff, n)))
-        top, left = min(p[0] for p in parts), min(p[1] for p in parts)
-        kept = kernels.peel([(y - top, x - left, m, d) for y, x, m, d in parts])
-        out = []
-        for i, (y0, x0, *_), mask in zip(ids, parts, kept, strict=True):
-            y, x = np.nonzero(mask)
-            out.append(pd.DataFrame({"collage_id": group["collage_id"].iloc[0], "image_id": i, "y": y + y0, "x": x + x0}))
-        return pd.concat(out)
-
-    return rows.groupBy("collage_id").applyInPandas(run, "collage_id long, image_id int, y int, x int")
+
+def shaped_tiles(geometry: DataFrame, images: DataFrame, n: int = 200, hard: bool = False, channels: Sequence[str] = ("v",), tile: int = raster.TILE) -> DataFrame:
+    """The raster of a blend along seams: as of ``owner_tiles`` if ``hard``, else as of ``weighted_tiles``. Seams follow the first channel."""
+    on = materialize(seams.placed(geometry, images, channels, tile), "placed")
+    covered = materialize(seams.cover(on, tile), "cover")
+    whole = sizes(geometry)
+    kept = materialize(seams.peeled(seams.differences(on, covered), covered, whole, n, tile), "kept")
+    by_image = seams.hidden(on, kept) if hard else seams.weigh(on, seams.soft(kept, whole, n, tile))
+
+    def draw(r: dict) -> Iterator[raster.Box]:
+        planes = raster.box_of(r)
+        if hard:
+            planes = np.where(planes[0] > 0, np.concatenate([np.full_like(planes[:1], r["image_id"]), planes[1:]]), -np.inf)
+        yield (r["collage_id"],), r["ty"] * tile + r["y"], r["tx"] * tile + r["x"], planes
+
+    return raster.from_rows(by_image, draw, seams.COLLAGE, raster.last if hard else raster.add, tile, -np.inf if hard else 0.0)

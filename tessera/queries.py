@@ -11,6 +11,7 @@ from .functions import geometry as G
 from .jobs import collage
 from .operators import canvas, layout, matching, orient, placement
 from .sources import tables
+from .sources.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAIR = matching.PAIR
@@ -34,7 +35,7 @@ def _small(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    return placement.candidate_pairs(tables.mosaic_parts(tables.mosaic(spark, sf_dir)))
+    return placement.candidate_pairs(tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir)))
 
 
 def _scores(spark, sf_dir):
@@ -127,7 +128,7 @@ def t2_pad_sizes(spark, sf_dir):
 
 
 def _planes(spark, sf_dir):
-    return matching.planes(tables.mosaic(spark, sf_dir))
+    return tables.mosaic_planes(tables.mosaic_lines(spark, sf_dir))
 
 
 @query
@@ -354,7 +355,7 @@ def a17_error(spark, sf_dir):
 
 @query
 def a19_layout(spark, sf_dir):
-    g = tables.mosaic_geometry(tables.mosaic(spark, sf_dir))
+    g = tables.mosaic_geometry(tables.mosaic_lines(spark, sf_dir))
     side = lambda s: g.select("collage_id", F.col("image_id").alias(f"image_{s}"), F.struct("c", "s", "mx", "my").alias(f"g{s}"))
     pairs = side("a").withColumn("image_b", F.col("image_a") + 1).join(side("b"), ["collage_id", "image_b"])
     points = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((5, 45), (60, 44), (8, 62), (55, 60)))))
@@ -367,7 +368,7 @@ def a19_layout(spark, sf_dir):
 
 
 def _geometry(spark, sf_dir):
-    return tables.mosaic_geometry(tables.mosaic(spark, sf_dir))
+    return tables.mosaic_geometry(tables.mosaic_lines(spark, sf_dir))
 
 
 def _placed(spark, sf_dir):
@@ -389,7 +390,7 @@ def j7_gather(spark, sf_dir):
 
 @query
 def a11_average(spark, sf_dir):
-    return canvas.average_canvas(_placed(spark, sf_dir))
+    return collage.blend_average(_geometry(spark, sf_dir), _planes(spark, sf_dir))
 
 
 @query
@@ -436,7 +437,7 @@ def a12_colour(spark, sf_dir):
 
 @query
 def w8_owner(spark, sf_dir):
-    return canvas.owner(_placed(spark, sf_dir))
+    return canvas.owner_pixels(canvas.owner_tiles(_geometry(spark, sf_dir), _planes(spark, sf_dir)))
 
 
 @query
@@ -452,7 +453,7 @@ def w7_border(spark, sf_dir):
 
 @query
 def h5_peel(spark, sf_dir):
-    return canvas.peel(_placed(spark, sf_dir))
+    return canvas.peel(_geometry(spark, sf_dir), _planes(spark, sf_dir))
 
 
 @query
@@ -467,14 +468,14 @@ def blend_shaped_hard(spark, sf_dir):
 
 @query
 def job_collage(spark, sf_dir):
-    pixels = tables.mosaic(spark, sf_dir)
-    positions, _ = collage.collage(tables.mosaic_parts(pixels), matching.planes(pixels), pad=128, maximum=0.1)
+    lines = tables.mosaic_lines(spark, sf_dir)
+    positions, _ = collage.collage(tables.mosaic_parts(lines), tables.mosaic_planes(lines), pad=128, maximum=0.1)
     return positions.select("collage_id", "image_id", "x", "y")
 
 
 @query
 def job_match(spark, sf_dir):
-    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir))
+    parts = tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir))
     return collage.match_pairs(parts, _planes(spark, sf_dir), pad=128, maximum=0.1)
 
 
@@ -483,13 +484,13 @@ def job_resume(spark, sf_dir):
     """Some pairs are known from a state and keep what it says; the others are matched."""
     pairs = _pairs(spark, sf_dir).where("(image_a + image_b) % 3 <> 0")
     known = pairs.select("image_a", "image_b", F.when(F.col("image_b") % 2 == 0, F.lit("X")).otherwise(F.lit("-")).alias("rel"), *(F.when(F.col("image_b") % 2 == 0, F.lit(v)).alias(c) for c, v in (("dx", 1.5), ("dy", -2.0))))
-    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir))
+    parts = tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir))
     return collage.match_pairs(parts, _planes(spark, sf_dir), known, pad=128, maximum=0.1)
 
 
 @query
 def job_rotated(spark, sf_dir):
-    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir)).withColumn("dangle_deg", F.lit(None).cast("double"))
+    parts = tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir)).withColumn("dangle_deg", F.lit(None).cast("double"))
     matched = collage.match_pairs_rotated(parts, _planes(spark, sf_dir), pad=128, maximum=0.1, n=5, side=16)
     return collage.place_parts_rotated(parts, matched).select("collage_id", "image_id", "x", "y", "c", "s")
 
@@ -497,6 +498,6 @@ def job_rotated(spark, sf_dir):
 @query
 def job_process(spark, sf_dir):
     """From upright scans to the weighted canvas."""
-    parts = tables.mosaic_parts(tables.mosaic(spark, sf_dir))
-    _, _, blended = collage.process(parts, _planes(spark, sf_dir), pad=128, maximum=0.1, smooth=3)
+    parts = tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir))
+    _, _, blended = collage.process(parts, _planes(spark, sf_dir), pad=128, maximum=0.1, smooth=3, keep=lambda df: materialize(df, "job"))
     return blended

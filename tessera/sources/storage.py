@@ -1,0 +1,56 @@
+"""Tables that cut lineage, kept in the folder that every executor shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset: one beside the tables of the warehouse, if that is not
+    on a disk of each machine's own, or a temporary one if Spark runs in a
+    single process, as in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
+            if folder.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    A lost executor then costs no more than the tasks it was running. The
+    files go when the driver ends, or earlier by ``discard``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    system, target = _at(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table made by ``materialize`` that nothing reads any more."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        system, target = _at(df.sparkSession, path)
+        system.delete(target, True)

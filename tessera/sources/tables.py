@@ -12,19 +12,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of parts cut from ``embeddings``: part k is lines 40 k to 40 k + 63, four parts a collage."""
+def mosaic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of parts cut from ``embeddings``: part k is lines 40 k to 40 k + 63, four parts a collage; ``line`` has the values."""
     rows = table(spark, sf_dir, "embeddings").where("vec_id is not null")
     last = rows.agg(F.max("vec_id").alias("last"))
     k = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("vec_id") - SIDE + STEP) / STEP)), F.floor(F.col("vec_id") / STEP)))
-    cut = rows.select("vec_id", "embedding", k.alias("k")).join(F.broadcast(last), F.col("k") * STEP + SIDE - 1 <= F.col("last"))  # one row
-    lines = cut.select(F.floor(F.col("k") / PER_COLLAGE).alias("collage_id"), F.col("k").cast("int").alias("image_id"), (F.col("vec_id") - F.col("k") * STEP).cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    cut = rows.select("vec_id", F.col("embedding").alias("line"), k.alias("k")).join(F.broadcast(last), F.col("k") * STEP + SIDE - 1 <= F.col("last"))  # one row
+    return cut.select(F.floor(F.col("k") / PER_COLLAGE).alias("collage_id"), F.col("k").cast("int").alias("image_id"), (F.col("vec_id") - F.col("k") * STEP).cast("int").alias("y"), "line")
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the parts of ``mosaic_lines``."""
+    lines = mosaic_lines(spark, sf_dir).select("collage_id", "image_id", "y", F.posexplode("line").alias("x", "v"))
     return lines.select("collage_id", "image_id", "y", "x", F.col("v").cast("double").alias("v"))
 
 
-def mosaic_parts(pixels: DataFrame) -> DataFrame:
-    """The parts of a mosaic, with nothing known of them."""
-    rows = pixels.select("collage_id", "image_id").distinct()
+def mosaic_planes(lines: DataFrame) -> DataFrame:
+    """The planes of parts, put together of whole lines."""
+    ordered = F.array_sort(F.collect_list(F.struct("y", F.col("line").cast("array<double>").alias("line"))))
+    return lines.groupBy("collage_id", "image_id").agg((F.max("y") + 1).cast("int").alias("height"), F.max(F.size("line")).alias("width"), F.flatten(F.transform(ordered, lambda p: p["line"])).alias("data"))
+
+
+def mosaic_parts(lines: DataFrame) -> DataFrame:
+    """The parts of a mosaic, from its lines or pixels, with nothing known of them."""
+    rows = lines.select("collage_id", "image_id").distinct()
     return rows.withColumn("open", F.lit(True)).withColumn("x", F.lit(None).cast("double")).withColumn("y", F.lit(None).cast("double")).withColumn("angle_deg", F.lit(0.0))
 
 
@@ -77,9 +88,9 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("collage_id"), k.alias("image_id"), F.round(F.cos(angle), 9).alias("c"), F.round(F.sin(angle), 9).alias("s"), (k % 10 * 80).cast("double").alias("mx"), (F.floor(k / 10) * 60).cast("double").alias("my"), F.lit(100).alias("w"), F.lit(80).alias("h"))
 
 
-def mosaic_geometry(pixels: DataFrame) -> DataFrame:
-    """Geometry of the parts of a mosaic: each 40 lines below the one before, turned by up to half a degree."""
-    rows = pixels.select("collage_id", "image_id").distinct()
+def mosaic_geometry(lines: DataFrame) -> DataFrame:
+    """Geometry of the parts of a mosaic, from its lines or pixels: each 40 lines below the one before, turned by up to half a degree."""
+    rows = lines.select("collage_id", "image_id").distinct()
     angle = F.radians(((F.col("image_id") * 7) % 11 - 5) / 10.0)
     return rows.select("collage_id", "image_id", F.round(F.cos(angle), 9).alias("c"), F.round(F.sin(angle), 9).alias("s"), F.lit(8.0).alias("mx"), (F.col("image_id") % PER_COLLAGE * STEP + 8).cast("double").alias("my"), F.lit(SIDE).alias("w"), F.lit(SIDE).alias("h"))
 

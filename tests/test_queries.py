@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import oracle, queries
 from tessera.functions import kernels
 from tessera.jobs import collage
-from tessera.operators import matching
+from tessera.operators import canvas, matching
 from tessera.sources import tables as sources
 
 from .compare import same, tables
@@ -58,14 +58,18 @@ def test_soft_shaped_blend_weighs_by_smoothed_masks(spark, sf_dir):
     placed = queries.QUERIES["h1_resample"](spark, sf_dir).toPandas()
     kept = set(map(tuple, queries.QUERIES["h5_peel"](spark, sf_dir).toPandas()[keys].to_numpy().tolist()))
     total, s = {}, {}
+    size = {r["collage_id"]: (r["canvas_h"], r["canvas_w"]) for r in canvas.sizes(sources.mosaic_geometry(sources.mosaic_lines(spark, sf_dir))).collect()}
     for (c, _), part in placed.groupby(["collage_id", "image_id"]):
-        y0, x0 = part["y"].min(), part["x"].min()
-        mask = np.zeros((part["y"].max() - y0 + 1, part["x"].max() - x0 + 1))
+        mask = np.zeros(size[c])  # the whole canvas: smoothing is clamped at its border only
         for r in part[keys].to_numpy().tolist():
-            mask[r[2] - y0, r[3] - x0] = tuple(r) in kept
-        soft = kernels.smooth(mask, 200)
+            mask[r[2], r[3]] = tuple(r) in kept
+        for _ in range(200):
+            for axis in (0, 1):
+                p = np.pad(mask, [(1, 1) if a == axis else (0, 0) for a in (0, 1)], "edge")
+                low, mid, high = (np.take(p, np.arange(k, k + mask.shape[axis]), axis) for k in range(3))
+                mask = (low + 2 * mid + high) / 4
         for y, x, v in part[["y", "x", "v"]].itertuples(index=False):
-            w = soft[y - y0, x - x0]
+            w = mask[y, x]
             total[c, y, x], s[c, y, x] = total.get((c, y, x), 0) + w, s.get((c, y, x), 0) + w * v
     blend = queries.QUERIES["blend_shaped"](spark, sf_dir).toPandas()
     want = [s[k] / total[k] for k in zip(blend["collage_id"], blend["y"], blend["x"])]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
+
 
 def half_set(a: str, b: str) -> Column:
     """V1: exactly one of two cells that go together is set."""
@@ -101,11 +103,21 @@ def relation_mark(d: Column) -> Column:
     return F.when(d.isNull(), F.lit("-")).otherwise(F.lit("X"))
 
 
+def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """``rows`` with ``position``, their index within ``by`` in ascending ``order``.
+
+    Ranges of rows are numbered by themselves, and each begins where those
+    before it end, so a large group is no task of its own.
+    """
+    held = materialize(rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = held.groupBy(by, "_range").agg(F.count("*").alias("_n")).select(by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("_range", by).orderBy(order)) - 1
+    return held.withColumn("_at", within).join(begins, [by, "_range"]).select(*rows.columns, (F.col("_begin") + F.col("_at")).cast("int").alias("position"))
+
+
 def pin_first(parts: DataFrame, columns: list[str]) -> DataFrame:
     """Where no part of a collage has a parameter fixed, the first part's becomes 0. Adds ``position``, the index within the collage."""
-    whole, ordered = Window.partitionBy("collage_id"), Window.partitionBy("collage_id").orderBy("image_id")
-    out = parts.withColumn("position", F.row_number().over(ordered) - 1)
-    for c in columns:
-        some = F.max(F.col(c).isNotNull()).over(whole)
-        out = out.withColumn(f"_{c}", F.when(~some & (F.col("position") == 0), F.lit(0.0)).otherwise(F.col(c)))
-    return out.select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in out.columns if not (c.startswith("_") and c[1:] in columns)))
+    some = parts.groupBy("collage_id").agg(*(F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in columns))
+    pinned = {c: F.when(~F.col(f"_{c}") & (F.col("position") == 0), F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in columns}
+    return numbered(parts, "collage_id", "image_id").join(some, "collage_id").select(*(pinned.get(c, F.col(c)) for c in parts.columns), "position")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import canvas, layout, matching, orient, placement
 from ..sources import states
+from ..sources.storage import exists
 
 
 def orient_images(parts: DataFrame, images: DataFrame, maximum: float = 1.0, steps: int = 40, spectral: bool = False) -> DataFrame:
@@ -34,12 +35,14 @@ def _moved_by_corners(found: DataFrame, images: DataFrame, change) -> DataFrame:
     return change(found.join(side("a"), ["collage_id", "image_a"]).join(side("b"), ["collage_id", "image_b"]))
 
 
-def match_pairs(parts: DataFrame, images: DataFrame, relations: DataFrame | None = None, pad: int = 1024, portion: float = 0.25, maximum: float = 0.2) -> DataFrame:
-    """(collage_id, image_a, image_b, rel, dx, dy) of all candidate pairs, ``-`` for those that don't overlap.
+def match_pairs(parts: DataFrame, images: DataFrame, relations: DataFrame | None = None, pad: int = 1024, portion: float = 0.25, maximum: float = 0.2, only: Column | None = None) -> DataFrame:
+    """(collage_id, image_a, image_b, rel, dx, dy) of all candidate pairs (or ``only`` some), ``-`` for those that don't overlap.
 
-    Planes are fetched only for pairs that ``relations`` (image_a, image_b, rel, dx, dy) don't decide.
+    Planes are fetched only for pairs that ``relations`` (image_a, image_b, rel, dx, dy, and collage_id where image ids
+    aren't unique) don't decide.
     """
     pairs = placement.candidate_pairs(parts.withColumn("open", placement.is_open("x", "y")))
+    pairs = pairs if only is None else pairs.where(only)
     if relations is None:
         known = pairs.withColumn("rel", F.lit(None).cast("string")).withColumn("dx", F.lit(None).cast("double")).withColumn("dy", F.lit(None).cast("double"))
     else:
@@ -80,8 +83,25 @@ def place_parts_rotated(parts: DataFrame, matched: DataFrame) -> DataFrame:
     return layout.solve_layout(pinned, points)
 
 
+def match_in_steps(folder: str, parts: DataFrame, images: DataFrame, relations: DataFrame | None = None, steps: int = 16, **how) -> DataFrame:
+    """``match_pairs`` in ``steps`` equal shares of the pairs, each written to ``folder`` when it is done.
+
+    A job that is broken off and run again on the same folder, parts and number
+    of steps takes the shares that are complete as they are and goes on with the rest.
+    """
+    spark = parts.sparkSession
+    share = F.pmod(F.xxhash64(*matching.PAIR), F.lit(steps))
+    done = []
+    for k in range(steps):
+        path = f"{folder.rstrip('/')}/step-{k}-of-{steps}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            match_pairs(parts, images, relations, only=share == k, **how).write.mode("overwrite").parquet(path)
+        done.append(path)
+    return spark.read.parquet(*done)
+
+
 def write_state(folder: str, parts: DataFrame, matched: DataFrame) -> None:
-    """SNK2-SNK4: positions (path, angle_deg, x, y) and relations by path, displacements or points, in a folder."""
+    """SNK2-SNK4: positions (path, angle_deg, x, y) and relations by path, displacements or points, in a folder; and their collage, where they tell it."""
     states.write_positions(parts, f"{folder}/position")
     (states.write_correspondences if "pts" in matched.columns else states.write_relations)(matched, f"{folder}/relation")
 
@@ -96,12 +116,12 @@ def resume(spark: SparkSession, folder: str, rotated: bool = False) -> tuple[Dat
     parts = states.read_parts(spark, f"{folder}/position")
     relations = states.read_correspondences(spark, f"{folder}/relation") if rotated else states.read_relations(spark, f"{folder}/relation")
     if rotated:
-        swapped = F.transform("pts", lambda p: F.struct(p["xb"].alias("xa"), p["yb"].alias("ya"), p["xa"].alias("xb"), p["ya"].alias("yb")))
-        relations = relations.unionByName(relations.select(F.col("image_b").alias("image_a"), F.col("image_a").alias("image_b"), "rel", swapped.alias("pts")))
-    twice = relations.groupBy("image_a", "image_b").agg(F.count("*").alias("n")).where("n > 1").first()
+        relations = placement.swapped_points(relations)
+    of = [c for c in ["collage_id"] if c in relations.columns]
+    twice = relations.groupBy(*of, "image_a", "image_b").agg(F.count("*").alias("n")).where("n > 1").first()
     if twice:
         raise ValueError(f"the pair {twice['image_a']}, {twice['image_b']} is listed {twice['n']} times")
-    lacking = placement.unmatched_images(relations, parts.select(F.col("path").alias("image_id")))
+    lacking = placement.unmatched_images(relations, parts.select(*(c for c in of if c in parts.columns), F.col("path").alias("image_id")))
     if not lacking.isEmpty():
         warnings.warn("relations name images that the placement table lacks", stacklevel=2)
     return parts, relations

@@ -46,21 +46,35 @@ def candidate_pairs(parts: DataFrame) -> DataFrame:
     return side("a").join(side("b"), "collage_id").where("image_a < image_b and (open_a or open_b)").select("collage_id", "image_a", "image_b")
 
 
+def _pair_key(relations: DataFrame) -> list[str]:
+    """What names a pair: its images, and its collage where relations tell it (image ids may begin anew in each collage)."""
+    return [*(c for c in ["collage_id"] if c in relations.columns), "image_a", "image_b"]
+
+
 def mirrored(relations: DataFrame) -> DataFrame:
     """Relations with the reverse of each, its displacement negated."""
-    back = relations.select(F.col("image_b").alias("image_a"), F.col("image_a").alias("image_b"), "rel", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"))
-    return relations.select("image_a", "image_b", "rel", "dx", "dy").unionByName(back)
+    key = _pair_key(relations)
+    back = relations.select(*key[:-2], F.col("image_b").alias("image_a"), F.col("image_a").alias("image_b"), "rel", (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"))
+    return relations.select(*key, "rel", "dx", "dy").unionByName(back)
+
+
+def swapped_points(relations: DataFrame) -> DataFrame:
+    """Relations with points, with the reverse of each, its points swapped."""
+    key = _pair_key(relations)
+    swapped = F.transform("pts", lambda p: F.struct(p["xb"].alias("xa"), p["yb"].alias("ya"), p["xa"].alias("xb"), p["ya"].alias("yb")))
+    return relations.select(*key, "rel", "pts").unionByName(relations.select(*key[:-2], F.col("image_b").alias("image_a"), F.col("image_a").alias("image_b"), "rel", swapped.alias("pts")))
 
 
 def attach_known(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     """Candidate pairs with what is known of them."""
-    return pairs.join(relations, ["image_a", "image_b"], "left")
+    return pairs.join(relations, _pair_key(relations), "left")
 
 
 def unmatched_images(relations: DataFrame, images: DataFrame) -> DataFrame:
     """Images that relations name and the image table lacks."""
-    named = relations.select(F.explode(F.array("image_a", "image_b")).alias("image_id")).distinct()
-    return named.join(images, "image_id", "left_anti")
+    of = [c for c in ["collage_id"] if c in relations.columns and c in images.columns]
+    named = relations.select(*of, F.explode(F.array("image_a", "image_b")).alias("image_id")).distinct()
+    return named.join(images, [*of, "image_id"], "left_anti")
 
 
 def duplicate_images(parts: DataFrame, path: str = "path") -> DataFrame:
@@ -70,7 +84,7 @@ def duplicate_images(parts: DataFrame, path: str = "path") -> DataFrame:
 
 def duplicate_pairs(relations: DataFrame) -> DataFrame:
     """Pairs that occur more than once after mirroring."""
-    return mirrored(relations).groupBy("image_a", "image_b").agg(F.count("*").alias("n")).where("n > 1")
+    return mirrored(relations).groupBy(*_pair_key(relations)).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def unknown_columns(df: DataFrame, known: list[str]) -> list[str]:
@@ -92,10 +106,11 @@ def fill_down(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def header_and_details(relations: DataFrame) -> DataFrame:
-    """SNK4: a header row for each pair, then a row for each point (``pts``: array of xa, ya, xb, yb), numbered by ``pos``."""
+    """SNK4: a header row for each pair, then a row for each point (``pts``: array of xa, ya, xb, yb), numbered by ``pos``; other columns stay."""
     empty = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("xa", "ya", "xb", "yb")))
-    flat = relations.select("image_a", "image_b", "rel", F.posexplode(F.concat(F.array(empty), "pts")).alias("pos", "p"))
-    return flat.select("image_a", "image_b", "rel", "pos", "p.xa", "p.ya", "p.xb", "p.yb")
+    more = [c for c in relations.columns if c not in ("image_a", "image_b", "rel", "pts")]
+    flat = relations.select(*more, "image_a", "image_b", "rel", F.posexplode(F.concat(F.array(empty), "pts")).alias("pos", "p"))
+    return flat.select(*more, "image_a", "image_b", "rel", "pos", "p.xa", "p.ya", "p.xb", "p.yb")
 
 
 def relation_mark(d: Column) -> Column:

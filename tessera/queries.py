@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions import geometry as G
 from .jobs import collage
 from .operators import canvas, layout, matching, orient, placement
-from .sources import tables
-from .sources.storage import materialize
+from .sources import states, tables
+from .sources.storage import materialize, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAIR = matching.PAIR
@@ -481,11 +482,15 @@ def job_match(spark, sf_dir):
 
 @query
 def job_resume(spark, sf_dir):
-    """Some pairs are known from a state and keep what it says; the others are matched."""
-    pairs = _pairs(spark, sf_dir).where("(image_a + image_b) % 3 <> 0")
-    known = pairs.select("image_a", "image_b", F.when(F.col("image_b") % 2 == 0, F.lit("X")).otherwise(F.lit("-")).alias("rel"), *(F.when(F.col("image_b") % 2 == 0, F.lit(v)).alias(c) for c, v in (("dx", 1.5), ("dy", -2.0))))
-    parts = tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir))
-    return collage.match_pairs(parts, _planes(spark, sf_dir), known, pad=128, maximum=0.1)
+    """Some pairs are known from a state that was written before and keep what it says; the others are matched, share by share."""
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    parts = tables.mosaic_parts(tables.mosaic_lines(spark, sf_dir)).withColumn("path", F.concat(F.lit("scans/"), "image_id", F.lit(".jpeg")))
+    pairs = placement.candidate_pairs(parts).where("(image_a + image_b) % 3 <> 0")
+    known = pairs.select(*PAIR, F.when(F.col("image_b") % 2 == 0, F.lit("X")).otherwise(F.lit("-")).alias("rel"), *(F.when(F.col("image_b") % 2 == 0, F.lit(v)).alias(c) for c, v in (("dx", 1.5), ("dy", -2.0))))
+    collage.write_state(folder, parts, states.relations_by_path(known, parts))
+    listed, relations = collage.resume(spark, folder)
+    again = listed.join(parts.select("collage_id", "path", "image_id"), ["collage_id", "path"])
+    return collage.match_in_steps(f"{folder}/matched", again, _planes(spark, sf_dir), states.relations_by_id(relations, again), steps=2, pad=128, maximum=0.1)
 
 
 @query

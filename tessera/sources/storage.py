@@ -27,11 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _at(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = located(spark, path)
+    return system.exists(target)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -41,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    system, target = _at(spark, path)
+    system, target = located(spark, path)
     system.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -52,5 +57,5 @@ def discard(df: DataFrame | None) -> None:
     """Delete a table made by ``materialize`` that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        system, target = _at(df.sparkSession, path)
+        system, target = located(df.sparkSession, path)
         system.delete(target, True)

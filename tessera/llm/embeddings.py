@@ -14,8 +14,10 @@ returns link counts and a spanning forest of its links, so a group of copies
 or near copies never comes out as all its pairs.
 
 Null vectors or labels, zero vectors and vectors with null or non-finite
-components link with nothing. Vectors of different lengths don't link. A
-repeated id keeps one row per row. Equal cosines are no ties to break: all
+components link with nothing. Vectors of different lengths don't link. Every
+row is a vector of its own: rows that share an id share nothing else, and rows
+without id link like any other; a component's id is the smallest one in it,
+null if it has none. Equal cosines are no ties to break: all
 pairs at or above the border link. An empty table gives no rows. Further
 columns are ignored.
 """
@@ -199,8 +201,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     """One row per row of ``vectors``: id, n_links, component_id (smallest id reachable) and kept (id is component_id)."""
     eps, number = float(np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9), _number(vectors, vector_col)
     rows = materialize(_prepared(vectors, id_col, vector_col, label_col), "vectors")
-    classes = rows.where(F.col("raw").isNotNull()).groupBy("label", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    classes = materialize(classes.where("rep is not null"), "classes")
+    # Equal vectors of a label are a class, which goes by a number of its own.
+    found = rows.where(F.col("raw").isNotNull()).groupBy("label", "raw").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    classes = materialize(found.withColumn("rep", F.monotonically_increasing_id()), "classes")
     blocks = materialize(_blocks(classes, _axes(classes, number), eps, number), "blocks")
     # Blocks meet by the first cell that both span, and only if their boxes come within eps in all leading axes.
     box = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "label", "dim", "low", "high")))
@@ -237,8 +240,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     found = materialize(map_batches(pairs, run, "a bigint, b bigint, links bigint"), "links")
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("id", "rep")
-    known = classes.join(links, "rep", "left").join(components, "rep", "left").select("label", "raw", (F.coalesce("links", F.lit(0).cast("long")) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where(F.col("raw").isNotNull()).join(known, ["label", "raw"], "left").select("id", "n_links", "component_id")
+    joined = classes.select("rep", "least", "size").join(links, "rep", "left").join(components, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    ends = joined.join(least, "component").select("rep", (F.coalesce("links", F.lit(0).cast("long")) + F.col("size") - 1).alias("n_links"), "component_id")
+    linked = rows.where(F.col("raw").isNotNull()).join(classes.select("label", "raw", "rep"), ["label", "raw"]).join(ends, "rep").select("id", "n_links", "component_id")
     alone = rows.where(F.col("raw").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = linked.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).unionByName(alone)
+    out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

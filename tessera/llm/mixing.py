@@ -6,14 +6,15 @@
    source's size and the excess is shared again by weight.
 3. The flow routes words from patterns to source quotas. The k-th repetition
    of a pattern costs more than the one before, so no document is repeated
-   while a fresh one would serve. A source that shares no document with others
-   is a flow of its own, which is its quota; sources that do are solved
-   together, each connected group of them in a task.
+   while a fresh one would serve. Each connected group of sources that share
+   documents is a flow of its own and is solved in a task.
 4. A pattern's flow is so many whole copies and a rest. The rest goes to
    documents in the order of a seeded hash, up to the first that doesn't fit,
-   then on to later ones that are small enough, and then to a few that fit
-   well, fresh ones first. Cuts are found by sums of hash buckets, level by
-   level, so no source is ever gathered or sorted as a whole.
+   then on to later ones that are small enough, then to some that fit well,
+   fresh ones first, and last to one more that goes beyond the flow, if that is
+   nearer. Cuts are found by sums of hash buckets, level by level, so no large
+   source is ever gathered or sorted. A pattern of ``FEW`` documents or less
+   gets the sum of copies that is nearest of all.
 
 Tables of sources and patterns stay Spark tables, so there is no limit to
 their number. A task holds the patterns (not the documents) of one connected
@@ -42,6 +43,8 @@ from .storage import materialize
 LEVELS = (12, 12)
 #: Cuts through the documents of a pattern, and single documents after them that fit the rest best.
 CUTS, PICKS = 2, 4
+#: Documents of a pattern whose copies are chosen together, and the steps in which their sizes are counted there.
+FEW, STEPS = 64, 1 << 18
 #: The share of a pattern's flow that is near enough.
 NEAR = 0.0005
 SEED = 17
@@ -139,25 +142,21 @@ def _keyed(docs: DataFrame, sources: Column, id_col: str, text_col: str, seed: i
 
 def _flows(patterns: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
     """(pattern, size, taken) of every pattern: words to take, all repetitions together."""
-    lone = F.size("sources") == 1
     quota = sources.select("at", F.col("source"), F.round("target").cast("long").alias("quota"))
     members = patterns.select("_mix_pattern", "size", F.size("sources").alias("n"), F.explode("sources").alias("of")).join(quota, F.col("of").eqNullSafe(F.col("source"))).select("_mix_pattern", "size", "n", "at", "quota")
     shared = members.where("n > 1").groupBy("_mix_pattern").agg(F.collect_set("at").alias("ats"))
     edges = shared.select(F.array_min("ats").alias("a"), F.explode("ats").alias("b")).where("a <> b")
     alone = patterns.where(F.size("sources") == 0).select("_mix_pattern", "size", F.lit(0).cast("long").alias("taken"))
-    if edges.isEmpty():
-        return alone.unionByName(members.select("_mix_pattern", "size", F.col("quota").alias("taken")))
     groups = connected_components(edges).withColumnRenamed("id", "at")
-    placed = members.join(groups, "at", "left")
-    single = placed.where(F.col("component").isNull()).select("_mix_pattern", "size", F.col("quota").alias("taken"))
+    placed = members.join(groups, "at", "left").withColumn("component", F.coalesce("component", "at"))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         found = [Pattern(key, tuple(rows["at"]), int(rows["size"].iloc[0])) for key, rows in part.sort_values("at").groupby("_mix_pattern", sort=True)]
         taken = min_cost_flow(found, dict(zip(part["at"].tolist(), part["quota"].tolist(), strict=True)), repeats)
         return pd.DataFrame({"_mix_pattern": [p.key for p in found], "size": [p.size for p in found], "taken": [taken[p.key] for p in found]})
 
-    solved = placed.where(F.col("component").isNotNull()).groupBy("component").applyInPandas(solve, "_mix_pattern string, size bigint, taken bigint")
-    return alone.unionByName(single).unionByName(solved)
+    solved = placed.groupBy("component").applyInPandas(solve, "_mix_pattern string, size bigint, taken bigint")
+    return alone.unionByName(solved)
 
 
 def _cut(sized: DataFrame, state: DataFrame) -> DataFrame:
@@ -180,14 +179,57 @@ def _cut(sized: DataFrame, state: DataFrame) -> DataFrame:
     return state.select("_mix_pattern", F.when(F.col("low") == TOP, F.col("low")).otherwise(F.col("low") - 1).alias("upto"), "left")
 
 
+def nearest_copies(sizes: Sequence[int], goal: int, repeats: int, steps: int = STEPS) -> list[int]:
+    """How often to take each document so that the sum of sizes comes nearest to ``goal``; repeats only where fresh ones don't do.
+
+    Sums that can be reached are bits of a number, in units of the total over ``steps``.
+    """
+    unit = max(1, -(-repeats * sum(sizes) // steps))
+    turns = [(k, max(1, round(s / unit))) for _ in range(repeats) for k, s in enumerate(sizes) if s > 0]
+    reached = [1]
+    for _, size in turns:
+        reached.append(reached[-1] | reached[-1] << size)
+    sums, want = reached[-1], round(goal / unit)
+    below = sums & ((1 << (want + 1)) - 1)
+    low = below.bit_length() - 1
+    above = sums >> want
+    high = want + (above & -above).bit_length() - 1 if above else None
+    best = low if high is None or want - low <= high - want else high
+    out = [0] * len(sizes)
+    for n in range(len(turns), 0, -1):
+        if not reached[n - 1] >> best & 1:  # without this turn the sum is out of reach
+            k, size = turns[n - 1]
+            out[k] += 1
+            best -= size
+    return out
+
+
+def _picked(sized: DataFrame, chosen: DataFrame, repeats: int) -> DataFrame:
+    """(pattern, picks) of the small patterns, chosen together."""
+    small = chosen.where(F.col("few")).select("_mix_pattern", "taken")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        # Rows of equal hash go together, as one.
+        units = group.groupby("_mix_h", sort=True)["_mix_size"].sum()
+        copies = nearest_copies(units.tolist(), int(group["taken"].iloc[0]), repeats)
+        return pd.DataFrame({"_mix_pattern": [group["_mix_pattern"].iloc[0]], "chosen": [[h for h, n in zip(units.index.tolist(), copies, strict=True) for _ in range(n)]]})
+
+    return sized.join(small, "_mix_pattern").select("_mix_pattern", "_mix_h", "_mix_size", "taken").groupBy("_mix_pattern").applyInPandas(run, "_mix_pattern string, chosen array<bigint>")
+
+
 def plan(sized: DataFrame, weights: Sequence[float], repeats: int) -> tuple[DataFrame, DataFrame]:
     """(pattern, copies, cuts, picks) and (source, source_size, target), from rows of pattern, sources, size and hash."""
-    patterns = sized.groupBy("_mix_pattern").agg(F.array_distinct(F.first("_mix_sources")).alias("sources"), F.sum("_mix_size").alias("size"))
+    patterns = sized.groupBy("_mix_pattern").agg(F.array_distinct(F.first("_mix_sources")).alias("sources"), F.sum("_mix_size").alias("size"), (F.count("*") <= FEW).alias("few"))
     patterns = materialize(patterns.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))), "patterns")
     sources = materialize(_sources(patterns, weights, repeats), "targets")
     whole = F.when(F.col("size") > 0, F.floor(F.call_function("try_divide", F.col("taken").cast("double"), F.col("size")))).otherwise(0).cast("long")
     chosen = _flows(patterns, sources, repeats).select("_mix_pattern", "taken", whole.alias("copies"), (F.col("taken") - whole * F.col("size")).alias("left"))
     chosen = materialize(chosen.select("*", F.array().cast("array<struct<after: bigint, upto: bigint, most: bigint>>").alias("cuts"), F.array().cast("array<bigint>").alias("picks")), "chosen")
+    # Small patterns are chosen together, from nothing; the rest goes on by cuts.
+    few = chosen.join(patterns.select("_mix_pattern", "few"), "_mix_pattern")
+    picked = _picked(sized, few, repeats)
+    small = few.where("few").join(picked, "_mix_pattern", "left").select("_mix_pattern", F.lit(0).cast("long").alias("copies"), "cuts", F.coalesce("chosen", "picks").alias("picks"))
+    chosen = materialize(few.where("not few").drop("few"), "chosen")
     far = F.col("left") > NEAR * F.col("taken")
     for turn in range(CUTS):
         state = chosen.where(far & (F.col("copies") < repeats)).select("_mix_pattern", "left", F.lit(-1).cast("long").alias("after") if turn == 0 else F.get("cuts", F.lit(turn - 1))["upto"].alias("after"), F.lit(TOP).alias("most") if turn == 0 else F.col("left").alias("most"))
@@ -195,14 +237,17 @@ def plan(sized: DataFrame, weights: Sequence[float], repeats: int) -> tuple[Data
         reached = _cut(sized, state).withColumnRenamed("left", "now").join(state.select("_mix_pattern", "after", "most"), "_mix_pattern")
         cut = F.struct("after", "upto", "most")
         chosen = materialize(chosen.join(reached, "_mix_pattern", "left").select("_mix_pattern", "taken", "copies", F.coalesce("now", "left").alias("left"), F.when(F.col("now").isNotNull(), F.concat("cuts", F.array(cut))).otherwise(F.col("cuts")).alias("cuts"), "picks"), "chosen")
-    for _ in range(PICKS):
+    for turn in range(PICKS + 1):
+        beyond = turn == PICKS  # the last one may go beyond the rest, if that is nearer
         rows = sized.join(chosen.where(far), "_mix_pattern").where("_mix_size > 0").withColumn("n", _copies()).where(F.col("n") < repeats)
         # Rows of equal hash go together, as one.
-        units = rows.groupBy("_mix_pattern", "_mix_h", "left").agg(F.sum("_mix_size").alias("size"), F.max("n").alias("n")).where("size <= left")
+        units = rows.groupBy("_mix_pattern", "_mix_h", "left").agg(F.sum("_mix_size").alias("size"), F.max("n").alias("n")).where("size < 2 * left" if beyond else "size <= left")
         # One that fills half of the rest, a fresh one if possible; else the largest.
-        best = units.groupBy("_mix_pattern").agg(F.max(F.struct((2 * F.col("size") >= F.col("left")).alias("much"), F.when(2 * F.col("size") >= F.col("left"), -F.col("n")).alias("fresh"), "size", "_mix_h")).alias("best"))
+        rank = F.struct((-F.abs(F.col("left") - F.col("size"))).alias("near"), (-F.col("n")).alias("fresh"), "size", "_mix_h") if beyond else F.struct((2 * F.col("size") >= F.col("left")).alias("much"), F.when(2 * F.col("size") >= F.col("left"), -F.col("n")).alias("fresh"), "size", "_mix_h")
+        best = units.groupBy("_mix_pattern").agg(F.max(rank).alias("best"))
         joined = chosen.join(best, "_mix_pattern", "left")
         chosen = materialize(joined.select("_mix_pattern", "taken", "copies", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), "cuts", F.when(F.col("best").isNotNull(), F.concat("picks", F.array("best._mix_h"))).otherwise(F.col("picks")).alias("picks")), "chosen")
+    chosen = chosen.select("_mix_pattern", "copies", "cuts", "picks").unionByName(small)
     return chosen.select(F.col("_mix_pattern").alias("_mix_of"), F.col("copies").alias("_mix_copies"), F.col("cuts").alias("_mix_cuts"), F.col("picks").alias("_mix_picks")), sources.select("source", "source_size", "target")
 
 

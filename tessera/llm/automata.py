@@ -1,28 +1,41 @@
-"""Stochastic automata inferred from strings by merging compatible prefix-tree states."""
+"""Stochastic automata inferred from strings by merging compatible prefix-tree states.
+
+A string comes as two of one length: its shape, whose symbols the automaton
+moves by, and its letters, finer symbols that each state has frequencies of.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections import deque
+from collections.abc import Iterable
 
 END = ""
+#: Strings that a state has to have seen before it is merged with another one, or before what it has not seen counts as impossible.
+LEAST = 20
 
 
 class Automaton:
-    """A probabilistic automaton: for each state, transitions and ends with their frequencies."""
+    """A probabilistic automaton: for each state, transitions, and frequencies of shape symbols (and ends) and of their letters."""
 
-    def __init__(self, moves: list[dict[str, int]], counts: list[dict[str, int]], alphabet: int):
-        self.moves, self.counts, self.alphabet = moves, counts, alphabet
+    def __init__(self, moves: list[dict[str, int]], counts: list[dict[str, int]], letters: list[dict[str, int]], alphabet: int, fine: int):
+        self.moves, self.counts, self.letters, self.alphabet, self.fine = moves, counts, letters, alphabet, fine
         self._total = [sum(c.values()) for c in counts]
 
-    def bits(self, symbols: str) -> float:
-        """Mean log2 probability of a symbol, with the end as one more; unseen steps have a smoothed share and return to the start."""
-        state, total = 0, 0.0
-        for s in (*symbols, END):
-            seen = self.counts[state].get(s, 0)
-            total += math.log2((seen + 0.5) / (self._total[state] + 0.5 * (self.alphabet + 1)))
+    def bits(self, shape: str, letters: str) -> tuple[float, bool]:
+        """Mean log2 probability of a step, the end among them, and whether every step was seen where enough strings passed.
+
+        Unseen steps have a smoothed share and return to the start.
+        """
+        state, total, sure = 0, 0.0, True
+        for s, c in zip((*shape, END), (*letters, END), strict=True):
+            seen, of = self.counts[state].get(s, 0), self._total[state]
+            sure = sure and (seen > 0 or of < LEAST)
+            total += math.log2((seen + 0.5) / (of + 0.5 * (self.alphabet + 1)))
+            if s != END:
+                total += math.log2((self.letters[state].get(s + c, 0) + 0.5) / (seen + 0.5 * self.fine))
             state = self.moves[state].get(s, 0)
-        return total / (len(symbols) + 1)
+        return total / (len(shape) + 1), sure
 
 
 def _differ(n: int, of_n: int, m: int, of_m: int, bound: float) -> bool:
@@ -30,66 +43,85 @@ def _differ(n: int, of_n: int, m: int, of_m: int, bound: float) -> bool:
     return of_n > 0 and of_m > 0 and abs(n / of_n - m / of_m) > bound * (1 / math.sqrt(of_n) + 1 / math.sqrt(of_m))
 
 
-def infer(strings: Iterable[Sequence[str]], alpha: float = 0.05) -> Automaton:
-    """The automaton of a sample of strings.
+def infer(strings: Iterable[tuple[str, str]], alpha: float = 0.05) -> Automaton:
+    """The automaton of a sample of (shape, letters).
 
-    States of the prefix tree are met breadth first. Each is merged into the
-    first kept state whose frequencies, and those of all states below both,
-    agree within the Hoeffding bound at level ``alpha``; otherwise it is kept.
+    States of the prefix tree are met breadth first. One that ``LEAST`` strings
+    have passed is merged into the first kept state of which that is true, too,
+    and whose frequencies, and those of all states below both, agree within the
+    Hoeffding bound at level ``alpha``; otherwise it is kept. States that fewer
+    strings have passed say too little to be merged and stay as they are.
     """
     moves: list[dict[str, int]] = [{}]
     counts: list[dict[str, int]] = [{}]
-    for string in sorted(strings):
+    fine: list[dict[str, int]] = [{}]
+    passed = [0]
+    for shape, letters in sorted(strings):
         state = 0
-        for s in (*string, END):
+        passed[0] += 1
+        for s, c in zip((*shape, END), (*letters, END), strict=True):
             counts[state][s] = counts[state].get(s, 0) + 1
             if s != END:
+                fine[state][s + c] = fine[state].get(s + c, 0) + 1
                 if s not in moves[state]:
                     moves[state][s] = len(moves)
                     moves.append({})
                     counts.append({})
+                    fine.append({})
+                    passed.append(0)
                 state = moves[state][s]
+                passed[state] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
     def agree(a: int, b: int) -> bool:
-        open_ = [(a, b)]
+        open_, met = [(a, b)], set()
         while open_:
             a, b = open_.pop()
+            if (a, b) in met:
+                continue
+            met.add((a, b))
             of_a, of_b = sum(counts[a].values()), sum(counts[b].values())
-            for s in {*counts[a], *counts[b]}:
-                if _differ(counts[a].get(s, 0), of_a, counts[b].get(s, 0), of_b, bound):
-                    return False
-                if s in moves[a] and s in moves[b] and moves[a][s] != moves[b][s]:
-                    open_.append((moves[a][s], moves[b][s]))
+            if any(_differ(counts[a].get(s, 0), of_a, counts[b].get(s, 0), of_b, bound) for s in {*counts[a], *counts[b]}):
+                return False
+            of = {s[0] for s in {*fine[a], *fine[b]}}
+            if any(_differ(fine[a].get(s, 0), counts[a].get(s[0], 0), fine[b].get(s, 0), counts[b].get(s[0], 0), bound) for s in {*fine[a], *fine[b]} if s[0] in of):
+                return False
+            open_ += [(moves[a][s], moves[b][s]) for s in moves[a] if s in moves[b] and moves[a][s] != moves[b][s]]
         return True
 
+    kept, order = {0}, [0]
+    waiting = deque((0, s) for s in sorted(moves[0]))
+
     def fold(a: int, b: int) -> None:
         """Add the tree below ``b`` to the state ``a``."""
         open_ = [(a, b)]
         while open_:
             a, b = open_.pop()
-            for s, n in counts[b].items():
-                counts[a][s] = counts[a].get(s, 0) + n
+            passed[a] += passed[b]
+            for have, more in ((counts[a], counts[b]), (fine[a], fine[b])):
+                for s, n in more.items():
+                    have[s] = have.get(s, 0) + n
             for s, below in moves[b].items():
                 if s in moves[a]:
                     open_.append((moves[a][s], below))
                 else:
                     moves[a][s] = below
+                    if a in kept:
+                        waiting.append((a, s))
 
-    kept = [0]
-    while True:
-        waiting = [(s, k) for k in kept for s in sorted(moves[k]) if moves[k][s] not in kept]
-        if not waiting:
-            break
-        s, k = waiting[0]
+    while waiting:
+        k, s = waiting.popleft()
         state = moves[k][s]
-        for other in kept:
-            if agree(other, state):
-                moves[k][s] = other
-                fold(other, state)
-                break
+        if state in kept:
+            continue
+        same = next((o for o in order if passed[o] >= LEAST and agree(o, state)), None) if passed[state] >= LEAST else None
+        if same is None:
+            kept.add(state)
+            order.append(state)
+            waiting += [(state, t) for t in sorted(moves[state])]
         else:
-            kept.append(state)
-    place = {k: i for i, k in enumerate(kept)}
-    alphabet = len({s for k in kept for s in counts[k] if s != END})
-    return Automaton([{s: place[t] for s, t in moves[k].items()} for k in kept], [counts[k] for k in kept], alphabet)
+            moves[k][s] = same
+            fold(same, state)
+    place = {k: i for i, k in enumerate(order)}
+    alphabet = len({s for k in order for s in counts[k] if s != END})
+    return Automaton([{s: place[t] for s, t in moves[k].items()} for k in order], [counts[k] for k in order], [fine[k] for k in order], alphabet, len({s[1:] for k in order for s in fine[k]}))

@@ -20,22 +20,38 @@ class Automaton:
 
     def __init__(self, moves: list[dict[str, int]], counts: list[dict[str, int]], letters: list[dict[str, int]], alphabet: int, fine: int):
         self.moves, self.counts, self.letters, self.alphabet, self.fine = moves, counts, letters, alphabet, fine
-        self._total = [sum(c.values()) for c in counts]
-
-    def bits(self, shape: str, letters: str) -> tuple[float, bool]:
+        # Per state: the total, the share of an unseen step, and by step (shape symbol and letter) its log2 probability and the state it leads to.
+        total = [sum(c.values()) for c in counts]
+        self._known = [n < LEAST for n in total]
+        self._unseen = [math.log2(0.5 / (n + 0.5 * (alphabet + 1))) for n in total]
+        share = lambda k, s: math.log2((counts[k][s] + 0.5) / (total[k] + 0.5 * (alphabet + 1)))
+        self._ends = [share(k, END) if END in c else None for k, c in enumerate(counts)]
+        self._steps = [{sc: (share(k, sc[0]) + math.log2((n + 0.5) / (counts[k][sc[0]] + 0.5 * fine)), moves[k][sc[0]]) for sc, n in f.items()} for k, f in enumerate(letters)]
+
+    def bits(self, shape: str, letters: str, early: bool = False) -> tuple[float, bool]:
         """Mean log2 probability of a step, the end among them, and whether every step was seen where enough strings passed.
 
-        Unseen steps have a smoothed share and return to the start.
+        Unseen steps have a smoothed share and return to the start; ``early`` ends at one that is sure to be impossible.
         """
         state, total, sure = 0, 0.0, True
-        for s, c in zip((*shape, END), (*letters, END), strict=True):
-            seen, of = self.counts[state].get(s, 0), self._total[state]
-            sure = sure and (seen > 0 or of < LEAST)
-            total += math.log2((seen + 0.5) / (of + 0.5 * (self.alphabet + 1)))
-            if s != END:
-                total += math.log2((self.letters[state].get(s + c, 0) + 0.5) / (seen + 0.5 * self.fine))
-            state = self.moves[state].get(s, 0)
-        return total / (len(shape) + 1), sure
+        for s, c in zip(shape, letters, strict=True):
+            step = self._steps[state].get(s + c)
+            if step is None:
+                seen = self.counts[state].get(s, 0)
+                if seen:  # the shape is known here, the letter is not
+                    of = sum(self.counts[state].values())
+                    step = math.log2((seen + 0.5) / (of + 0.5 * (self.alphabet + 1))) + math.log2(0.5 / (seen + 0.5 * self.fine)), self.moves[state][s]
+                else:
+                    sure = sure and self._known[state]
+                    if early and not sure:
+                        return -math.inf, False
+                    step = self._unseen[state] + math.log2(1 / self.fine), 0
+            total += step[0]
+            state = step[1]
+        end = self._ends[state]
+        if end is None:
+            end, sure = self._unseen[state], sure and self._known[state]
+        return (total + end) / (len(shape) + 1), sure
 
 
 def _differ(n: int, of_n: int, m: int, of_m: int, bound: float) -> bool:

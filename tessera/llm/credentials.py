@@ -170,13 +170,15 @@ class Formats(NamedTuple):
     def score(self, value: str) -> tuple[str, float] | None:
         """The likeliest format of a candidate and its advantage over the background in bits per symbol, or None."""
         s = symbols(value)
-        ground = self.background.bits(*s)[0] if self.background else -8.0
         best = None
         for kind, (automaton, least) in self.automata.items():
-            bits, sure = automaton.bits(*s)
-            if sure and bits >= least and bits - ground >= ADVANTAGE and (best is None or bits - ground > best[1]):
-                best = (kind, bits - ground)
-        return best
+            bits, sure = automaton.bits(*s, early=True)
+            if sure and bits >= least and (best is None or bits > best[1]):
+                best = (kind, bits)
+        if best is None:
+            return None
+        ahead = best[1] - (self.background.bits(*s)[0] if self.background else -8.0)
+        return (best[0], ahead) if ahead >= ADVANTAGE else None
 
 
 def learn(docs: DataFrame, text_col: str) -> Formats:

@@ -150,9 +150,15 @@ def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, na: np.ndarray
     return -more * v * slope(x) / p(x) - less * u * slope(y) / p(y) + equal * (v * slope(x) + u * slope(y)) / rest >= 0
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """The ids of pairs (a, b), each side made distinct by itself, as a hub is in many pairs."""
+    side = lambda c: pairs.select(F.col(c).alias("id")).distinct()
+    return side("a").unionByName(side("b"))
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches leave possible."""
-    asked = _asked(reps.select("id", "n_shingles", "registers"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    asked = _asked(reps.select("id", "n_shingles", "registers"), _named(pairs))
     side = lambda c: asked.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
@@ -211,7 +217,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets reach the threshold. A hub of many pairs has its set copied, so no task gets all of them."""
     uses = pairs.groupBy("a").agg(F.count("*").alias("uses"))
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), size, id_col, text_col)
+    sets = _sets(docs, _named(pairs), size, id_col, text_col)
     copies = F.ceil(F.col("uses") / HUB_ROWS).cast("int")
     # Both joins begin with the sets dealt by id, so these are shuffled once.
     hubs = sets.join(uses.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("shingles").alias("s_a"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))

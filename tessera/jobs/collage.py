@@ -14,10 +14,13 @@ from ..sources import states
 from ..sources.storage import exists
 
 
-def orient_images(parts: DataFrame, images: DataFrame, maximum: float = 1.0, steps: int = 40, spectral: bool = False) -> DataFrame:
-    """Angles of all parts: given ones stay, the others are found by row profiles, or with ``spectral`` from power spectra (H6)."""
+def orient_images(parts: DataFrame, images: DataFrame, maximum: float = 1.0, steps: int = 40, spectral: bool = False, levels: int = 0) -> DataFrame:
+    """Angles of all parts: given ones stay, the others are found by row profiles, with ``levels`` from few angles to fine ones, or with ``spectral`` from power spectra (H6)."""
     unknown = images.join(parts.where("angle_deg is null").select("collage_id", "image_id"), ["collage_id", "image_id"], "left_semi")
-    angles = orient.spectral_angles(unknown, maximum) if spectral else orient.find_angles(unknown, maximum, steps)
+    if spectral:
+        angles = orient.spectral_angles(unknown, maximum)
+    else:
+        angles = orient.find_angles_by_levels(unknown, maximum, steps, levels) if levels else orient.find_angles(unknown, maximum, steps)
     found = angles.select("collage_id", "image_id", F.col("angle_deg").alias("found"))
     return parts.join(found, ["collage_id", "image_id"], "left").withColumn("angle_deg", F.coalesce("angle_deg", "found", F.lit(0.0))).drop("found")
 

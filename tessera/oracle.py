@@ -220,3 +220,6 @@ SQL: dict[str, str] = {
     "job_rotated": _with(PX, IMG, then="select collage_id, image_id, 0.0::double as x, 40.0::double * (image_id - min(image_id) over (partition by collage_id)) as y, 1.0::double as c, 0.0::double as s from img"),
     "job_process": _with(PX, IMG, then=f"select collage_id, y + 40 * (image_id - first) as y, x, {_R('avg(v)', 'v')} from px join (select collage_id, min(image_id) as first from img group by collage_id) using (collage_id) group by collage_id, y + 40 * (image_id - first), x"),
 }
+
+# Planes as tiles give what whole planes do.
+SQL |= {f"{name}_blocks": SQL[f"{name}_match"] for name in ("h2", "h2b")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .jobs import collage
-from .operators import canvas, layout, matching, orient, placement
+from .operators import blocks, canvas, layout, matching, orient, placement
 from .sources import states, tables
 from .sources.storage import materialize, shared_folder
 
@@ -142,6 +142,26 @@ def h2b_match(spark, sf_dir):
     return matching.match(_pairs(spark, sf_dir), _planes(spark, sf_dir), pad=32, maximum=0.1).withColumn("overlaps", F.col("overlaps").cast("int"))
 
 
+@query
+def h2_blocks(spark, sf_dir):
+    planes = _planes(spark, sf_dir)
+    tiles = materialize(blocks.tiles_of(planes, 32), "tiles")
+    return blocks.match_once(_pairs(spark, sf_dir), tiles, blocks.sizes_of(planes), PORTION, 32)
+
+
+@query
+def h2b_blocks(spark, sf_dir):
+    planes = _planes(spark, sf_dir)
+    tiles = materialize(blocks.tiles_of(planes, 32), "tiles")
+    found = blocks.match(_pairs(spark, sf_dir), tiles, blocks.sizes_of(planes), 32, PORTION, 0.1, 32, keep=lambda df: materialize(df, "job"))
+    return found.withColumn("overlaps", F.col("overlaps").cast("int"))
+
+
+@query
+def a3_levels(spark, sf_dir):
+    return orient.find_angles_by_levels(_planes(spark, sf_dir))
+
+
 @query
 def h2c_stamps(spark, sf_dir):
     found = matching.match_stamps(_pairs(spark, sf_dir), _planes(spark, sf_dir), pad=128, maximum=0.1, n=5, side=16)

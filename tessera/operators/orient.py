@@ -59,17 +59,23 @@ def find_angles(images: DataFrame, maximum: float = 1.0, steps: int = 40) -> Dat
 
 
 def _climb(plane: np.ndarray, maximum: float, steps: int, levels: int) -> tuple[int, float]:
-    """The sharpest test angle of a plane, as its number and score: every 2^levels-th on a plane shrunk by as much, then those between the best and its neighbours on planes twice as large."""
+    """The sharpest test angle of a plane, as its number and score: every 2^levels-th first, then in halves of that step those beside the best.
+
+    Before the last level the plane is shrunk so far that neighbouring angles
+    move the ends of its rows by about a pixel, and centred, as the surroundings are 0.
+    """
+    each = 2.0 * maximum / steps
 
     def score(k: int, small: np.ndarray) -> float:
-        rows = kernels.turn(small, -maximum + k * (2.0 * maximum) / steps)[0].sum(1)
+        rows = kernels.turn(small, -maximum + k * each)[0].sum(1)
         return float((np.diff(rows) ** 2).sum())
 
-    best, at = None, list(range(0, steps + 1, 1 << levels))
-    for level in range(levels, -1, -1):
-        small = kernels.shrink(plane, *(min(1 << level, n) for n in plane.shape))
-        if best is not None:
-            at = [k for k in (best[1] - (1 << level), best[1], best[1] + (1 << level)) if 0 <= k <= steps]
+    best = max((score(k, plane), k) for k in range(steps + 1)) if levels <= 0 else None
+    for level in range(levels, -1, -1) if levels > 0 else ():
+        stride = 1 << level
+        by = max(1, int(plane.shape[1] * np.radians(stride * each)))
+        small = kernels.shrink(plane - plane.mean(), *(min(by, n) for n in plane.shape)) if level else plane
+        at = range(0, steps + 1, stride) if best is None else (k for k in (best[1] - stride, best[1], best[1] + stride) if 0 <= k <= steps)
         best = max((score(k, small), k) for k in at)
     return best[1], best[0]
 
@@ -77,8 +83,9 @@ def _climb(plane: np.ndarray, maximum: float, steps: int, levels: int) -> tuple[
 def find_angles_by_levels(images: DataFrame, maximum: float = 1.0, steps: int = 40, levels: int = 3) -> DataFrame:
     """As ``find_angles``, from few angles of small planes to fine ones: with 41 angles, three full turns in place of 41.
 
-    The sharpness of a plane shrunk by k has a peak k times as wide, so the few
-    angles don't miss it; planes whose sharpness has several peaks of like height may end at another one.
+    The sharpness of a shrunk plane has a wider peak, so the few angles don't
+    miss it. The end may be a step or two from that of all angles where the
+    sharpness is flat, and elsewhere where it has several peaks of like height.
     """
 
     def change(row, plane):

@@ -13,6 +13,8 @@ sets agree in a register about as often as their Jaccard similarity says.
    on full sets. Components grow with each round of hubs.
 4. Compare the sketches of what is left in different components of one bucket
    block by block inside tasks, each pair in the first bucket that it shares.
+   Where many buckets hold the same large component, its members and all that
+   meet them are sent once for all these buckets, if that takes fewer rows.
    The few pairs that stay possible are verified on full sets. A block pair
    with many of them is cut by the bytes of its sets and compared on full sets
    inside tasks, and a spanning forest of its links leaves the task. So no
@@ -56,6 +58,8 @@ MARGIN = 0.11
 HUB_ROWS = 500
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 256
+#: Band of the buckets that stand for all buckets of a component.
+JOINT = 63
 #: Pairs for each row that a block pair may leave to be verified elsewhere, and shingles of a block whose full sets are compared inside a task.
 LEFT, SHINGLES = 2, 1 << 20
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; its size doesn't grow.
@@ -282,37 +286,70 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def _possible(x: int, regs: np.ndarray, sizes: np.ndarray, others: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Those of ``others`` that sizes and sketches leave possible as partners of ``x`` and that share no band with it before ``band``."""
+    """Those of ``others`` that sizes and sketches leave possible as partners of ``x`` and whose first common band with it is ``band`` (``JOINT``: any)."""
     others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
     if not len(others):
         return others
     more, less = (regs[x] > regs[others]).sum(axis=1), (regs[x] < regs[others]).sum(axis=1)
     others = others[likely(REGISTERS - more - less, more, less, np.full(len(others), float(sizes[x])), sizes[others].astype(float), percent / 100 - MARGIN)]
     agree = (regs[others] == regs[x]).reshape(len(others), REGISTERS // BAND, BAND).all(axis=2)
-    return others[agree.argmax(axis=1) == band] if len(others) else others
+    if not len(others):
+        return others
+    return others[agree.any(axis=1) if band == JOINT else agree.argmax(axis=1) == band]
+
+
+def _rows(core, rest):
+    """Rows that block pairs of a core and a rest of these sizes take."""
+    return core * F.ceil(rest / BLOCK) + rest * F.ceil(core / BLOCK)
+
 
+def _meetings(members: DataFrame, top: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who meets the largest components of buckets: (largest, id, component) once for all buckets, and by component the rows that block pairs take.
 
-def _blocks(members: DataFrame) -> DataFrame:
+    The second table has ``core`` and ``rest`` (members and others in all its
+    buckets), ``apart`` and ``joint`` (rows of core and rest by bucket and
+    once for all) and ``among`` (rows of rests with themselves).
+    """
+    kin = materialize(members.select("largest", "id", "component").distinct(), "kin")
+    rest = F.col("n") - F.col("core")
+    by_bucket = top.groupBy("largest").agg(F.sum(_rows(F.col("core"), rest)).alias("apart"), F.sum(F.when(rest > 1, rest * F.ceil(rest / BLOCK)).otherwise(0)).alias("among"))
+    sizes = kin.groupBy("largest").agg(F.count_if(F.col("component") == F.col("largest")).alias("core"), F.count_if(F.col("component") != F.col("largest")).alias("rest"))
+    return kin, materialize(sizes.join(by_bucket, "largest").withColumn("joint", _rows(F.col("core"), F.col("rest"))), "meetings")
+
+
+def _blocks(members: DataFrame, kin: DataFrame, meetings: DataFrame) -> DataFrame:
     """(bucket, i, j, side, id, component) of the block pairs of each bucket, from (bucket, id, component, largest, core, n).
 
     The largest component of a bucket, its core, needs no comparing with itself.
     Core and rest are cut into blocks; a block of the rest meets each block of
-    the core and of the rest.
+    the core and of the rest. Cores meet rests once for all buckets of a
+    component (a bucket of band ``JOINT``) where that takes fewer rows.
     """
     inner = F.col("component") == F.col("largest")
-    cores, rests = F.ceil(F.col("core") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("core")) / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
-    own, each = F.col("own"), lambda n: F.sequence(F.lit(0), n - 1)
-    of_core = F.transform(each(rests), lambda r: cell(-1 - own, r, F.lit(0)))
-    of_rest = F.concat(F.transform(each(cores), lambda k: cell(-1 - k, own, F.lit(1))), F.transform(each(rests), lambda o: cell(F.least(own, o), F.greatest(own, o), F.when(own <= o, 0).otherwise(1))))
-    placed = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), F.when(inner, cores).otherwise(rests)).cast("int"))
-    return placed.withColumn("cell", F.explode(F.when(inner, of_core).otherwise(of_rest))).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component")
-
-
-def _apart(members: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between different components within buckets."""
-    placed = _blocks(members)
-    asked = _asked(reps, members.select("id"))
+    own, each, none = F.col("own"), lambda n: F.sequence(F.lit(0), n - 1), F.array().cast("array<struct<i:int,j:int,side:int>>")
+    of_core = lambda rests: F.transform(each(rests), lambda r: cell(-1 - own, r, F.lit(0)))
+    to_core = lambda cores: F.transform(each(cores), lambda k: cell(-1 - k, own, F.lit(1)))
+    among = lambda rests: F.transform(each(rests), lambda o: cell(F.least(own, o), F.greatest(own, o), F.when(own <= o, 0).otherwise(1)))
+    block = lambda cores, rests: F.pmod(F.xxhash64("id", F.lit("block")), F.when(inner, cores).otherwise(rests)).cast("int")
+    joint = meetings.where("joint < apart").select("largest", F.col("core").alias("all_core"), F.col("rest").alias("all_rest"))
+
+    cores, rests = blocks(F.col("core")), blocks(F.col("n") - F.col("core"))
+    tagged = members.join(joint.select("largest", F.lit(True).alias("once")), "largest", "left").withColumn("own", block(cores, rests))
+    apart = F.when(F.col("once"), none).otherwise(F.when(inner, of_core(rests)).otherwise(to_core(cores)))
+    cells = F.concat(apart, F.when(inner | (F.col("n") - F.col("core") < 2), none).otherwise(among(rests)))
+    by_bucket = tagged.withColumn("cell", F.explode(cells)).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component")
+
+    cores, rests = blocks(F.col("all_core")), blocks(F.col("all_rest"))
+    whole = kin.join(joint, "largest").withColumn("own", block(cores, rests)).withColumn("cell", F.explode(F.when(inner, of_core(rests)).otherwise(to_core(cores))))
+    bucket = F.xxhash64("largest").bitwiseAND(F.lit(~JOINT).cast("long")).bitwiseOR(F.lit(JOINT).cast("long"))
+    return by_bucket.unionByName(whole.select(bucket.alias("bucket"), "cell.i", "cell.j", "cell.side", "id", "component"))
+
+
+def _apart(placed: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different components within the block pairs ``placed``."""
+    asked = _asked(reps, placed.select("id"))
     full = placed.join(asked, "id").select("bucket", "i", "j", "side", "id", "component", "n_shingles", "registers")
 
     def run(group: pa.Table) -> pa.Table:
@@ -396,22 +433,25 @@ def _links(bands: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         top = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
         top = materialize(top.select("bucket", "n", F.col("top.component").alias("largest"), F.col("top.n").alias("core")), "top")
-        rest = F.col("n") - F.col("core")
-        work = top.agg(F.sum(F.col("core") * F.ceil(rest / BLOCK) + rest * (F.ceil(F.col("core") / BLOCK) + F.ceil(rest / BLOCK)))).first()[0] or 0
-        if not work:
+        if top.isEmpty():
             return labels
-        last = work <= enough or not n_new
         members = materialize(placed.join(top, "bucket"), "members")
         discard(placed)
+        kin, meetings = _meetings(members, top)
         discard(top)
+        last = not n_new or meetings.agg(F.sum(F.col("among") + F.least("apart", "joint"))).first()[0] <= enough
         if last:
-            new = materialize(_apart(members, reps, docs, size, percent, id_col, text_col), "links")
+            placed = materialize(_blocks(members, kin, meetings), "blocks")
+            new = materialize(_apart(placed, reps, docs, size, percent, id_col, text_col), "links")
+            discard(placed)
         else:
             hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "component")).alias("hub")).select("bucket", F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"))
             # Written first, so that the join may split a large bucket.
             hubs = materialize(hubs, "hubs")
             new = verify(_estimated(members.join(hubs, "bucket").where("component <> ca").select("a", F.col("id").alias("b")).distinct(), reps, percent))
             discard(hubs)
+        discard(kin)
+        discard(meetings)
         n_new = new.count()
         if n_new:
             lifted = new.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")

@@ -74,6 +74,21 @@ def test_near_duplicates_in_buckets_of_many_likely_pairs(spark, monkeypatch, lef
     assert got == components({i: shingles(t, 2) for i, t in enumerate(rows)})
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_duplicates_around_a_component_of_many_buckets(spark, monkeypatch, block):
+    """Texts near one large component meet it once for all its buckets, and single blocks of other buckets still meet by bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    seen, blocks = [], minhash._blocks
+    monkeypatch.setattr(minhash, "_blocks", lambda *args: seen.append(blocks(*args)) or seen[-1])
+    rows = [changed(prose(k, 250), 100 * k + s, share) for k in range(3) for s, share in enumerate([0.004] * (40 >> k) + [0.03] * 6 + [0.05] * 12)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    cells = []
+    monkeypatch.setattr(minhash, "_apart", lambda placed, *args, of=minhash._apart: cells.extend(placed.collect()) or of(placed, *args))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()}
+    assert got == components({i: shingles(t, 2) for i, t in enumerate(rows)})
+    assert seen and {r["bucket"] & 63 == minhash.JOINT for r in cells} == {True, False}
+
+
 def test_repeated_ids_join_components(spark):
     a, b, c = (prose(400 + k, 60) for k in range(3))
     rows = [(12, a), (5, b), (12, b), (13, a), (20, c)]

@@ -86,14 +86,26 @@ def contained_anywhere(x: F.Column, y: F.Column, geometries: F.Column, image: F.
     return F.exists(geometries, lambda g: (g["image_id"] != image) & G.in_box(*G.unplace(g, (x, y)), g["w"], g["h"]))
 
 
-def cover(geometry: DataFrame) -> DataFrame:
-    """Canvas pixels that each placed image covers, with their place (sx, sy) in it; from geometry alone."""
+def spread(images: DataFrame) -> DataFrame:
+    """Images dealt over all partitions by an explicit number: their rows are short, so Spark would put them into one task, but each becomes thousands of pixels.
+
+    In this order of keys, else it is left out after a join or a group-by of images, whose partitions Spark does put together.
+    """
+    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "collage_id")
+
+
+def cover(geometry: DataFrame, *more: str) -> DataFrame:
+    """Canvas pixels that each placed image covers, with their place (sx, sy) in it; from geometry alone.
+
+    Columns in ``more`` come along. What is joined by image belongs into them:
+    Spark takes the pixels for as few as the images and may broadcast them.
+    """
     left, top, right, bottom = G.box_bounds(F.col("c"), F.col("s"), F.col("w"), F.col("h"))
     span = lambda low, high: F.explode(F.sequence(F.floor(low).cast("int"), F.ceil(high).cast("int")))
-    rows = geometry.select(*GEOMETRY, _struct().alias("g"), span(F.col("my") + top, F.col("my") + bottom).alias("y"))
+    rows = spread(geometry).select(*GEOMETRY, *more, _struct().alias("g"), span(F.col("my") + top, F.col("my") + bottom).alias("y"))
     rows = rows.withColumn("x", span(F.col("mx") + left, F.col("mx") + right)).where("x >= 0 and y >= 0")
     sx, sy = G.unplace(F.col("g"), (F.col("x"), F.col("y")))
-    return rows.withColumn("sx", sx).withColumn("sy", sy).where(G.valid_coords(F.col("sx"), F.col("sy"), F.col("w"), F.col("h"))).select("collage_id", "image_id", "y", "x", "sx", "sy", "g")
+    return rows.withColumn("sx", sx).withColumn("sy", sy).where(G.valid_coords(F.col("sx"), F.col("sy"), F.col("w"), F.col("h"))).select("collage_id", "image_id", "y", "x", "sx", "sy", "g", *more)
 
 
 def _rows(r: dict, y: np.ndarray, x: np.ndarray, sx: np.ndarray, sy: np.ndarray, channels: Sequence[str]) -> dict:
@@ -200,8 +212,7 @@ def _surrounded(geometry: DataFrame) -> DataFrame:
 
 def side_points(geometry: DataFrame) -> DataFrame:
     """For each canvas pixel of an image and each of its sides (k), the distance and whether the foot point lies in another image."""
-    around = _surrounded(geometry).select("collage_id", "image_id", F.coalesce("others", F.array()).alias("others"))
-    rows = cover(geometry).join(around, ["collage_id", "image_id"])
+    rows = cover(_surrounded(geometry).withColumn("others", F.coalesce("others", F.array())), "others")
     feet = rows.select("collage_id", "image_id", "y", "x", "others", F.posexplode(G.sides(F.col("g"), (F.col("x").cast("double"), F.col("y").cast("double")))).alias("k", "q"))
     return feet.select("collage_id", "image_id", "y", "x", "k", F.col("q.d").alias("d"), contained_anywhere(F.col("q.x"), F.col("q.y"), F.col("others"), F.col("image_id")).alias("contained"))
 

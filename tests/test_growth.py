@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera import queries
-from tessera.operators import canvas
+from tessera.operators import canvas, placement
 from tessera.sources import tables
 
 
@@ -23,3 +23,12 @@ def test_images_around_are_joined_before_pixels_are_made(spark, sf_dir):
     plan = _plan(queries.QUERIES["j11_contained"](spark, sf_dir))
     pixels = [k for k, line in enumerate(plan) if re.search(r"Generate explode\(.*\[x#", line)]
     assert pixels and max(pixels) < min(k for k, line in enumerate(plan) if "Join " in line)
+
+
+def test_a_large_collage_is_paired_block_by_block(spark):
+    parts = spark.range(60).selectExpr("id div 40 as collage_id", "cast(id as int) as image_id", "id % 4 = 0 as open")
+    parts = parts.union(spark.sql("select 0L, cast(null as int), true"))
+    got = placement.candidate_pairs(parts, block=5).withColumn("task", F.spark_partition_id()).toPandas()
+    assert got["task"].nunique() > 2  # one collage each in two tasks at most, if not by block
+    want = [(c, a, b) for c, ids in ((0, range(40)), (1, range(40, 60))) for a in ids for b in ids if a < b and (a % 4 == 0 or b % 4 == 0)]
+    assert sorted(map(tuple, got[["collage_id", "image_a", "image_b"]].to_numpy().tolist())) == want

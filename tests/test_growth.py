@@ -32,3 +32,11 @@ def test_a_large_collage_is_paired_block_by_block(spark):
     assert got["task"].nunique() > 2  # one collage each in two tasks at most, if not by block
     want = [(c, a, b) for c, ids in ((0, range(40)), (1, range(40, 60))) for a in ids for b in ids if a < b and (a % 4 == 0 or b % 4 == 0)]
     assert sorted(map(tuple, got[["collage_id", "image_a", "image_b"]].to_numpy().tolist())) == want
+
+
+def test_pairs_stay_where_they_are_made_when_little_is_known_of_them(spark):
+    pairs = spark.range(1000).selectExpr("0L as collage_id", "cast(id as int) as image_a", "cast(id + 1 as int) as image_b")
+    many = spark.range(2_000_000).selectExpr("cast(id % 7 as int) as image_a", "cast(id % 7 + 1 as int) as image_b", "id")
+    known = placement.attach_known(pairs, many.groupBy("image_a", "image_b").agg(F.min("id").alias("rel")))
+    assert "BroadcastHashJoin" in known._jdf.queryExecution().sparkPlan().toString()
+    assert known.count() == 1000 and known.where("rel = image_a").count() == 7

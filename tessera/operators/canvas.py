@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -272,10 +272,12 @@ def as_bytes(rows: DataFrame, channels: Sequence[str] = ("v",)) -> DataFrame:
 
 
 def border(masks: DataFrame) -> DataFrame:
-    """Set pixels that are first or last of their row or column."""
-    row, column = Window.partitionBy("collage_id", "image_id", "y"), Window.partitionBy("collage_id", "image_id", "x")
-    edge = (F.col("x") == F.min("x").over(row)) | (F.col("x") == F.max("x").over(row)) | (F.col("y") == F.min("y").over(column)) | (F.col("y") == F.max("y").over(column))
-    return masks.withColumn("edge", edge).where("edge").drop("edge").distinct()
+    """Set pixels that are first or last of their row or column. A task keeps the ends of rows and columns, not their pixels."""
+    line = lambda across, along: F.struct(F.lit(across == "y").alias("row"), F.col(across).alias("k"), F.col(along).alias("p"))
+    pixels = masks.select("collage_id", "image_id", F.explode(F.array(line("y", "x"), line("x", "y"))).alias("l")).select("collage_id", "image_id", "l.*")
+    ends = pixels.groupBy("collage_id", "image_id", "row", "k").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    edge = ends.select("collage_id", "image_id", "row", "k", F.explode(F.array("low", "high")).alias("p"))
+    return edge.select("collage_id", "image_id", F.expr("if(row, k, p)").alias("y"), F.expr("if(row, p, k)").alias("x")).distinct()
 
 
 def peel(geometry: DataFrame, images: DataFrame, n: int = 200, tile: int = raster.TILE) -> DataFrame:

@@ -40,3 +40,12 @@ def test_pairs_stay_where_they_are_made_when_little_is_known_of_them(spark):
     known = placement.attach_known(pairs, many.groupBy("image_a", "image_b").agg(F.min("id").alias("rel")))
     assert "BroadcastHashJoin" in known._jdf.queryExecution().sparkPlan().toString()
     assert known.count() == 1000 and known.where("rel = image_a").count() == 7
+
+
+def test_borders_need_the_ends_of_lines_only(spark):
+    pixels = [(0, 1, 2, x) for x in (1, 2, 3, 5)] + [(0, 1, 3, 3), (0, 1, 4, 3), (0, 2, 3, 3)]
+    found = canvas.border(spark.createDataFrame(pixels + pixels[:2], "collage_id long, image_id int, y int, x int"))
+    assert not any("Window" in line for line in _plan(found))
+    assert sorted(map(tuple, found.collect())) == sorted(set(pixels))
+    block = spark.range(25).selectExpr("0L as collage_id", "1 as image_id", "cast(id div 5 as int) as y", "cast(id % 5 as int) as x")
+    assert {(r["y"], r["x"]) for r in canvas.border(block).collect()} == {(y, x) for y in range(5) for x in range(5) if {y, x} & {0, 4}}

@@ -137,8 +137,7 @@ def _drawn(rows: DataFrame, channels: Sequence[str], planes_of, merge=raster.add
     def draw(r: dict) -> Iterator[raster.Box]:
         y, x, sx, sy = kernels.grid(r)
         if len(y):
-            shape = r["height"], r["width"]
-            values = [kernels.sample(np.asarray(r["data" if c == "v" else c], float).reshape(shape), sx, sy)[0] for c in channels]
+            values = [kernels.sample(np.asarray(r["data" if c == "v" else c], float).reshape(r["height"], r["width"]), sx, sy)[0] for c in channels]
             found = planes_of(r, (y, x, sx, sy), values)
             planes = np.full((len(found), int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), empty)
             planes[:, y - y.min(), x - x.min()] = found
@@ -163,6 +162,16 @@ def average_pixels(tiles: DataFrame, channels: Sequence[str] = ("v",), tile: int
     return raster.to_pixels(tiles, seams.COLLAGE, read, f"n bigint, {_columns(channels)}", tile)
 
 
+def cover_tiles(geometry: DataFrame, tile: int = raster.TILE) -> DataFrame:
+    """The raster (number of images) of each collage; from geometry alone."""
+    return _drawn(spread(geometry.select(*GEOMETRY)), (), lambda r, at, v: [np.ones(len(at[0]))], tile=tile)
+
+
+def cover_pixels(tiles: DataFrame, tile: int = raster.TILE) -> DataFrame:
+    """The number of images at each canvas pixel."""
+    return raster.to_pixels(tiles, seams.COLLAGE, lambda p: (p[0] > 0, {"n": p[0].astype(np.int64)}), "n bigint", tile)
+
+
 def _shares(planes: np.ndarray, channels: Sequence[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Values of planes (weight, weighted values, number, values); the plain mean where all weights are 0."""
     n = len(channels)

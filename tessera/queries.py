@@ -416,7 +416,7 @@ def a11_average(spark, sf_dir):
 
 @query
 def a14_cover(spark, sf_dir):
-    return canvas.cover(_geometry(spark, sf_dir)).groupBy("collage_id", "y", "x").agg(F.count("*").alias("n"))
+    return canvas.cover_pixels(canvas.cover_tiles(_geometry(spark, sf_dir)))
 
 
 @query

@@ -49,3 +49,11 @@ def test_borders_need_the_ends_of_lines_only(spark):
     assert sorted(map(tuple, found.collect())) == sorted(set(pixels))
     block = spark.range(25).selectExpr("0L as collage_id", "1 as image_id", "cast(id div 5 as int) as y", "cast(id % 5 as int) as x")
     assert {(r["y"], r["x"]) for r in canvas.border(block).collect()} == {(y, x) for y in range(5) for x in range(5) if {y, x} & {0, 4}}
+
+
+def test_covers_are_counted_by_tiles(spark, sf_dir):
+    assert not any(re.search(r"Aggregate \[collage_id#\d+L?, y#\d+, x#", line) for line in _plan(queries.QUERIES["a14_cover"](spark, sf_dir)))
+    g = tables.mosaic_geometry(tables.mosaic_lines(spark, sf_dir))
+    want = canvas.cover(g).groupBy("collage_id", "y", "x").count()
+    got = canvas.cover_pixels(canvas.cover_tiles(g, 50), 50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

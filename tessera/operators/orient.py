@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, kernels
+from ..functions import kernels
 
 IMAGE = ["collage_id", "image_id"]
 
@@ -151,14 +152,37 @@ def highpass(pixels: DataFrame, n: int = 1) -> DataFrame:
 
 
 def gather(pixels: DataFrame, places: DataFrame, dims: DataFrame) -> DataFrame:
-    """Cubic interpolation as a join: ``places`` (collage_id, image_id, ty, tx, sx, sy) with the four by four clamped neighbours of each. ``resample`` in ``canvas`` is for large planes."""
-    q = places.join(dims, IMAGE)
-    i, j = F.floor("sx").cast("int"), F.floor("sy").cast("int")
-    offsets = F.explode(F.array(*(F.lit(k) for k in range(4))))
-    q = q.select(*IMAGE, "ty", "tx", "w", "h", "sx", "sy", i.alias("i"), j.alias("j")).withColumn("a", offsets).withColumn("b", offsets)
-    pick = lambda weights, k: F.element_at(F.array(*weights), F.col(k) + 1)
-    weight = pick(geometry.cubic_weights(F.col("sx") - F.col("i")), "a") * pick(geometry.cubic_weights(F.col("sy") - F.col("j")), "b")
-    clamp = lambda at, k, size: F.least(F.greatest(F.col(at) + F.col(k) - 1, F.lit(0)), F.col(size) - 1).cast("int")
-    q = q.withColumn("weight", weight).withColumn("x", clamp("i", "a", "w")).withColumn("y", clamp("j", "b", "h"))
-    valid = geometry.valid_coords(F.col("sx"), F.col("sy"), F.col("w"), F.col("h"))
-    return q.withColumn("valid", valid).join(pixels, [*IMAGE, "y", "x"]).groupBy(*IMAGE, "ty", "tx", "valid").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
+    """Cubic interpolation as a join: ``places`` (collage_id, image_id, ty, tx, sx, sy) meet the pixels of their image, and the four by four clamped neighbours of each are summed there.
+
+    Neighbours are no rows of their own, which would be sixteen times as many
+    as the places. Missing pixels count for nothing. A task holds one image.
+    """
+
+    def run(at: pa.Table, of: pa.Table) -> pa.Table:
+        sx, sy, w, h = (at[c].to_numpy() for c in ("sx", "sy", "w", "h"))
+        y, x, v = of["y"].to_numpy(), of["x"].to_numpy(), of["v"]
+        shape = (max([0, *h, *(y + 1)]), max([0, *w, *(x + 1)])) if len(y) * len(sx) else (1, 1)
+        plane, known, there = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        set_ = v.is_valid().to_numpy()
+        np.add.at(plane, (y, x), np.where(set_, v.fill_null(0.0).to_numpy(), 0.0))
+        there[y, x], known[y[set_], x[set_]] = True, True
+        i, j = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
+        across, down = kernels.cubic(sx - i), kernels.cubic(sy - j)
+        out, some, any_ = np.zeros(len(sx)), np.zeros(len(sx), bool), np.zeros(len(sx), bool)
+        for b in range(4):
+            r = np.clip(j + b - 1, 0, h - 1)
+            for a in range(4):
+                c = np.clip(i + a - 1, 0, w - 1)
+                out += down[b] * across[a] * plane[r, c]
+                some |= known[r, c]
+                any_ |= there[r, c]
+        nx, ny = np.floor(sx + 0.5), np.floor(sy + 0.5)
+        valid = (nx >= 0) & (nx < w) & (ny >= 0) & (ny < h)
+        found = at.select([*IMAGE, "ty", "tx"]).append_column("valid", pa.array(valid)).append_column("v", pa.array(out, mask=~some))
+        return found.filter(pa.array(any_))
+
+    # The side of images is the smaller one, though Spark may take the places for as few.
+    sized = places.join(dims.hint("shuffle_hash"), IMAGE).select(*IMAGE, "ty", "tx", "sx", "sy", "w", "h")
+    schema = ", ".join([*(f"{c} {places.schema[c].dataType.simpleString()}" for c in (*IMAGE, "ty", "tx")), "valid boolean", "v double"])
+    values = pixels.select(*IMAGE, "y", "x", F.col("v").cast("double").alias("v"))
+    return sized.groupBy(*IMAGE).cogroup(values.groupBy(*IMAGE)).applyInArrow(run, schema)

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera import queries
-from tessera.operators import canvas, placement
+from tessera.operators import canvas, orient, placement
 from tessera.sources import tables
 
 
@@ -57,3 +57,16 @@ def test_covers_are_counted_by_tiles(spark, sf_dir):
     want = canvas.cover(g).groupBy("collage_id", "y", "x").count()
     got = canvas.cover_pixels(canvas.cover_tiles(g, 50), 50)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_neighbours_are_no_rows(spark, sf_dir):
+    assert not any("Generate explode([0,1,2,3])" in line for line in _plan(queries.QUERIES["j7_gather"](spark, sf_dir)))
+
+
+def test_gathered_values_leave_missing_pixels_out(spark):
+    pixels = [(0, 1, y, x, None if (y, x) == (0, 0) else float(10 * y + x)) for y in range(8) for x in range(8) if (y, x) != (3, 3)]
+    pixels = spark.createDataFrame(pixels, "collage_id long, image_id int, y int, x int, v double")
+    places = spark.createDataFrame([(0, 1, 5, 6, 6.0, 5.0), (0, 1, 0, 0, 0.0, 0.0), (0, 1, 3, 3, 3.5, 3.0), (0, 2, 0, 0, 0.0, 0.0)], "collage_id long, image_id int, ty int, tx int, sx double, sy double")
+    dims = pixels.groupBy("collage_id", "image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    got = {(r["image_id"], r["ty"], r["tx"]): (r["valid"], r["v"]) for r in orient.gather(pixels, places, dims).collect()}
+    assert got == {(1, 5, 6): (True, 56.0), (1, 0, 0): (True, 0.0), (1, 3, 3): (True, 0.5625 * 34 - 0.0625 * 32 - 0.0625 * 35)}

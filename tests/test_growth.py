@@ -1,6 +1,7 @@
 """Steps whose rows are many more than Spark takes them for."""
 
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,13 @@ def _plan(df) -> list[str]:
     return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
 
 
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far wrote for shuffles."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
 def test_pixels_of_images_are_made_in_several_tasks(spark, sf_dir):
     g = tables.mosaic_geometry(tables.mosaic_lines(spark, sf_dir))
     for images in (g, canvas._surrounded(g)):
@@ -34,6 +42,25 @@ def test_a_large_collage_is_paired_block_by_block(spark):
     assert sorted(map(tuple, got[["collage_id", "image_a", "image_b"]].to_numpy().tolist())) == want
 
 
+def test_what_pairs_shuffle_grows_with_the_parts_and_not_with_their_square(spark):
+    sent = []
+    for n in (500, 2000):
+        before = _shuffled(spark)
+        pairs = placement.candidate_pairs(spark.range(n).selectExpr("0L as collage_id", "cast(id as int) as image_id", "true as open"), block=5)
+        assert pairs.where("image_a < image_b").count() == n * (n - 1) // 2
+        sent.append(_shuffled(spark) - before)
+    assert 0 < sent[1] < 6 * sent[0]
+
+
+def test_pairs_of_blocks_of_several_arrays(spark):
+    parts = spark.range(3000).selectExpr("'c' as collage_id", "concat('p', id) as image_id", "if(id % 50 = 0, true, if(id % 3 = 0, null, false)) as open")
+    parts = parts.union(spark.sql("select 'c', 'p50', false")).union(spark.sql("select cast(null as string), 'p1', true"))  # listed twice; in no collage
+    got = placement.candidate_pairs(parts, block=3000)
+    rows = [(f"p{k}", k % 50 == 0) for k in range(3000)] + [("p50", False)]
+    want = Counter((min(a, b), max(a, b)) for a, is_open in rows if is_open for b, other in rows if a != b and (not other or a < b))
+    assert Counter(map(tuple, got.select("image_a", "image_b").toPandas().to_numpy().tolist())) == want
+
+
 def test_pairs_stay_where_they_are_made_when_little_is_known_of_them(spark):
     pairs = spark.range(1000).selectExpr("0L as collage_id", "cast(id as int) as image_a", "cast(id + 1 as int) as image_b")
     many = spark.range(2_000_000).selectExpr("cast(id % 7 as int) as image_a", "cast(id % 7 + 1 as int) as image_b", "id")

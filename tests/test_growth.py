@@ -69,6 +69,25 @@ def test_pairs_stay_where_they_are_made_when_little_is_known_of_them(spark):
     assert known.count() == 1000 and known.where("rel = image_a").count() == 7
 
 
+def test_the_first_rows_of_pairs_are_found_without_a_sort_of_all(spark):
+    rows = [(7, 1, 2, "X", 7.0), (3, 1, 2, "-", 3.0), (3, 2, 3, None, 1.0), (None, 2, 3, "X", 2.0), (None, 5, 6, "X", 9.0), (4, 2, 1, "X", 4.0)]
+    got = placement.first_of_pairs(spark.createDataFrame(rows * 2, "row_id long, image_a int, image_b int, rel string, dx double"), "row_id")
+    assert sorted(map(tuple, got.select("image_a", "image_b", "rel", "dx").collect())) == [(1, 2, "-", 3.0), (2, 1, "X", 4.0), (2, 3, None, 1.0), (5, 6, "X", 9.0)]
+
+
+def test_only_lowest_rows_of_known_relations_are_ranked(spark, sf_dir, monkeypatch):
+    plans, kept = {}, placement.materialize
+
+    def watched(df, name):
+        plans[name] = _plan(df)
+        return kept(df, name)
+
+    monkeypatch.setattr(placement, "materialize", watched)
+    queries.QUERIES["j3_known"](spark, sf_dir)
+    above = next(k for k, line in enumerate(plans["known"]) if "Window" in line)
+    assert any("Join" in line for line in plans["known"][above:])
+
+
 def test_borders_need_the_ends_of_lines_only(spark):
     pixels = [(0, 1, 2, x) for x in (1, 2, 3, 5)] + [(0, 1, 3, 3), (0, 1, 4, 3), (0, 2, 3, 3)]
     found = canvas.border(spark.createDataFrame(pixels + pixels[:2], "collage_id long, image_id int, y int, x int"))
